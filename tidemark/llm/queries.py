@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import shards, tokens
+from . import mixing, normalise, shards, tokens
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,13 +21,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "fits_1024")
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, taken = mixing.mix(read_table(spark, sf_dir, "documents"), weights=[5.0, 2.0, 1.0])
+    return taken.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalise.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.byte_shards(read_table(spark, sf_dir, "documents"), n_shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op9_byte_shards)}
+    return {f.__name__: f for f in (op4_token_counts, op7_source_mix, op8_warc, op9_byte_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
