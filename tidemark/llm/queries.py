@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import mixing, normalise, shards, tokens
+from . import contamination, mixing, normalise, secrets, shards, tokens
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.prefix_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     out = counted.select("doc_id", "n_bytes", tokens.n_tokens().alias("n_tokens"), tokens.fits(1024).alias("fits_1024"))
@@ -35,8 +43,14 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard"))
 
 
+def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    out = found.select("doc_id", "n_words", contamination.hit_words().alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op7_source_mix, op8_warc, op9_byte_shards)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_token_counts, op7_source_mix, op8_warc, op9_byte_shards, op10_contamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -198,7 +198,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
 
         return each
 
-    return map_batches(docs, [key, text], f"{key} {field_ddl(docs, key)}, n_bytes bigint, prefix_changes binary", start)
+    return map_batches(docs, [key, text], f"`{key}` {field_ddl(docs, key)}, n_bytes bigint, prefix_changes binary", start)
 
 
 @F.pandas_udf(T.LongType())
