@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,6 +40,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Tables:
+    """Tables written to the shared folder to cut lineage; compressed, read by column, and dropped once later ones stand."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.top = spark, f"{shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        path = self.paths[name] = f"{self.top}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            at = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def word_array(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, as an array; null text: empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WS_RUN), "")
@@ -64,5 +84,26 @@ def map_batches(df: DataFrame, columns: list[str], schema: str | T.StructType, f
     return df.select(*columns).mapInArrow(run, struct)
 
 
+def filter_batches(df: DataFrame, columns: list[str], fn: Callable[..., Callable[[dict[str, list]], list[bool]]], *args) -> DataFrame:
+    """The rows of ``df`` for which ``fn(*args)``'s result says so, given ``columns`` as lists; other columns pass untouched."""
+    at = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = fn(*args)
+        for b in batches:
+            yield b.filter(pa.array(keep({c: b.column(i).to_pylist() for c, i in zip(columns, at, strict=True)}), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+#: Rows of a key and a number (some 30 MB) that are sent to every task; more are joined by shuffle.
+FEW_ROWS = 1_000_000
+
+
+def sized_broadcast(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def field_ddl(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()

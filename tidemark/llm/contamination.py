@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_ddl, map_batches
+from .common import field_ddl, filter_batches, map_batches
 
 #: Bytes of test text that are sent to the tasks at once; larger test sets are searched in blocks.
 BLOCK_BYTES = 16 << 20
@@ -212,6 +212,33 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None
     return out
 
 
+def clean(docs: DataFrame, items: DataFrame, width: int = 10, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents in which no phrase of the test items occurs, with all their columns."""
+    spark, out = docs.sparkSession, docs
+    for block in _blocks(items, item_key, item_text, block_bytes):
+        phrases = Phrases([("" if r[0] is None else str(r[0]), r[1]) for r in block.collect()], width)  # bounded by block_bytes
+        phrases.rank(term_counts(docs, phrases, text))
+        sent = spark.sparkContext.broadcast((phrases.ids, phrases.anchored))
+
+        def start(sent=sent):
+            known, anchored = sent.value
+
+            def free(x: str | None) -> bool:
+                lists: dict[int, list[int]] = {}
+                row = list(map(known.get, terms(x)))
+                if anchored.keys().isdisjoint(row):
+                    return True
+                for at, t in enumerate(row):
+                    if t is not None:
+                        lists.setdefault(t, []).append(at)
+                return not any(_starts(places, lists) for t in anchored.keys() & lists.keys() for places, _, _ in anchored[t])
+
+            return lambda b: [free(x) for x in b[text]]
+
+        out = filter_batches(out, [text], start)
+    return out
+
+
 def hit_words(hits: str = "hits") -> Column:
     """Number of words in the matched ranges."""
     return F.expr(f"aggregate({hits}, 0L, (n, x) -> x - n)")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpoint, word_count
+from .common import checkpoint, sized_broadcast, word_count
 
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval in which slots meet the sources' shares.
@@ -129,3 +129,14 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     taken = uses.groupBy("serial").agg(F.sum("words").alias("taken"))
     out = stream.join(taken, "serial", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     return uses, out
+
+
+def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, block_tokens: int = 2048, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents of the mix, with all their columns: each as often as the mix takes its words, rounded to whole times.
+
+    Only the documents at the end of a source's stream are taken in part.  Rows of one key share the mean.
+    """
+    _, taken = mix(docs, weights, share, most, block_tokens, key, text, source)
+    times = taken.where("size > 0").groupBy(F.col("key").alias("__tm_key")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__tm_times"))
+    counted = sized_broadcast(times.where("__tm_times > 0"))
+    return docs.join(counted, F.col(key).eqNullSafe(F.col("__tm_key"))).withColumn("__tm_turn", F.explode(F.sequence(F.lit(1), F.col("__tm_times")))).drop("__tm_key", "__tm_times", "__tm_turn")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import contamination, jaccard, mixing, normalise, quality, secrets, shards, tokens
+from . import contamination, jaccard, mixing, normalise, quality, secrets, shards, tokens, toxicity
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, toxicity.categorised(read_table(spark, sf_dir, "labels")), ["low_quality", "toxic"])
+    return toxicity.score(docs, chain, ["doc_id"]).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, taken = mixing.mix(read_table(spark, sf_dir, "documents"), weights=[5.0, 2.0, 1.0])
     return taken.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -59,7 +65,7 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_ngram_jaccard, op4_token_counts, op5_quality_rules, op7_source_mix, op8_warc, op9_byte_shards, op10_contamination)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_ngram_jaccard, op4_token_counts, op5_quality_rules, op6_toxicity, op7_source_mix, op8_warc, op9_byte_shards, op10_contamination)}
 
 
 def oracle_sql() -> dict[str, str]:
