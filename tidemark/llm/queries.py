@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import contamination, jaccard, mixing, normalise, quality, secrets, shards, tokens, toxicity
+from . import contamination, jaccard, lines, mixing, normalise, quality, secrets, shards, tokens, toxicity
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_classes(read_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -65,7 +69,7 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_ngram_jaccard, op4_token_counts, op5_quality_rules, op6_toxicity, op7_source_mix, op8_warc, op9_byte_shards, op10_contamination)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_ngram_jaccard, op4_token_counts, op5_quality_rules, op6_toxicity, op7_source_mix, op8_warc, op9_byte_shards, op10_contamination)}
 
 
 def oracle_sql() -> dict[str, str]:
