@@ -128,15 +128,16 @@ def tight(c: Column) -> Column:
 
 
 def book_pages(label: Column) -> Column:
-    """F-28: page numbers that a label names, ranges expanded, in order, once each; reversed ranges name none."""
-    ranges = F.regexp_extract_all(label, F.lit(r"(\d+(?:\s*[-–]\s*\d+)?)"), F.lit(1))
+    """F-28: pages that a label with a ``p.`` names, ranges expanded, in order, once each; reversed ranges name none."""
+    ranges = F.regexp_extract_all(label, F.lit(r"([0-9]{1,3}(?:\s*[-–]\s*[0-9]{1,3})?)"), F.lit(1))
 
     def pages(x: Column) -> Column:
-        ends = F.transform(F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1)), lambda e: e.cast("int"))
+        ends = F.transform(F.regexp_extract_all(x, F.lit("([0-9]+)"), F.lit(1)), lambda e: e.cast("int"))
         low, high = F.element_at(ends, 1), F.element_at(ends, -1)
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
-    return F.array_distinct(F.flatten(F.transform(ranges, pages)))
+    found = F.array_distinct(F.flatten(F.transform(ranges, pages)))
+    return F.when(F.contains(F.lower(label), F.lit("p.")), found).otherwise(F.array().cast("array<int>"))
 
 
 def file_name(url: Column, content_type: Column) -> Column:
