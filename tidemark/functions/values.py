@@ -90,7 +90,7 @@ def run_id(*parts: Column) -> Column:
 
 def shown(c: Column, digits: int) -> Column:
     """F-23: fixed decimals, N/A for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c), F.lit("N/A"))
+    return F.when(c.isNull(), "N/A").otherwise(F.format_string(f"%.{digits}f", c))
 
 
 def chart_timeframe(c: Column) -> Column:
