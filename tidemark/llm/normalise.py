@@ -252,6 +252,8 @@ def round_trip(pages: DataFrame, key: str = "page_id", body: str = "html", url:
     normalised = normalise_archives(archives.repartition(F.col("archive")), folder)
     normalised.write.parquet(f"{folder}/_normalised")
     listed = spark.read.parquet(f"{folder}/_normalised").where("members > 0")
+    if listed.limit(1).count() == 0:
+        return read_records(spark.createDataFrame([], "archive string, offset bigint, length bigint"), folder, field_ddl(pages, key))
     index = spark.read.schema("record string, type string, offset bigint, length bigint, archive string").json(f"{folder}/*.index.jsonl")
     index = index.join(F.broadcast(listed.select("archive")), "archive", "left_semi")  # as many rows as archives
     return read_records(index, folder, field_ddl(pages, key))
