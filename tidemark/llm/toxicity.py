@@ -20,9 +20,9 @@ from .common import field_ddl, filter_batches, map_batches
 from .contamination import terms
 
 #: Columns of the hashed vocabulary.
-WIDTH = 1 << 20
+WIDTH = 1 << 19
 #: Labelled documents that a fit uses at most; with more, a share of the ids by hash is taken.
-MOST_LABELLED = 20_000
+MOST_LABELLED = 8_000
 #: Documents of the sample that must hold a word before it counts.
 LEAST_DOCS = 3
 FOLDS = 3
