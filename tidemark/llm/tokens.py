@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,11 +29,23 @@ from .common import field_ddl, map_batches
 #: The endings that the byte-level pre-tokenizer splits off as units.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Pre-tokens kept per worker; beyond it the memo starts anew (only speed depends on it).
-MEMO = 300_000
-#: How the byte-level pre-tokenizer splits.  Texts of the characters in USUAL are split here, by
-#: an equal pattern that runs faster; all other texts by the library itself, whose Unicode tables may differ.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-USUAL = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f\\u0391-\\u03a1\\u03a3-\\u03ff\\u0400-\\u0481\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3]*").fullmatch
+MEMO = 180_000
+#: Characters that are split here, by a pattern equal to the library's; texts with any other are split by the library itself.
+PLAIN = "\t\n\r\x20-\x7e\xa1-\u024f\u0391-\u03a1\u03a3-\u03ff\u0400-\u0481\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+USUAL = re.compile(f"[{PLAIN}]*").fullmatch
+
+
+def _class(initial: str) -> str:
+    """The characters of PLAIN in a general category, as ranges of a character class."""
+    bounds = [(ord(m[1]), ord(m[2] or m[1])) for m in re.finditer("(.)(?:-(.))?", PLAIN, re.DOTALL)]
+    found = [c for a, z in bounds for c in range(a, z + 1) if unicodedata.category(chr(c))[0] == initial]
+    edges = [k for k in range(len(found)) if not k or found[k] != found[k - 1] + 1]
+    return "".join(f"{chr(found[a])}-{chr(found[z - 1])}" for a, z in zip(edges, [*edges[1:], len(found)], strict=True))
+
+
+#: The byte-level pre-tokenizer's pattern for texts of PLAIN, words first as they are most (no unit below starts like one).
+LETTERS, DIGITS = _class("L"), _class("N")
+PIECE = re.compile(f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\\s+(?!\\S)|\\s+")
 
 
 def _changes(ends: list[int]) -> bytes:
@@ -53,12 +66,15 @@ class PrefixCounter:
         units = sorted(t for t in known["vocab"] if t not in made)
         self.rank = {t: i for i, t in enumerate([*units, *(a + b for a, b in merges)])}
         self.parts = {a + b: (a, b) for a, b in merges}
-        self.longest = max(map(len, self.rank))
+        self.entries = ahocorasick.Automaton()
+        for t in self.rank:
+            self.entries.add_word(t, t)
+        self.entries.make_automaton()
         self.special = [a.content for a in self.tok.get_added_tokens_decoder().values()]
         self.shown = {b: self.split(chr(b))[0][0] for b in range(128)} | dict(self._high_bytes())
         self.lead = frozenset(self.shown[b] for b in range(0x80, 0xC0))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.states: dict[str, tuple[str, int]] = {"": ("", 0)}
+        self.states: dict[str, tuple] = {"": ("", 0, b"", 0)}
         self.memo: dict[str, tuple[int, bytes]] = {}
 
     def _high_bytes(self) -> Iterator[tuple[int, str]]:
@@ -88,34 +104,45 @@ class PrefixCounter:
                 limit, right = j + 1, parts[right][0]
 
     def _prefixes(self, shown: str) -> tuple[int, bytes]:
-        """Token count of a pre-token and, for each of its characters, the change in the prefix count."""
-        states, pairs, rank, lead = self.states, self.pairs, self.rank, self.lead
-        if len(states) > 3 * MEMO:
+        """Token count of a pre-token and, for each of its characters, the change in the prefix count.
+
+        The automaton lists the vocabulary entries that end at each place, longest first.  Prefixes of
+        usual length are states that pre-tokens share: last token, count, changes, count at the last whole character.
+        """
+        n, lead, pairs, states = len(shown), self.lead, self.pairs, self.states
+        if len(states) > MEMO:
             states.clear()
-            states[""] = ("", 0)
-        if len(pairs) > 3 * MEMO:
+            states[""] = ("", 0, b"", 0)
+        if len(pairs) > MEMO:
             pairs.clear()
-        n, short = len(shown), len(shown) <= 64  # prefixes of long pre-tokens aren't worth keeping by name
-        row = [("", 0)]
-        for i in range(1, n + 1):
-            prefix = shown[:i] if short else ""
-            state = states.get(prefix) if short else None
-            if state is None:
-                for size in range(min(i, self.longest), 0, -1):
-                    t = shown[i - size : i]
-                    if t in rank:
-                        before, count = row[i - size]
-                        ok = pairs.get((before, t))
-                        if ok is None:
-                            ok = pairs[before, t] = self._keeps(before, t)
-                        if ok:
-                            state = t, count + 1
-                            break
-                if state is None:
-                    raise ValueError(f"no last token for a prefix of {shown[:40]!r}")
-                if short:
-                    states[prefix] = state
-            row.append(state)
+        k = 0
+        if n <= 64:
+            k = n
+            while shown[:k] not in states:
+                k -= 1
+        row: list[tuple | None] = [None] * (n + 1)
+        row[k] = states[shown[:k]]
+        for at, t in self.entries.iter(shown):
+            if at < k or row[at + 1] is not None:
+                continue
+            i, start = at + 1, at + 1 - len(t)
+            before = row[start] or states[shown[:start]]
+            ok = pairs.get((before[0], t))
+            if ok is None:
+                ok = pairs[before[0], t] = self._keeps(before[0], t)
+            if ok:
+                count = before[1] + 1
+                if n > 64:
+                    row[i] = (t, count)
+                    continue
+                _, _, changes, whole = row[at]
+                if i == n or shown[i] not in lead:
+                    changes, whole = changes + (count - whole).to_bytes(2, "little", signed=True), count
+                row[i] = states[shown[:i]] = (t, count, changes, whole)
+        if None in row[k:]:
+            raise ValueError(f"no last token for a prefix of {shown[:40]!r}")
+        if n <= 64:
+            return row[n][1], row[n][2]
         ends = [row[i][1] for i in range(1, n + 1) if i == n or shown[i] not in lead]
         return ends[-1], _changes(ends)
 
