@@ -76,11 +76,15 @@ def token_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_ou
     return (tokens_in * price_in + tokens_out * price_out) / 1_000_000
 
 
-def roi(score: Column, cost: Column, tokens: Column, priced: Column) -> Column:
+def rounded(c: Column, digits: int | None) -> Column:
+    return c if digits is None else F.round(c, digits)
+
+
+def roi(score: Column, cost: Column, tokens: Column, priced: Column, digits: int | None = 4) -> Column:
     """F-20: score a dollar for priced models, else score a thousand tokens."""
     by_cost = F.when(cost > 0, score / cost)
     by_tokens = F.when(tokens > 0, score / (tokens / 1000))
-    return F.round(F.when(priced, by_cost).otherwise(by_tokens), 4)
+    return rounded(F.when(priced, by_cost).otherwise(by_tokens), digits)
 
 
 def run_id(*parts: Column) -> Column:

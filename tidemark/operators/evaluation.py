@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.symbols import direction_of, is_wait
-from ..functions.values import case_index, roi, run_id, token_cost
+from ..functions.values import case_index, roi, rounded, run_id, token_cost
 from .backtest import replay
 
 #: Weights of the scored dimensions.
@@ -33,11 +33,11 @@ def coefficients(slices: DataFrame, price_targets: list[float] = PRICE_TARGETS,
     return out.where("price_coef <> 0")
 
 
-def anonymised(slices: DataFrame, coefs: DataFrame, start_index: int = 0) -> DataFrame:
+def anonymised(slices: DataFrame, coefs: DataFrame, start_index: int = 0, digits: int | None = 4) -> DataFrame:
     """B-11, Q-21: bars in a case's own price space; time steps one day a bar from the epoch on, whatever the timeframe."""
     i = F.row_number().over(W.Window.partitionBy("case_id").orderBy("open_time")) - 1 + start_index
     j = slices.withColumn("i", i).join(coefs, "case_id")
-    return j.select("case_id", (F.col("i").cast("long") * DAY_MS).alias("open_time"), *(F.round(F.col(p) * F.col("price_coef"), 4).alias(p) for p in PRICES), F.round(F.col("volume") * F.col("volume_coef"), 4).alias("volume"))
+    return j.select("case_id", (F.col("i").cast("long") * DAY_MS).alias("open_time"), *(rounded(F.col(p) * F.col("price_coef"), digits).alias(p) for p in PRICES), rounded(F.col("volume") * F.col("volume_coef"), digits).alias("volume"))
 
 
 def passthrough(slices: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def passthrough(slices: DataFrame) -> DataFrame:
     return slices.select("case_id", "open_time", *(F.round(p, 4).alias(p) for p in [*PRICES, "volume"]))
 
 
-def snapshot(cases: DataFrame, bars: DataFrame, mode: str = "blind", future_bars: int = 10, reveal: bool = False, price_targets: list[float] = PRICE_TARGETS, volume_factors: list[float] = VOLUME_FACTORS) -> tuple[DataFrame, DataFrame]:
+def snapshot(cases: DataFrame, bars: DataFrame, mode: str = "blind", future_bars: int = 10, reveal: bool = False, price_targets: list[float] = PRICE_TARGETS, volume_factors: list[float] = VOLUME_FACTORS, digits: int | None = 4) -> tuple[DataFrame, DataFrame]:
     """B-13, Q-13, Q-22: (visible, post) bars of each case (case_id, symbol, cutoff_ms, n_bars).
 
     Visible are the last ``n_bars`` up to the cutoff, and in mode ``future_visible`` the ``future_bars`` after
@@ -67,8 +67,8 @@ def snapshot(cases: DataFrame, bars: DataFrame, mode: str = "blind", future_bars
     if reveal:
         return passthrough(visible), passthrough(post)
     coefs = coefficients(visible, price_targets, volume_factors)
-    offset = anonymised(post, coefs).join(cases.select("case_id", "n_bars"), "case_id").withColumn("open_time", F.col("open_time") + (F.col("n_bars") - 1).cast("long") * DAY_MS).drop("n_bars")
-    return anonymised(visible, coefs), offset
+    offset = anonymised(post, coefs, digits=digits).join(cases.select("case_id", "n_bars"), "case_id").withColumn("open_time", F.col("open_time") + (F.col("n_bars") - 1).cast("long") * DAY_MS).drop("n_bars")
+    return anonymised(visible, coefs, digits=digits), offset
 
 
 def deterministic(forecasts: DataFrame, walk: DataFrame) -> DataFrame:
@@ -94,14 +94,14 @@ def deterministic(forecasts: DataFrame, walk: DataFrame) -> DataFrame:
     )
 
 
-def weighted(names: list[str]) -> Column:
+def weighted(names: list[str], digits: int | None = 4) -> Column:
     """A-15: weighted mean over the dimensions that are scored; null if none is."""
     num = sum((F.when(F.col(n).isNotNull(), F.col(n) * WEIGHTS[n]).otherwise(0.0) for n in names), F.lit(0.0))
     den = sum((F.when(F.col(n).isNotNull(), F.lit(WEIGHTS[n])).otherwise(0.0) for n in names), F.lit(0.0))
-    return F.round(F.when(den > 0, num / den), 4)
+    return rounded(F.when(den > 0, num / den), digits)
 
 
-def combined(dimensions: DataFrame) -> DataFrame:
+def combined(dimensions: DataFrame, digits: int | None = 4) -> DataFrame:
     """A-16, B-07: add aggregate (0 if nothing is scored), expert_alignment and realized_outcome to one column a dimension.
 
     Judged dimensions are required: a row that lacks one has ``verdict_ok`` false.
@@ -109,7 +109,7 @@ def combined(dimensions: DataFrame) -> DataFrame:
     ok = F.lit(True)
     for n in JUDGED:
         ok = ok & F.col(n).isNotNull() & F.col(n).between(0.0, 1.0)
-    return dimensions.withColumn("aggregate", F.coalesce(weighted(list(WEIGHTS)), F.lit(0.0))).withColumn("expert_alignment", weighted(SEMANTIC)).withColumn("realized_outcome", weighted(DETERMINISTIC)).withColumn("verdict_ok", F.coalesce(ok, F.lit(False)))
+    return dimensions.withColumn("aggregate", F.coalesce(weighted(list(WEIGHTS), digits), F.lit(0.0))).withColumn("expert_alignment", weighted(SEMANTIC, digits)).withColumn("realized_outcome", weighted(DETERMINISTIC, digits)).withColumn("verdict_ok", F.coalesce(ok, F.lit(False)))
 
 
 def run_matrix(cases: DataFrame, models: DataFrame, control_models: list[str] | None = None, control_efforts: list[str] | None = None) -> DataFrame:
@@ -140,27 +140,27 @@ def ingest(results: DataFrame, manifest: DataFrame, answers: DataFrame) -> DataF
     return j.withColumn("skip", F.when(~F.col("filled"), "unfilled").when(F.col("has_spec").isNull(), "no_spec").when(F.col("has_key").isNull(), "no_answer_key")).drop("has_spec", "has_key")
 
 
-def with_cost(rows: DataFrame, prices: DataFrame) -> DataFrame:
+def with_cost(rows: DataFrame, prices: DataFrame, digits: int | None = 4) -> DataFrame:
     """F-19, F-20, Q-17: add total_tokens, cost_usd, roi and roi_basis; the basis is the model's, not the row's."""
     p = rows.join(prices, "model", "left")
     priced = F.col("price_in").isNotNull()
     cost = token_cost(F.col("tokens_in"), F.col("tokens_out"), F.col("price_in"), F.col("price_out"))
     total = F.col("tokens_in") + F.col("tokens_out")
     out = p.withColumn("total_tokens", total).withColumn("cost_usd", cost)
-    return out.withColumn("roi", roi(F.col("aggregate"), F.col("cost_usd"), F.col("total_tokens"), priced)).withColumn("roi_basis", F.when(priced, "usd").otherwise("tokens")).drop("price_in", "price_out")
+    return out.withColumn("roi", roi(F.col("aggregate"), F.col("cost_usd"), F.col("total_tokens"), priced, digits)).withColumn("roi_basis", F.when(priced, "usd").otherwise("tokens")).drop("price_in", "price_out")
 
 
-def group_report(rows: DataFrame) -> DataFrame:
+def group_report(rows: DataFrame, digits: int | None = 4) -> DataFrame:
     """A-17, A-18: one row for each model and effort of the baseline angle; means skip nulls."""
     base = rows.where((F.col("time_mode") == "blind") & (F.col("anon_mode") == "anon"))
-    mean = lambda c: F.round(F.avg(c), 4).alias(f"mean_{c}")
+    mean = lambda c: rounded(F.avg(c), digits).alias(f"mean_{c}")
     return base.groupBy("model", "effort").agg(F.count("*").alias("n"), *(mean(c) for c in ("aggregate", "expert_alignment", "realized_outcome", "total_tokens", "cost_usd", "roi")), F.first("roi_basis").alias("roi_basis"))
 
 
-def event_means(rows: DataFrame) -> DataFrame:
+def event_means(rows: DataFrame, digits: int | None = 4) -> DataFrame:
     """A-17: means of the baseline by event type."""
     base = rows.where((F.col("time_mode") == "blind") & (F.col("anon_mode") == "anon"))
-    return base.groupBy("model", "effort", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("aggregate"), 4).alias("mean_aggregate"))
+    return base.groupBy("model", "effort", "event_type").agg(F.count("*").alias("n"), rounded(F.avg("aggregate"), digits).alias("mean_aggregate"))
 
 
 def ranked(groups: DataFrame) -> DataFrame:
@@ -171,14 +171,14 @@ def ranked(groups: DataFrame) -> DataFrame:
     return groups.withColumn("rank_aggregate", F.row_number().over(score)).withColumn("rank_roi", F.row_number().over(gain))
 
 
-def paired_delta(rows: DataFrame, to: str) -> DataFrame:
+def paired_delta(rows: DataFrame, to: str, digits: int | None = 4) -> DataFrame:
     """J-10, A-20, Q-16: mean of an angle's aggregate less the baseline's over the cases that have both; the last row of a case counts."""
     time_mode, anon_mode = ANGLES[to]
     a = (F.col("time_mode") == "blind") & (F.col("anon_mode") == "anon")
     b = (F.col("time_mode") == time_mode) & (F.col("anon_mode") == anon_mode)
     side = rows.where(a | b).groupBy("model", "effort", "case_id").agg(F.max_by(F.when(a, F.col("aggregate")), F.when(a, F.col("seq"))).alias("x"), F.max_by(F.when(b, F.col("aggregate")), F.when(b, F.col("seq"))).alias("y"))
     d = F.col("y") - F.col("x")
-    return side.groupBy("model", "effort").agg(F.count(d).alias("n"), F.round(F.avg(d), 4).alias("delta"))
+    return side.groupBy("model", "effort").agg(F.count(d).alias("n"), rounded(F.avg(d), digits).alias("delta"))
 
 
 def reconcile(state: DataFrame, checks: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _prices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _costed(spark: SparkSession, d: str) -> DataFrame:
-    return ev.with_cost(_rows(spark, d), _prices(spark, d))
+    return ev.with_cost(_rows(spark, d), _prices(spark, d), digits=None)
 
 
 def _forecasts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -57,8 +57,8 @@ def b05_score_forecasts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b11_anonymised_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    visible, _ = ev.snapshot(_cases(spark, d), _daily(spark, d))
-    return visible.select("case_id", "open_time", *(F.round(c, 3).alias(c) for c in ("open", "close")))
+    visible, _ = ev.snapshot(_cases(spark, d), _daily(spark, d), digits=None)
+    return visible.select("case_id", "open_time", *(r6(c, c) for c in ("open", "close")))
 
 
 def b13_future_visible(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,8 @@ def b13_future_visible(spark: SparkSession, d: str) -> DataFrame:
 
 def b12_revealed(spark: SparkSession, d: str) -> DataFrame:
     visible, _ = ev.snapshot(_cases(spark, d), _daily(spark, d), reveal=True)
-    return visible.select("case_id", "open_time", "open", "close")
+    # prices are rounded half up on their decimals here and on their doubles in SQL, so only their sums are compared
+    return visible.groupBy("case_id").agg(F.count("*").alias("n"), F.min("open_time").alias("first"), F.round(F.sum("close"), 1).alias("close"))
 
 
 def a15_combined_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +78,7 @@ def a15_combined_scores(spark: SparkSession, d: str) -> DataFrame:
     dims = table(spark, d, "orders").select(
         k.alias("id"), *(F.when(k % 7 != 0, part(n)).alias(x) for x, n in (("direction", 2), ("trigger", 3), ("invalidation", 5))), *(part(n).alias(x) for x, n in (("structure", 11), ("phase", 13), ("event", 17), ("narrative_quality", 19))), F.when(k % 29 != 0, part(23)).alias("calibration"),
     )
-    return ev.combined(dims).select("id", "aggregate", "expert_alignment", "realized_outcome", "verdict_ok")
+    return ev.combined(dims, digits=9).select("id", "aggregate", "expert_alignment", "realized_outcome", "verdict_ok")
 
 
 def j11_run_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -100,28 +101,28 @@ def j09_ingest_skips(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f19_costs(spark: SparkSession, d: str) -> DataFrame:
-    return _costed(spark, d).select("seq", "total_tokens", r6("cost_usd", "cost_usd"), F.round("roi", 3).alias("roi"), "roi_basis")
+    return _costed(spark, d).select("seq", "total_tokens", r6("cost_usd", "cost_usd"), F.round("roi", 9).alias("roi"), "roi_basis")
 
 
 def a17_group_report(spark: SparkSession, d: str) -> DataFrame:
-    g = ev.group_report(_costed(spark, d))
-    return g.select("model", "effort", "n", *(F.round(f"mean_{c}", 3).alias(f"mean_{c}") for c in ("aggregate", "expert_alignment", "realized_outcome", "total_tokens")), "roi_basis")
+    g = ev.group_report(_costed(spark, d), digits=None)
+    return g.select("model", "effort", "n", *(F.round(f"mean_{c}", 9).alias(f"mean_{c}") for c in ("aggregate", "expert_alignment", "realized_outcome", "total_tokens")), "roi_basis")
 
 
 def a17_event_means(spark: SparkSession, d: str) -> DataFrame:
-    return ev.event_means(_rows(spark, d)).withColumn("mean_aggregate", F.round("mean_aggregate", 3))
+    return ev.event_means(_rows(spark, d), digits=None).withColumn("mean_aggregate", F.round("mean_aggregate", 9))
 
 
 def o03_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return ev.ranked(ev.group_report(_costed(spark, d))).select("model", "effort", "rank_aggregate", "rank_roi")
+    return ev.ranked(ev.group_report(_costed(spark, d), digits=9)).select("model", "effort", "rank_aggregate", "rank_roi")
 
 
 def a20_delta_leakage(spark: SparkSession, d: str) -> DataFrame:
-    return ev.paired_delta(_rows(spark, d), "leakage").withColumn("delta", F.round("delta", 3))
+    return ev.paired_delta(_rows(spark, d), "leakage", digits=9)
 
 
 def a20_delta_lookahead(spark: SparkSession, d: str) -> DataFrame:
-    return ev.paired_delta(_rows(spark, d), "lookahead").withColumn("delta", F.round("delta", 3))
+    return ev.paired_delta(_rows(spark, d), "lookahead", digits=9)
 
 
 def b18_reconcile_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -207,10 +208,10 @@ ROWS = """rows AS (SELECT o_orderkey AS seq, CAST(o_custkey % 50 AS VARCHAR) AS
   CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 300) / 300.0::DOUBLE END AS realized_outcome, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 2000 + 1 END AS tokens_in, o_orderkey % 900 + 1 AS tokens_out FROM orders JOIN customer ON o_custkey = c_custkey)"""
 COSTED = f"""{ROWS}, prices(model, pin, pout) AS (VALUES ('AUTOMOBILE', 3.0::DOUBLE, 15.0::DOUBLE), ('BUILDING', 5.0, 25.0), ('MACHINERY', 10.0, 50.0), ('HOUSEHOLD', 1.0, 4.0)),
 cost AS (SELECT *, tokens_in + tokens_out AS total_tokens, (tokens_in * pin + tokens_out * pout) / 1000000 AS cost_usd, CASE WHEN pin IS NULL THEN 'tokens' ELSE 'usd' END AS roi_basis FROM rows LEFT JOIN prices USING (model)),
-roid AS (SELECT *, round(CASE WHEN roi_basis = 'usd' THEN CASE WHEN cost_usd > 0 THEN aggregate / cost_usd END ELSE aggregate / (total_tokens / 1000.0::DOUBLE) END, 4) AS roi FROM cost)"""
+roid AS (SELECT *, round(CASE WHEN roi_basis = 'usd' THEN CASE WHEN cost_usd > 0 THEN aggregate / cost_usd END ELSE aggregate / (total_tokens / 1000.0::DOUBLE) END, 12) AS roi FROM cost)"""
 GROUPS = f"""{COSTED}, g AS (SELECT model, effort, count(*) AS n, avg(aggregate) AS a, avg(expert_alignment) AS e, avg(realized_outcome) AS r, avg(total_tokens) AS t, avg(roi) AS roi, any_value(roi_basis) AS roi_basis FROM roid WHERE time_mode = 'blind' AND anon_mode = 'anon' GROUP BY 1, 2)"""
 DELTA = ROWS + """, side AS (SELECT model, effort, case_id, arg_max(aggregate, seq) FILTER (time_mode = 'blind' AND anon_mode = 'anon') AS x, arg_max(aggregate, seq) FILTER ({to}) AS y FROM rows WHERE (time_mode = 'blind' AND anon_mode = 'anon') OR ({to}) GROUP BY 1, 2, 3)
-SELECT model, effort, count(y - x) AS n, round(round(avg(y - x), 4), 3) AS delta FROM side GROUP BY 1, 2"""
+SELECT model, effort, count(y - x) AS n, round(avg(y - x), 9) AS delta FROM side GROUP BY 1, 2"""
 CASE_BARS = f"""{WIDE}, placed AS (SELECT *, row_number() OVER (PARTITION BY symbol, open_time <= 946684800000 ORDER BY open_time DESC) AS back, row_number() OVER (PARTITION BY symbol, open_time <= 946684800000 ORDER BY open_time) AS ahead, open_time <= 946684800000 AS before FROM bars),
 vis AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS i FROM placed WHERE before AND back <= 60)"""
 TARGETS = "[333.33, 9999.1, 88000.0, 0.00317, 555555.0, 0.314]::DOUBLE[]"
@@ -230,7 +231,7 @@ def _weighted_sql(names: list[str]) -> str:
     score = lambda n: f"(CASE WHEN {'k % 7 <> 0' if n in ev.DETERMINISTIC else 'k % 29 <> 0' if n == 'calibration' else 'true'} THEN (k % {of[n][0]}) / {of[n][0]}.0::DOUBLE END)"
     top = " + ".join(f"coalesce({score(n)} * {of[n][1]}::DOUBLE, 0)" for n in names)
     bottom = " + ".join(f"CASE WHEN {score(n)} IS NULL THEN 0 ELSE {of[n][1]}::DOUBLE END" for n in names)
-    return f"CASE WHEN ({bottom}) > 0 THEN round(({top}) / ({bottom}), 4) END"
+    return f"CASE WHEN ({bottom}) > 0 THEN round(({top}) / ({bottom}), 9) END"
 
 
 SQL = {
@@ -244,19 +245,19 @@ SQL = {
       SELECT id, CASE WHEN scored THEN coalesce(hit, 'open') END AS outcome, CASE WHEN scored THEN k END AS bars_to_resolution, wait_case, scored AND real IS NULL AS used_fallback, CASE WHEN scored THEN CASE WHEN said = rd THEN 1.0 ELSE 0.0 END END AS direction,
         CASE WHEN scored THEN CASE WHEN coalesce(hit = 'hit_tp', false) THEN 1.0 ELSE 0.0 END END AS trigger, CASE WHEN scored THEN CASE WHEN coalesce(hit = 'hit_sl', false) THEN 0.0 ELSE 1.0 END END AS invalidation FROM r""",
     "b11_anonymised_snapshots": f"""WITH {CASE_BARS}, c AS (SELECT symbol, round(({TARGETS})[1 + CAST(('0x' || substr(sha256(symbol), 1, 8))::BIGINT % 6 AS INT)] / median(close), 8) AS coef FROM vis GROUP BY symbol)
-      SELECT symbol AS case_id, i * 86400000 AS open_time, round(round(open * coef, 4), 3) AS open, round(round(close * coef, 4), 3) AS close FROM vis JOIN c USING (symbol)""",
+      SELECT symbol AS case_id, i * 86400000 AS open_time, round(open * coef, 6) AS open, round(close * coef, 6) AS close FROM vis JOIN c USING (symbol)""",
     "b13_future_visible": f"WITH {CASE_BARS} SELECT symbol AS case_id, count(*) AS n, 59 * 86400000::BIGINT AS first, (58 + count(*)) * 86400000::BIGINT AS last FROM placed WHERE (before AND back = 1) OR (NOT before AND ahead <= 10) GROUP BY symbol",
-    "b12_revealed": f"WITH {CASE_BARS} SELECT symbol AS case_id, open_time, round(open, 4) AS open, round(close, 4) AS close FROM vis",
+    "b12_revealed": f"WITH {CASE_BARS} SELECT symbol AS case_id, count(*) AS n, min(open_time) AS first, round(sum(round(close, 4)), 1) AS close FROM vis GROUP BY symbol",
     "a15_combined_scores": f"SELECT k AS id, coalesce({_weighted_sql([n for n, _, _ in _DIMS])}, 0) AS aggregate, {_weighted_sql(ev.SEMANTIC)} AS expert_alignment, {_weighted_sql(ev.DETERMINISTIC)} AS realized_outcome, k % 29 <> 0 AS verdict_ok FROM (SELECT o_orderkey AS k FROM orders)",
     "j11_run_matrix": f"""WITH {ROWS}, angles(control, t, a, suffix) AS (VALUES ('baseline', 'blind', 'anon', ''), ('leakage', 'blind', 'revealed', '__revealed'), ('lookahead', 'future_visible', 'anon', '__fv'))
       SELECT concat_ws('__', case_id, t, a, model, effort) AS run_id, case_id, control, case_id || suffix AS snapshot_name FROM (SELECT DISTINCT case_id FROM rows), angles, (SELECT DISTINCT model, effort FROM rows) WHERE control = 'baseline' OR (model = 'BUILDING' AND effort = '1-URGENT')""",
     "s11_parse_run_ids": f"""WITH {ROWS} SELECT seq, CASE WHEN seq % 9 = 0 THEN concat_ws('__', case_id, model) ELSE concat_ws('__', case_id, time_mode, anon_mode, model, effort) END AS run_id, seq % 9 <> 0 AS run_ok, CASE WHEN seq % 9 <> 0 THEN case_id END AS case_id, CASE WHEN seq % 9 <> 0 THEN time_mode END AS time_mode,
       CASE WHEN seq % 9 <> 0 THEN anon_mode END AS anon_mode, CASE WHEN seq % 9 <> 0 THEN model END AS model, CASE WHEN seq % 9 <> 0 THEN effort END AS effort FROM rows""",
     "j09_ingest_skips": f"WITH {ROWS} SELECT CASE WHEN seq % 6 = 0 THEN 'unfilled' WHEN seq % 5 = 0 THEN 'no_spec' WHEN CAST(case_id AS INT) % 10 = 3 THEN 'no_answer_key' ELSE 'scored' END AS reason, count(*) AS n FROM rows GROUP BY 1",
-    "f19_costs": f"WITH {COSTED} SELECT seq, total_tokens, round(cost_usd, 6) AS cost_usd, round(roi, 3) AS roi, roi_basis FROM roid",
-    "a17_group_report": f"WITH {GROUPS} SELECT model, effort, n, round(round(a, 4), 3) AS mean_aggregate, round(round(e, 4), 3) AS mean_expert_alignment, round(round(r, 4), 3) AS mean_realized_outcome, round(round(t, 4), 3) AS mean_total_tokens, roi_basis FROM g",
-    "a17_event_means": f"WITH {ROWS} SELECT model, effort, event_type, count(*) AS n, round(round(avg(aggregate), 4), 3) AS mean_aggregate FROM rows WHERE time_mode = 'blind' AND anon_mode = 'anon' GROUP BY 1, 2, 3",
-    "o03_ranks": f"WITH {GROUPS} SELECT model, effort, CAST(row_number() OVER (ORDER BY round(a, 4) DESC NULLS LAST, model, effort) AS INT) AS rank_aggregate, CAST(row_number() OVER (PARTITION BY roi_basis ORDER BY round(roi, 4) DESC NULLS LAST, model, effort) AS INT) AS rank_roi FROM g",
+    "f19_costs": f"WITH {COSTED} SELECT seq, total_tokens, round(cost_usd, 6) AS cost_usd, round(roi, 9) AS roi, roi_basis FROM roid",
+    "a17_group_report": f"WITH {GROUPS} SELECT model, effort, n, round(a, 9) AS mean_aggregate, round(e, 9) AS mean_expert_alignment, round(r, 9) AS mean_realized_outcome, round(t, 9) AS mean_total_tokens, roi_basis FROM g",
+    "a17_event_means": f"WITH {ROWS} SELECT model, effort, event_type, count(*) AS n, round(avg(aggregate), 9) AS mean_aggregate FROM rows WHERE time_mode = 'blind' AND anon_mode = 'anon' GROUP BY 1, 2, 3",
+    "o03_ranks": f"WITH {GROUPS} SELECT model, effort, CAST(row_number() OVER (ORDER BY round(a, 9) DESC NULLS LAST, model, effort) AS INT) AS rank_aggregate, CAST(row_number() OVER (PARTITION BY roi_basis ORDER BY round(roi, 9) DESC NULLS LAST, model, effort) AS INT) AS rank_roi FROM g",
     "a20_delta_leakage": "WITH " + DELTA.replace("{to}", "time_mode = 'blind' AND anon_mode = 'revealed'"),
     "a20_delta_lookahead": "WITH " + DELTA.replace("{to}", "time_mode = 'future_visible' AND anon_mode = 'anon'"),
     "b18_reconcile_runs": f"WITH {STATE} SELECT * FROM rec",
