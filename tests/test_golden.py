@@ -251,6 +251,24 @@ def test_ingest(spark):
     assert [r.result for r in ingest.new_gate_results(old, new).collect()] == ["PASS"]
 
 
+def test_cards_and_reports(spark):
+    from tidemark.operators import cards
+
+    c = cards.card_fields(spark.createDataFrame([("a", "---\nsource: s: t\ntype: guess\n---\nx")], "path string, text string"))
+    assert c.first().fields == {"source": "s: t", "type": "guess"}
+    codes = {r.code for r in cards.card_findings(c, ["spring"], ["range"]).collect()}
+    assert {"asset_missing", "type_invalid", "page_or_post_url_missing"} <= codes and "source_missing" not in codes
+    assert one(spark, cards.timeframes(F.lit("Daily and 60 min, not undaily"))) == ["60-minute", "daily"]
+    assert one(spark, cards.timeframe_conflicts(F.lit("intraday"), F.lit("the 5 minute chart"))) is False
+    assert one(spark, cards.judge_input(F.lit("{\"a_path\": 1, \"b\": [{\"open\":1,\"high\":1,\"low\":1,\"close\":1}]}"))) == '{"b": "[REDACTED_CANDLES]"}'
+    assert one(spark, cards.judge_input(F.lit("no json"))) is None
+    bars = series(spark, [1, 2, 3]).withColumn("seq", F.col("open_time"))
+    ok, notes = cards.chart_frame(bars, spark.createDataFrame([("A", 1.0, "x"), ("A", -1.0, "y")], "symbol string, price double, label string"), spark.createDataFrame([("A", 2, "m"), ("A", 3, "out")], "symbol string, bar_idx int, label string"))
+    assert ok.count() == 3 and sorted(r.label for r in notes.collect()) == ["m", "x"]
+    g = spark.createDataFrame([("m", "e", 2, 0.5, None, 0.25, 10.0, None, None, "tokens")], "model string, effort string, n bigint, mean_aggregate double, mean_expert_alignment double, mean_realized_outcome double, mean_total_tokens double, mean_cost_usd double, mean_roi double, roi_basis string")
+    assert cards.report_markdown(g).endswith("| m | e | 2 | 0.5000 | N/A | 0.2500 | 10 | N/A | N/A | tokens |")
+
+
 def test_html():
     page = "<html><nav>menu</nav><article><h1>T &amp; U</h1><p>a <b>b</b></p><ul><li>x</li></ul><img data-src='i.png' src='data:1' alt=' k '><script>no</script></article><p>out</p></html>"
     assert html.to_markdown(page) == "## T & U\na b\n- x\n![k](i.png)"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, values
-from ..operators import ingest, wiki
+from ..operators import cards, ingest, wiki
 from .common import table
 
 
@@ -122,6 +122,35 @@ def w12_reading_order(spark: SparkSession, d: str) -> DataFrame:
     return wiki.reading_order(items)
 
 
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    """An extract card for each order, with flaws by key."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    say = lambda name, v: F.concat(F.lit(f"{name}: "), v, F.lit("\n"))
+    text = F.concat(
+        F.lit("---\n"), F.when(k % 11 != 0, say("source", F.lit("raw/x.md"))).otherwise(""), say("asset", F.when(k % 13 == 0, "None").otherwise("BTC")), say("timeframe", F.when(k % 3 == 0, "daily").otherwise("60 min")),
+        say("wyckoff_event", F.when(k % 4 == 0, "none").when(k % 5 == 0, "odd").otherwise("spring")), say("structure", F.when(k % 6 == 0, "none").otherwise("range")), say("phase", F.when(k % 17 == 0, "F").otherwise("C")), say("image_path", F.lit("i.png")),
+        say("type", F.when(k % 7 == 0, "guess").otherwise("forward")), say("status", F.lit("candidate")), F.when(k % 9 != 0, say("page", F.lit("12"))).otherwise(""), F.when(k % 10 == 1, say("related_events", F.lit("spring, test"))).when(k % 10 == 2, say("related_events", F.lit("test"))).otherwise(""),
+        F.lit("---\nThe "), F.when(k % 2 == 0, "weekly").otherwise("60-minute"), F.lit(" chart.\n"),
+    )
+    return o.select(k.cast("string").alias("path"), text.alias("text"), k.alias("k"))
+
+
+def t12_card_findings(spark: SparkSession, d: str) -> DataFrame:
+    return cards.card_findings(cards.card_fields(_cards(spark, d)), ["spring", "test"], ["range"]).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def t16_timeframe_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    c = _cards(spark, d)
+    declared = F.regexp_extract("text", r"(?m)^timeframe: (.*)$", 1)
+    return c.select("k", cards.timeframe_conflicts(declared, F.regexp_extract("text", r"(?s)---\n.*---\n(.*)$", 1)).alias("conflict"))
+
+
+def b17_judge_inputs(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    said = F.to_json(F.struct("event_id", F.lit("BTC").alias("symbol"), F.lit("x/case_1/chart.png").alias("note"), F.array(F.struct(*(F.col("value").alias(c) for c in ("open", "high", "low", "close")))).alias("seen")))
+    return e.select("event_id", cards.judge_input(said).alias("clean"))
+
+
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     i = F.col("doc_id")
     docs = table(spark, d, "documents").select(i, F.concat(F.when(i % 3 == 0, "raw/").otherwise("wiki/"), i.cast("string"), F.when(i % 5 == 0, ".txt").otherwise(".md")).alias("path"), "text")
@@ -222,6 +251,11 @@ SQL = {
     "a26_consensus": """WITH r AS (SELECT l_orderkey AS image, l_linenumber AS run, count(DISTINCT l_linestatus) AS k, any_value(l_linestatus) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2)
       SELECT image, CASE WHEN count(*) = 3 AND max(k) = 1 AND count(DISTINCT v) = 1 THEN any_value(v) ELSE 'unknown' END AS value FROM r GROUP BY 1""",
     "w12_reading_order": "SELECT l_orderkey AS page, string_agg(CAST(l_partkey AS VARCHAR), chr(10) || chr(10) ORDER BY floor(l_quantity), l_suppkey, l_linenumber, CAST(l_partkey AS VARCHAR)) AS text FROM (SELECT DISTINCT * FROM lineitem) GROUP BY 1",
+    "t12_card_findings": """WITH k AS (SELECT o_orderkey AS k FROM orders), e AS (SELECT k, CASE WHEN k % 4 = 0 THEN 'none' WHEN k % 5 = 0 THEN 'odd' ELSE 'spring' END AS ev, k % 6 = 0 AS sn FROM k),
+      c AS (SELECT unnest(list_filter([CASE WHEN k % 11 = 0 THEN 'source_missing' END, CASE WHEN k % 13 = 0 THEN 'asset_none' END, CASE WHEN ev = 'odd' THEN 'event_unknown' END, CASE WHEN ev = 'none' AND sn THEN 'both_none' END, CASE WHEN k % 17 = 0 THEN 'phase_invalid' END,
+        CASE WHEN k % 7 = 0 THEN 'type_invalid' END, CASE WHEN k % 9 = 0 THEN 'page_or_post_url_missing' END, CASE WHEN (k % 10 = 1 AND ev IN ('spring', 'none')) OR (k % 10 = 2 AND ev = 'none') THEN 'related_events_invalid' END], lambda x: x IS NOT NULL)) AS code FROM e) SELECT code, count(*) AS n FROM c GROUP BY 1""",
+    "t16_timeframe_conflicts": "SELECT o_orderkey AS k, o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AS conflict FROM orders",
+    "b17_judge_inputs": """SELECT event_id, '{"event_id": ' || event_id || ', "note": "[REDACTED_PATH]", "seen": "[REDACTED_CANDLES]"}' AS clean FROM events""",
     "j20_snapshot_changes": f"WITH {SNAPS} SELECT path, kind FROM ch",
     "p15_forbidden_paths": f"WITH {SNAPS} SELECT path, kind FROM ch WHERE path <> 'wiki/5.txt' AND NOT (path LIKE 'wiki/%' AND path LIKE '%.md')",
     "g03_transitions": "WITH b AS (SELECT o_orderkey AS batch, o_orderstatus AS was FROM orders WHERE o_orderkey % 7 <> 0), a AS (SELECT o_orderkey AS batch, CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS now FROM orders WHERE o_orderkey % 5 <> 0) SELECT * FROM b FULL JOIN a USING (batch) WHERE was IS DISTINCT FROM now",
