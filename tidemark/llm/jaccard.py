@@ -8,9 +8,8 @@ members.  A parity bitmap, an upper bound on the overlap, filters member pairs b
 their whole sets are compared.
 
 Only the classes that links make are asked for, so links are looked for twice: first
-between each member and the most central member of each of its buckets, a number of
-pairs that is linear in the prefixes, and then between all candidates that are not yet
-in one class.  A large group of near copies is thereby one class before pairs are
+between each member and the most central group of its buckets, a number of pairs that
+is linear in the prefixes, and then between all candidates that are not yet in one class.  A large group of near copies is thereby one class before pairs are
 formed.  Buckets beyond a block's size are dealt out as pairs of blocks.
 """
 
@@ -22,10 +21,10 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, field_ddl, map_batches
+from .common import Tables, field_ddl, map_batches, sized_broadcast
 from .components import components
 
 #: ASCII letters in lower case.
@@ -106,10 +105,10 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> DataFrame:
     return docs.select(text).mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def frequency_classes(docs: DataFrame, text: str, width: int, most: int = KNOWN) -> tuple[np.ndarray, np.ndarray]:
+def frequency_classes(docs: DataFrame, text: str, width: int, tables: Tables, most: int = KNOWN) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and the class (binary logarithm of the count) of each; at most ``most``."""
     level = F.length(F.bin("n"))
-    counted = checkpoint(frequent_shingles(docs, text, width).withColumn("level", level))
+    counted = tables.write("counted", frequent_shingles(docs, text, width).withColumn("level", level))
     sizes = sorted(((r["level"], r["count"]) for r in counted.groupBy("level").count().collect()), reverse=True)  # 64 rows at most
     least, total = 65, 0
     for at, n in sizes:
@@ -119,6 +118,7 @@ def frequency_classes(docs: DataFrame, text: str, width: int, most: int = KNOWN)
     got = counted.where(F.col("level") >= least).select("shingle", "level").toPandas()
     keys = got["shingle"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(keys)
+    tables.drop("counted")
     return keys[by], got["level"].to_numpy(np.uint64)[by]
 
 
@@ -138,6 +138,12 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def narrow(sig: bytes) -> list[int]:
+    """The bitmap folded or repeated to 256 bits, as four signed numbers: with fewer bits the upper bound is only looser."""
+    x = fold(sig, 32) if len(sig) >= 32 else int.from_bytes(sig, "little")
+    return [int.from_bytes((x >> (64 * k) & (1 << 64) - 1).to_bytes(8), signed=True) for k in range(4)]
+
+
 def fold(sig: bytes, size: int) -> int:
     """The bitmap that ``size`` bytes would hold, as a number."""
     x, n = int.from_bytes(sig, "little"), len(sig)
@@ -178,7 +184,7 @@ def _records(docs: DataFrame, key: str, text: str, width: int, t: Threshold, kno
         known, classes = sent.value
 
         def each(b: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {key: b[key], "n": [], "print": [], "prefix": [], "grp": [], "sig": []}
+            out: dict[str, list] = {key: b[key], "n": [], "print": [], "prefix": [], "grp": [], "sig": [], "bits": []}
             for x in b[text]:
                 s = shingle_set(x, width)
                 n = len(s)
@@ -189,134 +195,108 @@ def _records(docs: DataFrame, key: str, text: str, width: int, t: Threshold, kno
                     out["prefix"].append(prefix)
                     out["grp"].append(int.from_bytes(blake2b(prefix.tobytes() + n.to_bytes(8), digest_size=8).digest(), signed=True))
                     out["sig"].append(parity(s))
+                    out["bits"].append(narrow(out["sig"][-1]))
                 else:
-                    for c in ("prefix", "grp", "sig"):
+                    for c in ("prefix", "grp", "sig", "bits"):
                         out[c].append(None)
             return out
 
         return each
 
-    return map_batches(docs, [key, text], f"`{key}` {field_ddl(docs, key)}, n bigint, print binary, prefix array<bigint>, grp bigint, sig binary", start)
+    return map_batches(docs, [key, text], f"`{key}` {field_ddl(docs, key)}, n bigint, print binary, prefix array<bigint>, grp bigint, sig binary, bits array<bigint>", start)
+
+
+def _near(t: Threshold, na: str, nb: str, pa: str, pb: str) -> Column:
+    """``Threshold.near`` as a column."""
+    n = F.col(na) + F.col(nb)
+    size = F.least(na, nb) * t.den >= t.num * F.greatest(na, nb)
+    return size & ((n - 2 * F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb))) * (t.den + t.num) <= n * (t.den - t.num))
+
+
+def _apart(t: Threshold) -> Column:
+    """The narrow bitmaps of a and b allow the similarity; groups of several members have none and pass."""
+    odd = sum((F.bit_count(F.get("abits", F.lit(k)).bitwiseXOR(F.get("bbits", F.lit(k)))) for k in range(4)), F.lit(0))
+    n = F.col("an") + F.col("bn")
+    # bitmaps of under 256 bits are compared only with their like: sizes that differ more are cut by the length filter or pass
+    same = F.col("abits").isNull() | F.col("bbits").isNull() | (F.col("awide") != F.col("bwide"))
+    return same | (odd * (t.den + t.num) <= n * (t.den - t.num))
+
+
+def _groups(one: DataFrame) -> DataFrame:
+    """A row for each group of records with one prefix and size: grp, n, prefix, members, and its only member's bitmap."""
+    have = one.where(F.col("prefix").isNotNull())
+    g = have.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members"), F.first("bits").alias("bits"))
+    return g.select("grp", F.col("n").cast("int").alias("n"), "prefix", "members", F.when(F.col("members") == 1, F.col("bits")).alias("bits"))
+
+
+def _as(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[c for c in ("token", "i", "j") if c in df.columns], *(F.col(c).alias(side + c) for c in df.columns if c not in ("token", "i", "j")))
+
+
+def _wide(n: Column) -> Column:
+    """Full bitmaps from 256 bits on fold alike; smaller ones are of one width each."""
+    return F.least(F.lit(256), F.call_function("shiftleft", F.lit(1), F.length(F.bin(2 * n.cast("bigint") - 1)).cast("int")))
+
+
+def _hub_groups(hits: DataFrame, t: Threshold) -> DataFrame:
+    """(agrp, bgrp): each group with the hub that it shares most prefix shingles with.
+
+    The hub of a bucket is the group for which the shared shingle comes first in the order: it has the
+    fewest shingles of its own.  The choice only sets which links are looked at first.
+    """
+    of = hits.groupBy("token").agg(F.min(F.struct("pos", "n", "grp")).alias("hub")).select("token", "hub.*")
+    met = _as(hits, "a").join(_as(of, "b"), "token").where((F.col("agrp") != F.col("bgrp")) & _near(t, "an", "bn", "apos", "bpos"))
+    best = met.groupBy("agrp", "bgrp").agg(F.count("*").alias("shared")).groupBy("agrp").agg(F.max(F.struct("shared", "bgrp")).alias("m"))
+    return best.select("agrp", F.col("m.bgrp").alias("bgrp"))
+
+
+def _group_pairs(hits: DataFrame, bits: DataFrame, label: DataFrame, t: Threshold, block: int) -> DataFrame:
+    """All pairs of groups that pass the filters, from buckets with more than one class; a group of several classes has no label."""
+    known = hits.join(bits.select("grp", "bits", "wide"), "grp").join(label, "grp", "left").withColumn("label", F.coalesce("label", "grp"))
+    own = F.coalesce(F.col("mixed"), F.lit(False))
+    mixed = known.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(own).alias("any")).where("low <> high or any").select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    rows = known.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("grp"), F.col("blocks")).cast("int"))
+    # a bucket of several blocks is dealt out as all pairs of them, one with itself included
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("o", other).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o", "blocks")
+    a, b = _as(rows.where("block = i"), "a"), _as(rows.where("block = j"), "b")
+    differ = (F.col("alabel") != F.col("blabel")) | F.coalesce(F.col("amixed"), F.lit(False)) | F.coalesce(F.col("bmixed"), F.lit(False))
+    once = (F.col("i") < F.col("j")) | (F.col("agrp") < F.col("bgrp"))
+    met = a.join(b, ["token", "i", "j"]).where(once & differ & _near(t, "an", "bn", "apos", "bpos") & _apart(t))
+    return met.select("agrp", "bgrp").distinct()
+
 
+def _member_pairs(groups: DataFrame, one: DataFrame, label: DataFrame | None, t: Threshold, first_only: bool) -> DataFrame:
+    """(a, b): members of the paired groups in different classes whose full bitmaps allow the similarity.
 
-def _hub_pairs(members: DataFrame, t: Threshold) -> DataFrame:
-    """For each member its likeliest partner among the most central members of its buckets and of its own group."""
-    hub = F.min(F.struct("pos", "n", "print", "sig")).alias("hub")
-    by_token = members.join(members.groupBy("token").agg(hub), "token").where(F.col("print") != F.col("hub.print"))
+    With ``first_only`` each member of a meets one member of b, the hub, and one of its own group.
+    """
+    have = one.where(F.col("sig").isNotNull()).select("grp", "print", "n", "sig")
+    have = have.join(label.select("print", "label"), "print", "left").withColumn("label", F.coalesce("label", "print")) if label is not None else have.withColumn("label", F.col("print"))
+    lead = have.groupBy("grp").agg(F.min_by(F.struct("print", "n", "sig", "label"), "print").alias("x")).select("grp", "x.*")
+    several = have.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select(F.col("grp").alias("agrp"), F.col("grp").alias("bgrp"))
+    pairs = groups.unionByName(several)
+    met = pairs.join(_as(have, "a"), "agrp").join(_as(lead if first_only else have, "b"), "bgrp").where("alabel <> blabel")
 
     def start():
-        def each(b: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {"a": [], "b": [], "apart": []}
-            for fa, na, pa_, sa, h in zip(b["print"], b["n"], b["pos"], b["sig"], b["hub"], strict=True):
-                nb, sb = h["n"], h["sig"]
-                if t.near(na, nb, pa_, h["pos"]):
-                    size = min(len(sa), len(sb))
-                    d = (fold(sa, size) ^ fold(sb, size)).bit_count()
-                    if d <= t.apart(na + nb):
-                        out["a"].append(fa)
-                        out["b"].append(h["print"])
-                        out["apart"].append(d / (na + nb))
+        def each(x: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {"a": [], "b": []}
+            for fa, fb, na, nb, sa, sb in zip(x["aprint"], x["bprint"], x["an"], x["bn"], x["asig"], x["bsig"], strict=True):
+                size = min(len(sa), len(sb))
+                if fa != fb and (fold(sa, size) ^ fold(sb, size)).bit_count() <= t.apart(na + nb):
+                    out["a"].append(min(fa, fb))
+                    out["b"].append(max(fa, fb))
             return out
 
         return each
 
-    found = map_batches(by_token, ["print", "n", "pos", "sig", "hub"], "a binary, b binary, apart double", start)
-    return found.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, list]]:
-    """Groups of consecutive rows with equal keys; a group is held whole, so it must be bounded."""
-    held: dict[str, list] | None = None
-    last = None
-    for b in batches:
-        cols = {f.name: b.column(i).to_pylist() for i, f in enumerate(b.schema)}
-        ids = list(zip(*(cols[k] for k in keys), strict=True))
-        low = 0
-        for i in range(1, len(ids) + 1):
-            if i == len(ids) or ids[i] != ids[low]:
-                part = {c: v[low:i] for c, v in cols.items()}
-                if held is not None and ids[low] == last:
-                    for c, v in part.items():
-                        held[c] += v
-                else:
-                    if held is not None:
-                        yield held
-                    held, last = part, ids[low]
-                low = i
-    if held is not None:
-        yield held
-
-
-def _bucket_pairs(r: dict[str, list], t: Threshold, cross: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of rows of a bucket that pass the group filter and the bitmap and are in different classes."""
-    n, pos, grp, sig, label, side = r["n"], r["pos"], r["grp"], r["sig"], r["label"], r["side"]
-    by_group: dict[tuple, list[int]] = {}
-    for i in range(len(n)):
-        by_group.setdefault((n[i], pos[i], grp[i], side[i] if cross else 0), []).append(i)
-    groups = sorted(by_group)
-    folded: dict[tuple[int, int], np.ndarray] = {}
-
-    def bits(k: int, size: int) -> np.ndarray:
-        got = folded.get((k, size))
-        if got is None:
-            rows = [fold(sig[i], size).to_bytes(size, "little") for i in by_group[groups[k]]]
-            got = folded[k, size] = np.frombuffer(b"".join(rows), "<u8").reshape(len(rows), -1)
-        return got
+    return map_batches(met, ["aprint", "bprint", "an", "bn", "asig", "bsig"], "a binary, b binary", start).distinct()
 
-    labels = {}
-    for x in label:
-        labels.setdefault(x, len(labels))
-    mark = {g: np.array([labels[label[i]] for i in by_group[g]]) for g in groups}
-    for x, gx in enumerate(groups):
-        for y in range(x, len(groups)):
-            gy = groups[y]
-            if gx[0] * t.den < t.num * gy[0]:
-                break  # groups are sorted by size
-            if cross and gx[3] == gy[3] or not t.near(gx[0], gy[0], gx[1], gy[1]):
-                continue
-            rows_x, rows_y = by_group[gx], by_group[gy]
-            size = min(len(sig[rows_x[0]]), len(sig[rows_y[0]]))
-            limit = t.apart(gx[0] + gy[0])
-            bx, by = bits(x, size), bits(y, size)
-            for k, i in enumerate(rows_x):
-                from_ = k + 1 if x == y else 0
-                open_ = np.flatnonzero(mark[gy][from_:] != mark[gx][k]) + from_
-                if len(open_):
-                    d = np.bitwise_count(by[open_] ^ bx[k]).sum(axis=1)
-                    for j in open_[d <= limit]:
-                        yield i, rows_y[j]
-
-
-def _open_pairs(members: DataFrame, t: Threshold, block: int) -> DataFrame:
-    """All candidate pairs (a, b) whose members are in different classes, from buckets with more than one class."""
-    mixed = members.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    rows = members.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
-    # a bucket of several blocks is dealt out as all pairs of them, one with itself included
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("o", other).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).withColumn("side", F.col("block"))
-    rows = rows.select("token", "i", "j", "side", "pos", "n", "grp", "print", "sig", "label")
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for r in _runs(batches, ["token", "i", "j"]):
-            cross = r["i"][0] != r["j"][0]
-            for x, y in _bucket_pairs(r, t, cross):
-                p, q = r["print"][x], r["print"][y]
-                a.append(min(p, q))
-                b.append(max(p, q))
-            if len(a) > 20_000:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-                a, b = [], []
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, roots: DataFrame, key: str, text: str, width: int, t: Threshold) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, roots: DataFrame, key: str, text: str, width: int, t: Threshold, tables: Tables, name: str) -> DataFrame:
     """The pairs whose whole sets are near; sets are made again, for the documents in question only."""
     wanted = pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct()
-    keys = roots.join(wanted, "print", "left_semi").select(F.col("root").alias("_root")).distinct()
+    keys = sized_broadcast(tables.write(f"{name}_keys", roots.join(wanted, "print", "left_semi").select(F.col("root").alias("_root")).distinct()))
     some = docs.select(key, text).join(keys, F.col(key).eqNullSafe(F.col("_root")), "left_semi")
 
     def start():
@@ -326,7 +306,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, roots: DataFrame, key: str, tex
 
         return each
 
-    sets = checkpoint(map_batches(some, [text], "print binary, members binary", start).dropDuplicates(["print"]))
+    sets = tables.write(name, map_batches(some, [text], "print binary, members binary", start).dropDuplicates(["print"]))
+    tables.drop(f"{name}_keys")
     a, b = sets.select(F.col("print").alias("a"), F.col("members").alias("sa")), sets.select(F.col("print").alias("b"), F.col("members").alias("sb"))
     both = pairs.join(a, "a").join(b, "b")
 
@@ -355,23 +336,44 @@ def near_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, k
     only if all its keys are null; an empty table gives no rows.  Sets are of 64-bit hashes.
     """
     t = Threshold(num, den)
-    known, classes = frequency_classes(docs, text, width)
-    records = checkpoint(_records(docs, key, text, width, t, known, classes))
-    one = records.where(F.col("n") > 0).groupBy("print").agg(F.min(key).alias("root"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("grp").alias("grp"), F.first("sig").alias("sig"))
-    one = checkpoint(one)
+    tables = Tables(docs.sparkSession)
+    known, classes = frequency_classes(docs, text, width, tables)
+    records = tables.write("records", _records(docs, key, text, width, t, known, classes))
+    own = F.first(F.struct("n", "prefix", "grp", "sig", "bits")).alias("own")
+    one = tables.write("one", records.where(F.col("n") > 0).groupBy("print").agg(F.min(key).alias("root"), own).select("print", "root", "own.*"))
     roots = one.select("print", "root")
-    # slim entries first: most prefix shingles are in one set only, and go before bitmaps are joined
-    entries = one.where(F.col("prefix").isNotNull()).select(F.posexplode("prefix").alias("pos", "token"), F.xxhash64("print").alias("id"))
+    groups = tables.write("groups", _groups(one).withColumn("wide", _wide(F.col("n"))))
+    # slim entries: most prefix shingles are in one group only, and go before anything else is joined
+    entries = groups.select(F.posexplode("prefix").alias("pos", "token"), "grp", "n")
     shared = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    hits = entries.join(shared, "token")
-    members = checkpoint(hits.join(one.select(F.xxhash64("print").alias("id"), "print", "n", "grp", "sig"), "id").drop("id"))
-    first = checkpoint(_verified(checkpoint(_hub_pairs(members, t)), docs, roots, key, text, width, t))
-    label = components(first).withColumnRenamed("node", "print")
-    labelled = members.join(label, "print", "left").withColumn("label", F.coalesce("label", "print"))
-    more = _verified(checkpoint(_open_pairs(checkpoint(labelled), t, block)), docs, roots, key, text, width, t)
-    final = components(checkpoint(first.union(more))).withColumnRenamed("node", "print")
-    known_roots = checkpoint(roots.join(final, "print", "left").withColumn("label", F.coalesce("label", "print")))
-    least = known_roots.groupBy("label").agg(F.min("root").alias("component_id"))
-    by_print = known_roots.join(least, "label").select("print", "component_id")
+    hits = tables.write("hits", entries.join(shared, "token").select("token", F.col("pos").cast("int").alias("pos"), "grp", "n"))
+    likely = tables.write("likely", _member_pairs(_hub_groups(hits, t), one, None, t, first_only=True))
+    first = tables.write("first", _verified(likely, docs, roots, key, text, width, t, tables, "sets1"))
+    tables.drop("likely", "sets1")
+    label = tables.write("label", components(first).withColumnRenamed("node", "print"))
+    marked = one.where(F.col("grp").isNotNull()).join(label, "print", "left").withColumn("label", F.coalesce("label", "print"))
+    by_group = tables.write("by_group", marked.groupBy("grp").agg(F.min(F.xxhash64("label")).alias("label"), (F.min("label") != F.max("label")).alias("mixed")))
+    open_ = tables.write("open", _group_pairs(hits, groups, by_group, t, block))
+    tables.drop("hits", "groups", "by_group")
+    pairs = tables.write("pairs", _member_pairs(open_, one, label, t, first_only=False))
+    more = tables.write("more", _verified(pairs, docs, roots, key, text, width, t, tables, "sets2"))
+    tables.drop("open", "pairs", "sets2", "label")
+    final = components(first.union(more)).withColumnRenamed("node", "print")
+    labelled = tables.write("labelled", roots.join(final, "print", "left").withColumn("label", F.coalesce("label", "print")))
+    least = labelled.groupBy("label").agg(F.min("root").alias("component_id"))
+    by_print = tables.write("by_print", labelled.join(least, "label").select("print", "component_id"))
+    tables.drop("one", "first", "more", "labelled")
     out = records.select(key, F.col("n").alias("n_shingles"), "print").join(by_print, "print", "left")
     return out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without those of a class whose key isn't the least in it, with all their columns.
+
+    Rows that repeat in key and text leave one; rows that share a key but not a text are all judged by that key.
+    """
+    classes = near_classes(docs, width, num, den, key, text).withColumnRenamed(key, "__tm_key")
+    gone = sized_broadcast(classes.where(~F.col("__tm_key").eqNullSafe(F.col("component_id"))).select("__tm_key").distinct())
+    kept = docs.join(gone, F.col(key) == F.col("__tm_key"), "left_anti")
+    repeats = docs.groupBy(key).count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates([key, text]) if repeats else kept
