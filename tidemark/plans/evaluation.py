@@ -32,12 +32,12 @@ def _costed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _forecasts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A forecast for each fiftieth event, and the ten hourly bars after it."""
+    """A forecast for each usable signal with a later bar, and the ten hourly bars after it."""
     from ..operators.backtest import next_bars, usable_signals
     from ..sources.bars import with_index
 
     i, v = F.col("signal_id"), F.col("invalidation")
-    s = next_bars(usable_signals(_signals(spark, d).where("signal_id % 50 = 0")).drop("skip"), with_index(_hourly(spark, d)).select("symbol", "timeframe", "bar_idx", "open_time")).where("bar is not null")
+    s = next_bars(usable_signals(_signals(spark, d)).drop("skip"), with_index(_hourly(spark, d)).select("symbol", "timeframe", "bar_idx", "open_time")).where("bar is not null")
     up = F.col("side") == "long"
     f = s.select(
         i.alias("id"), "symbol", F.col("bar.bar_idx").alias("at"), F.when(i % 350 == 0, "stand aside").when(up, "Bullish").otherwise("short").alias("direction"), F.when(up, F.col("target_zone")[0]).otherwise(F.col("target_zone")[0]).alias("trigger"), v.alias("invalidation"),
