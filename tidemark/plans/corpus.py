@@ -47,7 +47,7 @@ def t02_inline_citations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j14_broken_wikilinks(spark: SparkSession, d: str) -> DataFrame:
-    return wiki.broken_wikilinks(_wiki(spark, d).where("doc_id % 500 < 300"))
+    return wiki.broken_wikilinks(_wiki(spark, d))
 
 
 def j13_missing_targets(spark: SparkSession, d: str) -> DataFrame:
