@@ -71,11 +71,16 @@ def _as(df: DataFrame, side: str) -> DataFrame:
     return df.select("token", *(F.col(c).alias(side + c) for c in ("id1", "id2", "first", "n", "pos", "s1", "s2")))
 
 
+def _at() -> Column:
+    """The line of key, line_no is that of at_key, at_line; a null key is one like any other."""
+    return F.col("key").eqNullSafe(F.col("at_key")) & (F.col("line_no") == F.col("at_line"))
+
+
 def _matched(pairs: DataFrame, docs: DataFrame, levels: DataFrame, one: DataFrame, key: str, text: str, t_num: int, t_den: int) -> DataFrame:
     """The later records (id1, id2) of the pairs whose whole sets are near; sets are made again for these lines only."""
     ids = pairs.select(F.col("aid1").alias("id1"), F.col("aid2").alias("id2")).union(pairs.select("bid1", "bid2")).distinct()
-    at = one.join(ids, ["id1", "id2"], "left_semi").select("first.key", "first.line_no")
-    some = exploded(docs, key, text).join(sized_broadcast(at), ["key", "line_no"], "left_semi")
+    at = one.join(ids, ["id1", "id2"], "left_semi").select(F.col("first.key").alias("at_key"), F.col("first.line_no").alias("at_line"))
+    some = exploded(docs, key, text).join(sized_broadcast(at), _at(), "left_semi")
     sets = records(some, levels).select("id1", "id2", "words")
     a = sets.select(F.col("id1").alias("aid1"), F.col("id2").alias("aid2"), F.col("words").alias("aw"))
     b = sets.select(F.col("id1").alias("bid1"), F.col("id2").alias("bid2"), F.col("words").alias("bw"))
@@ -85,14 +90,21 @@ def _matched(pairs: DataFrame, docs: DataFrame, levels: DataFrame, one: DataFram
     return both.where(near).select(F.col("aid1").alias("id1"), F.col("aid2").alias("id2")).distinct()
 
 
-def repeated_lines(docs: DataFrame, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and line_no of every line that an earlier line matches with a Jaccard similarity of at least ``num / den``.
+def _rows(docs: DataFrame, key: str, text: str, tables: Tables) -> DataFrame:
+    """__tm_row, the key and the text of every row; __tm_row names one row and orders as the key does.
 
-    Earlier is by key, then place in the text.  Words are case-sensitive.  Lines without words match nothing.
-    An earlier line counts even if it is itself removed.  Null texts have no words; rows that repeat a key
-    and text are separate, and all but one lose their lines; a null key comes before all others.
+    It is the key itself if no two rows share one.  Else it is the key, a print of the text and a serial
+    number, and the rows are written once, as the number may differ from one reading to the next.
     """
-    tables = Tables(docs.sparkSession)
+    slim = docs.select(F.col(key), F.col(text), F.col(key).alias("__tm_row"))
+    if slim.groupBy("__tm_row").count().where("count > 1").isEmpty():
+        return slim
+    name = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.monotonically_increasing_id().alias("serial"))
+    return tables.write("rows", slim.withColumn("__tm_row", name))
+
+
+def _repeats(docs: DataFrame, num: int, den: int, key: str, text: str, tables: Tables) -> DataFrame:
+    """key and line_no of the lines to go, where ``key`` names one row."""
     levels = tables.write("levels", word_levels(exploded(docs, key, text)))
     made = records(exploded(docs, key, text), levels).where("n > 0")
     prefix = F.slice("words", F.lit(1), F.when(F.col("n") * den >= num * (F.col("n") + 1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1).otherwise(0))
@@ -112,25 +124,38 @@ def repeated_lines(docs: DataFrame, num: int = 8, den: int = 10, key: str = "doc
     more = tables.write("more", _matched(pairs, docs, levels, one, key, text, num, den))
     near = gone.unionByName(more).withColumn("near", F.lit(True))
     # every line of a record goes but its first, and that one too if the record matches an earlier one
-    firsts = tables.write("firsts", one.join(near, ["id1", "id2"], "left").where("near is null").select("first.key", "first.line_no"))
+    firsts = tables.write("firsts", one.join(near, ["id1", "id2"], "left").where("near is null").select(F.col("first.key").alias("at_key"), F.col("first.line_no").alias("at_line")))
     tables.drop("likely", "pairs", "one", "gone", "more")
     worded = exploded(docs, key, text).where(F.trim("line", F.lit(WS_CHARS)) != "").select("key", "line_no")
-    return worded.join(firsts, ["key", "line_no"], "left_anti").withColumnRenamed("key", key)
+    return worded.join(firsts, _at(), "left_anti")
 
 
-def without_repeats(docs: DataFrame, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each key: n_lines, n_removed, ``removed`` (their numbers), and the text that is left.
+def repeated_lines(docs: DataFrame, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and line_no of every line that an earlier line matches with a Jaccard similarity of at least ``num / den``.
 
-    Rows that share a key are numbered together as one text each; keys should name one row.
+    Earlier is by key, then place in the text.  Words are case-sensitive.  Lines without words match nothing.
+    An earlier line counts even if it is itself removed.  Null texts have no words; rows that repeat a key
+    and text are separate, and all but one lose their lines; a null key comes before all others.  Rows of one
+    key and unlike texts are ordered by a print of the text.
     """
-    gone = repeated_lines(docs, num, den, key, text).groupBy(F.col(key).alias("__tm_key")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     tables = Tables(docs.sparkSession)
-    gone = tables.write("gone", gone)
+    rows = _rows(docs, key, text, tables)
+    gone = _repeats(rows, num, den, "__tm_row", text, tables)
+    named = F.col("key.key") if "rows" in tables.paths else F.col("key")
+    return gone.select(named.alias(key), "line_no")
+
+
+def without_repeats(docs: DataFrame, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row: key, n_lines, n_removed, ``removed`` (the numbers of its lines), and the text that is left."""
+    tables = Tables(docs.sparkSession)
+    rows = _rows(docs, key, text, tables)
+    gone = _repeats(rows, num, den, "__tm_row", text, tables).groupBy(F.col("key").alias("__tm_key")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    gone = tables.write("removed", gone)
     # sent to every task only if all its lists together are short
     small = (gone.agg(F.sum(F.size("removed") + 8)).first()[0] or 0) <= 4 * FEW_ROWS
     gone = F.broadcast(gone) if small else gone
-    out = docs.select(key, text).join(gone, F.col(key).eqNullSafe(F.col("__tm_key")), "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    out = rows.join(gone, F.col("__tm_row").eqNullSafe(F.col("__tm_key")), "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("removed"), s["i"]))
     kept = F.when(F.col(text).isNotNull(), F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
     return out.select(key, F.size(lines).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", kept.alias(text))
