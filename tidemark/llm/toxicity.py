@@ -26,6 +26,8 @@ MOST_LABELLED = 8_000
 #: Documents of the sample that must hold a word before it counts.
 LEAST_DOCS = 3
 FOLDS = 3
+#: Made-up negatives beside half a positive that a base rate is smoothed with: no evidence is far from a rejection.
+PRIOR_NEGATIVES = 9.5
 PENALTY = 0.5
 MEMO = 400_000
 
@@ -102,11 +104,11 @@ def _minimise(value, x: np.ndarray, rounds: int = 60, memory: int = 8) -> np.nda
 
 
 def fit_linear(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, penalty: float = PENALTY, least_docs: int = LEAST_DOCS) -> Linear:
-    """Fit one category.  Without both classes the model is the smoothed base rate."""
+    """Fit one category.  Without both classes the model is the base rate, smoothed towards 0.05, which an empty sample gives."""
     n, pos = len(y), float(y.sum())
     words = np.zeros(WIDTH, np.float32)
     if n == 0 or pos in (0.0, float(n)):
-        return Linear(words, np.zeros(earlier.shape[1]), float(np.log((pos + 0.5) / (n - pos + 0.5))))
+        return Linear(words, np.zeros(earlier.shape[1]), float(np.log((pos + 0.5) / (n - pos + PRIOR_NEGATIVES))))
     flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
     lengths = np.array([len(r) for r in rows])
     of = np.repeat(np.arange(n), lengths)
