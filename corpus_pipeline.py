@@ -12,7 +12,8 @@ from tidemark.llm import contamination, jaccard, mixing, shards, toxicity
 from tidemark.llm.common import Tables, read_table
 from tidemark.session import ship_package
 
-#: No SQL has these rows: the classifier of the first stage is fitted.  Tests hold each stage against brute force.
+#: No SQL has these rows: the classifier of the first stage is fitted.  Tests hold copies, decontamination
+#: and shards against brute force, the mix against its totals by source, and toxicity against held-out labels.
 ORACLE_SQL = None
 
 
