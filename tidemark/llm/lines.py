@@ -3,27 +3,36 @@
 A line is the set of its words.  Words are put into one global order, rare ones first, by
 counts in a fixed number of hash cells over all lines, so that the order needs no join.
 Lines with equal sets are one record.  Two records over the threshold share a word of
-their prefixes; length, position and a parity bitmap filter the pairs that share one, and
+their prefixes: one of a short prefix of the smaller set and one of a longer prefix of the
+larger.  A word whose cell was hit once is in one record only and pairs nothing.  Length
+and position filters, applied in part by the key (a prefix word goes to the size classes
+that its place still allows), and a parity bitmap filter the pairs that share a word, and
 pairs that pass are verified on their whole sets.
 
 Only whether an earlier match exists is asked for.  So lines are first held against the
-earliest line of each bucket of their three rarest words, a number of pairs that is linear
-in the lines and settles groups of near copies; only lines still open are then joined with
-all earlier ones.  Everything here is DataFrame functions.
+earliest line of each bucket of their three rarest shared words, a number of pairs that is
+linear in the lines and settles groups of near copies; then only pairs whose later line is
+still open are formed.  Everything here is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW_ROWS, WS_CHARS, Tables, sized_broadcast, word_array
+from .common import FEW_ROWS, WS_CHARS, WS_RUN, Tables, sized_broadcast
 
-#: Hash cells of the word counts, and the bits that a word keeps beside its frequency class.
-CELLS = 1 << 18
+#: Hash cells of the word counts, cells of a block while they are put in order, and the bits that a word keeps beside its level.
+CELLS, BLOCK = 1 << 21, 1 << 11
 KEPT = (1 << 56) - 1
-#: Prefix words that the first pass looks at.
+#: Levels of rarity for each doubling of a cell's count; level 0 is a count of one.
+STEPS = 4
+#: Shared prefix words that the first pass looks at.
 LEADING = 3
+#: Ratio of neighbouring size classes.
+CLASS_RATIO = 1.25
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -31,44 +40,118 @@ def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
 
 
-def word_levels(lines: DataFrame) -> DataFrame:
-    """One row with ``levels``: for each cell the binary logarithm of how many words of all lines fall into it."""
-    hashes = lines.select(F.explode(F.transform(word_array(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-    counts = hashes.groupBy((F.col("h").bitwiseAND(CELLS - 1)).alias("cell")).agg(F.count("*").alias("n"))
-    cells = lines.sparkSession.range(CELLS).withColumnRenamed("id", "cell").join(counts, "cell", "left")
-    level = F.coalesce(F.length(F.bin("n")), F.lit(0)).cast("tinyint")
-    return cells.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", level.alias("level")))), lambda x: x["level"]).alias("levels"))
+def word_levels(docs: DataFrame, text: str) -> DataFrame:
+    """One row with ``levels``: for each cell the logarithm of how many words of all texts fall into it (none: 0)."""
+    words = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), WS_RUN)).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count("*").alias("n"))
+    level = F.floor(F.log2(F.coalesce(F.col("n"), F.lit(1)).cast("double")) * STEPS).cast("tinyint")
+    cells = docs.sparkSession.range(CELLS).withColumnRenamed("id", "cell").join(counts, "cell", "left").select((F.col("cell") % BLOCK).cast("int").alias("at"), F.expr(f"cell div {BLOCK}").cast("int").alias("block"), level.alias("level"))
+    in_order = lambda at, what: F.transform(F.sort_array(F.collect_list(F.struct(at, what))), lambda x: x[what])
+    blocks = cells.groupBy("block").agg(in_order("at", "level").alias("levels"))
+    return blocks.agg(F.flatten(in_order("block", "levels")).alias("levels"))
+
+
+def word_sets(lines: DataFrame, levels: DataFrame) -> DataFrame:
+    """key, line_no and ``words``, the set in the global order, of the lines that have words."""
+    bare = lines.select("key", "line_no", F.trim("line", F.lit(WS_CHARS)).alias("bare")).where("bare <> ''")
+    # the levels are a scalar that the lambda takes by reference: as a joined column they would be copied for every line
+    given = F.array(F.struct(F.transform(F.split("bare", WS_RUN), lambda w: F.xxhash64(w)).alias("h"), levels.scalar().alias("levels")))
+    level = lambda g, h: F.get(g["levels"], h.bitwiseAND(CELLS - 1).cast("int")).cast("bigint")
+    placed = F.transform("given", lambda g: F.transform(g["h"], lambda h: F.call_function("shiftleft", level(g, h), F.lit(56)).bitwiseOR(h.bitwiseAND(KEPT))))
+    return bare.select("key", "line_no", given.alias("given")).select("key", "line_no", F.sort_array(F.array_distinct(F.get(placed, F.lit(0)))).alias("words"))
+
+
+def _parity(words: Column) -> Column:
+    """64 parity bits of a set, by the low six bits of each word's hash."""
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))))
 
 
-def _bits(words: Column, shift: int) -> Column:
-    """64 parity bits of a set, by six bits of each word's hash."""
-    place = lambda x: F.call_function("shiftright", x, F.lit(shift)).bitwiseAND(63).cast("int")
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), place(x))))
+def first_records(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """A row for each distinct set: key and line_no of its first line, n, ``prefix`` (none if no other set can be near) and parity."""
+    length = F.when(F.col("n") * den >= num * (F.col("n") + 1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1).otherwise(0)
+    made = sets.select("key", "line_no", "words", F.size("words").alias("n"), F.xxhash64("words").alias("id1"), F.xxhash64(F.lit(7), "words").alias("id2"))
+    made = made.select("key", "line_no", "id1", "id2", "n", F.slice("words", F.lit(1), length).alias("prefix"), _parity(F.col("words")).alias("odd"))
+    grouped = made.groupBy("id1", "id2").agg(F.min(F.struct("key", "line_no")).alias("at"), F.first(F.struct("n", "prefix", "odd")).alias("own"))
+    return grouped.select("at.*", "own.*")
 
 
-def records(lines: DataFrame, levels: DataFrame) -> DataFrame:
-    """key, line_no, n, id1, id2 (a 128-bit print of the set) and ``words``, the set in the global order."""
-    hashes = F.transform(word_array(F.col("line")), lambda w: F.xxhash64(w))
-    ranked = lines.withColumn("h", hashes).crossJoin(F.broadcast(levels))  # a single row
-    level = lambda h: F.get(F.col("levels"), h.bitwiseAND(CELLS - 1).cast("int")).cast("bigint")
-    words = F.sort_array(F.array_distinct(F.transform("h", lambda h: F.call_function("shiftleft", level(h), F.lit(56)).bitwiseOR(h.bitwiseAND(KEPT)))))
-    out = ranked.select("key", "line_no", words.alias("words"))
-    return out.select("key", "line_no", "words", F.size("words").alias("n"), F.xxhash64("words").alias("id1"), F.xxhash64(F.lit(7), "words").alias("id2"))
+def _entries(records: DataFrame, leading: int | None = None) -> DataFrame:
+    """A row for each prefix word that another record may hold, or for the first ``leading`` of them."""
+    alone = F.size(F.filter("prefix", lambda t: t <= KEPT))
+    rows = records.select(*(c for c in records.columns if c != "prefix"), *([alone.alias("alone")] if leading else []), F.posexplode("prefix").alias("pos", "token")).where(F.col("token") > KEPT)
+    return rows.where(F.col("pos") < F.col("alone") + leading).drop("alone") if leading else rows
 
 
-def _candidate(t_num: int, t_den: int) -> Column:
-    """Length, position and bitmap filters of the pair a (later) and b (earlier)."""
+def _candidate(num: int, den: int) -> Column:
+    """Length, position and parity filters of a pair of entries."""
     n = F.col("an") + F.col("bn")
-    size = F.least("an", "bn") * t_den >= t_num * F.greatest("an", "bn")
+    size = F.least("an", "bn") * den >= num * F.greatest("an", "bn")
     # at most this many words are in one of the sets only; the rest after the shared word bounds the overlap
-    apart = (t_den - t_num) * n
-    place = (n - 2 * F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos"))) * (t_den + t_num) <= apart
-    odd = lambda s: F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}")))
-    return size & place & (F.greatest(odd("s1"), odd("s2")) * (t_den + t_num) <= apart)
+    apart = (den - num) * n
+    place = (n - 2 * F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos"))) * (den + num) <= apart
+    return size & place & (F.bit_count(F.col("aodd").bitwiseXOR(F.col("bodd"))) * (den + num) <= apart)
+
+
+def _as(df: DataFrame, side: str, on: str = "token") -> DataFrame:
+    return df.select(on, *(F.col(c).alias(side + c) for c in df.columns if c != on))
+
+
+def _before(a: str, b: str) -> Column:
+    """The line of side ``a`` comes before that of ``b``; a null key comes first."""
+    return F.struct(f"{a}key", f"{a}line_no") < F.struct(f"{b}key", f"{b}line_no")
+
 
+def _pair(later: str, earlier: str) -> list[Column]:
+    return [F.col(f"{later}key").alias("lkey"), F.col(f"{later}line_no").alias("lline"), F.col(f"{earlier}key").alias("ekey"), F.col(f"{earlier}line_no").alias("eline")]
 
-def _as(df: DataFrame, side: str) -> DataFrame:
-    return df.select("token", *(F.col(c).alias(side + c) for c in ("id1", "id2", "first", "n", "pos", "s1", "s2")))
+
+def hub_pairs(records: DataFrame, num: int, den: int) -> DataFrame:
+    """Each record with the first record of each bucket of its leading words."""
+    lead = _entries(records, LEADING)
+    hubs = lead.groupBy("token").agg(F.min(F.struct("key", "line_no", "n", "pos", "odd")).alias("hub")).select("token", "hub.*")
+    return _as(lead, "a").join(_as(hubs, "b"), "token").where(_before("b", "a") & _candidate(num, den)).select(*_pair("a", "b")).distinct()
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(CLASS_RATIO)).cast("int")
+
+
+def open_pairs(records: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of records that pass the filters and whose later record is not ``gone``.
+
+    The smaller set (ties by line) sends each word of its short prefix to the size classes that the word's
+    place allows, the larger one each word of its prefix to its own class.  A gone record meets open ones
+    only: bucket 0 holds all smaller and the open larger records, bucket 1 the open smaller and the gone larger.
+    """
+    rows = _entries(records)
+    n, pos = F.col("n"), F.col("pos")
+    most = F.floor((n * den - pos * (den + num)) / F.lit(num))
+    short = rows.where(pos * (den + num) <= n * (den - num)).withColumn("class", F.explode(F.sequence(_size_class(n), _size_class(F.greatest(most, n)))))
+    small = short.withColumn("side", F.explode(F.when(F.col("gone"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    large = rows.withColumn("class", _size_class(n)).withColumn("side", F.col("gone").cast("int"))
+    # one number names word, class and side; should two share it, the filters and the check on whole sets part them
+    keyed = lambda df: df.select(F.xxhash64("token", "class", "side").alias("bucket"), "key", "line_no", "n", "pos", "odd", "gone")
+    ordered = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & _before("a", "b"))
+    b_later = _before("a", "b")
+    wanted = F.when(b_later, ~F.col("bgone")).otherwise(~F.col("agone"))
+    met = _as(keyed(small), "a", "bucket").join(_as(keyed(large), "b", "bucket"), "bucket").where(ordered & _candidate(num, den) & wanted)
+    pairs = met.select(*(F.when(b_later, x).otherwise(y).alias(name) for x, y, name in zip(_pair("b", "a"), _pair("a", "b"), ("lkey", "lline", "ekey", "eline"), strict=True)))
+    return pairs.distinct()
+
+
+def _matched(pairs: DataFrame, docs: DataFrame, levels: DataFrame, key: str, text: str, num: int, den: int) -> DataFrame:
+    """at_key, at_line of the later lines of the pairs whose whole sets are near; sets are made again for these lines only."""
+    at = pairs.select(F.col("lkey").alias("at_key"), F.col("lline").alias("line_no")).union(pairs.select("ekey", "eline"))
+    wanted = at.groupBy("at_key").agg(F.collect_set("line_no").alias("wanted"))  # lines of one text
+    some = docs.select(F.col(key).alias("key"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines")).join(sized_broadcast(wanted), F.col("key").eqNullSafe(F.col("at_key")))
+    some = some.select("key", "lines", F.explode("wanted").alias("line_no")).select("key", "line_no", F.get("lines", F.col("line_no")).alias("line"))
+    sets = word_sets(some, levels)
+    named = lambda s: sets.select(F.col("key").alias(f"_{s}key"), F.col("line_no").alias(f"_{s}line"), F.col("words").alias(f"{s}w"))
+    same = lambda s: F.col(f"{s}key").eqNullSafe(F.col(f"_{s}key")) & (F.col(f"{s}line") == F.col(f"_{s}line"))
+    both = pairs.join(named("l"), same("l")).join(named("e"), same("e"))
+    shared = F.size(F.array_intersect("lw", "ew"))
+    near = den * shared >= num * (F.size("lw") + F.size("ew") - shared)
+    return both.where(near).select(F.col("lkey").alias("at_key"), F.col("lline").alias("at_line")).distinct()
 
 
 def _at() -> Column:
@@ -76,20 +159,6 @@ def _at() -> Column:
     return F.col("key").eqNullSafe(F.col("at_key")) & (F.col("line_no") == F.col("at_line"))
 
 
-def _matched(pairs: DataFrame, docs: DataFrame, levels: DataFrame, one: DataFrame, key: str, text: str, t_num: int, t_den: int) -> DataFrame:
-    """The later records (id1, id2) of the pairs whose whole sets are near; sets are made again for these lines only."""
-    ids = pairs.select(F.col("aid1").alias("id1"), F.col("aid2").alias("id2")).union(pairs.select("bid1", "bid2")).distinct()
-    at = one.join(ids, ["id1", "id2"], "left_semi").select(F.col("first.key").alias("at_key"), F.col("first.line_no").alias("at_line"))
-    some = exploded(docs, key, text).join(sized_broadcast(at), _at(), "left_semi")
-    sets = records(some, levels).select("id1", "id2", "words")
-    a = sets.select(F.col("id1").alias("aid1"), F.col("id2").alias("aid2"), F.col("words").alias("aw"))
-    b = sets.select(F.col("id1").alias("bid1"), F.col("id2").alias("bid2"), F.col("words").alias("bw"))
-    both = pairs.join(a, ["aid1", "aid2"]).join(b, ["bid1", "bid2"])
-    shared = F.size(F.array_intersect("aw", "bw"))
-    near = t_den * shared >= t_num * (F.size("aw") + F.size("bw") - shared)
-    return both.where(near).select(F.col("aid1").alias("id1"), F.col("aid2").alias("id2")).distinct()
-
-
 def _rows(docs: DataFrame, key: str, text: str, tables: Tables) -> DataFrame:
     """__tm_row, the key and the text of every row; __tm_row names one row and orders as the key does.
 
@@ -105,27 +174,17 @@ def _rows(docs: DataFrame, key: str, text: str, tables: Tables) -> DataFrame:
 
 def _repeats(docs: DataFrame, num: int, den: int, key: str, text: str, tables: Tables) -> DataFrame:
     """key and line_no of the lines to go, where ``key`` names one row."""
-    levels = tables.write("levels", word_levels(exploded(docs, key, text)))
-    made = records(exploded(docs, key, text), levels).where("n > 0")
-    prefix = F.slice("words", F.lit(1), F.when(F.col("n") * den >= num * (F.col("n") + 1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1).otherwise(0))
-    own = F.first(F.struct("n", prefix.alias("prefix"), _bits(F.col("words"), 0).alias("s1"), _bits(F.col("words"), 6).alias("s2"))).alias("own")
-    grouped = made.groupBy("id1", "id2").agg(F.min(F.struct("key", "line_no")).alias("first"), own)
-    one = tables.write("one", grouped.select("id1", "id2", "first", "own.*"))
-    entries = one.where(F.size("prefix") > 0).select("id1", "id2", "first", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "token"))
-    lead = entries.where(F.col("pos") < LEADING)
-    hub = F.min(F.struct("first", "id1", "id2", "n", "pos", "s1", "s2")).alias("hub")
-    hubs = lead.groupBy("token").agg(hub).select("token", "hub.*")
-    test = (F.col("bfirst") < F.col("afirst")) & _candidate(num, den)
-    ids = ["aid1", "aid2", "bid1", "bid2"]
-    likely = tables.write("likely", _as(lead, "a").join(_as(hubs, "b"), "token").where(test).select(*ids).distinct())
-    gone = tables.write("gone", _matched(likely, docs, levels, one, key, text, num, den))
-    open_ = entries.join(gone, ["id1", "id2"], "left_anti")
-    pairs = tables.write("pairs", _as(open_, "a").join(_as(entries, "b"), "token").where(test).select(*ids).distinct())
-    more = tables.write("more", _matched(pairs, docs, levels, one, key, text, num, den))
-    near = gone.unionByName(more).withColumn("near", F.lit(True))
+    levels = tables.write("levels", word_levels(docs, text))
+    one = tables.write("one", first_records(word_sets(exploded(docs, key, text), levels), num, den))
+    likely = tables.write("likely", hub_pairs(one, num, den))
+    gone = tables.write("gone", _matched(likely, docs, levels, key, text, num, den))
+    marked = one.join(sized_broadcast(gone), _at(), "left").withColumn("gone", F.col("at_line").isNotNull()).drop("at_key", "at_line")
+    pairs = tables.write("pairs", open_pairs(marked, num, den))
+    more = tables.write("more", _matched(pairs, docs, levels, key, text, num, den))
     # every line of a record goes but its first, and that one too if the record matches an earlier one
-    firsts = tables.write("firsts", one.join(near, ["id1", "id2"], "left").where("near is null").select(F.col("first.key").alias("at_key"), F.col("first.line_no").alias("at_line")))
-    tables.drop("likely", "pairs", "one", "gone", "more")
+    firsts = one.select("key", "line_no").join(sized_broadcast(gone.unionByName(more)), _at(), "left_anti")
+    firsts = tables.write("firsts", firsts.select(F.col("key").alias("at_key"), F.col("line_no").alias("at_line")))
+    tables.drop("levels", "likely", "pairs", "one", "gone", "more")
     worded = exploded(docs, key, text).where(F.trim("line", F.lit(WS_CHARS)) != "").select("key", "line_no")
     return worded.join(firsts, _at(), "left_anti")
 
