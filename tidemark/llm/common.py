@@ -50,6 +50,8 @@ class Tables:
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = self.paths[name] = f"{self.top}/{name}"
         df.write.parquet(path)
+        # the shuffles that led here are not read again; Spark deletes their files once the driver has collected what names them
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

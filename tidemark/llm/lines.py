@@ -10,7 +10,7 @@ that its place still allows), and a parity bitmap filter the pairs that share a
 pairs that pass are verified on their whole sets.
 
 Only whether an earlier match exists is asked for.  So lines are first held against the
-earliest line of each bucket of their three rarest shared words, a number of pairs that is
+earliest line of each bucket of their two rarest shared words, a number of pairs that is
 linear in the lines and settles groups of near copies; then only pairs whose later line is
 still open are formed.  Everything here is DataFrame functions.
 """
@@ -30,7 +30,9 @@ KEPT = (1 << 56) - 1
 #: Levels of rarity for each doubling of a cell's count; level 0 is a count of one.
 STEPS = 4
 #: Shared prefix words that the first pass looks at.
-LEADING = 3
+LEADING = 2
+#: Sets up to this size have a parity bitmap; 64 bits tell larger ones from nothing.
+MOST_PARITY = 112
 #: Ratio of neighbouring size classes.
 CLASS_RATIO = 1.25
 
@@ -62,7 +64,7 @@ def word_sets(lines: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def _parity(words: Column) -> Column:
-    """64 parity bits of a set, by the low six bits of each word's hash."""
+    """64 parity bits of a set, by the low six bits of each word's hash: two sets differ in as many words as bits at least."""
     return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))))
 
 
@@ -70,7 +72,7 @@ def first_records(sets: DataFrame, num: int, den: int) -> DataFrame:
     """A row for each distinct set: key and line_no of its first line, n, ``prefix`` (none if no other set can be near) and parity."""
     length = F.when(F.col("n") * den >= num * (F.col("n") + 1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1).otherwise(0)
     made = sets.select("key", "line_no", "words", F.size("words").alias("n"), F.xxhash64("words").alias("id1"), F.xxhash64(F.lit(7), "words").alias("id2"))
-    made = made.select("key", "line_no", "id1", "id2", "n", F.slice("words", F.lit(1), length).alias("prefix"), _parity(F.col("words")).alias("odd"))
+    made = made.select("key", "line_no", "id1", "id2", "n", F.slice("words", F.lit(1), length).alias("prefix"), F.when((F.col("n") <= MOST_PARITY) & (length > 0), _parity(F.col("words"))).alias("odd"))
     grouped = made.groupBy("id1", "id2").agg(F.min(F.struct("key", "line_no")).alias("at"), F.first(F.struct("n", "prefix", "odd")).alias("own"))
     return grouped.select("at.*", "own.*")
 
@@ -89,7 +91,7 @@ def _candidate(num: int, den: int) -> Column:
     # at most this many words are in one of the sets only; the rest after the shared word bounds the overlap
     apart = (den - num) * n
     place = (n - 2 * F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos"))) * (den + num) <= apart
-    return size & place & (F.bit_count(F.col("aodd").bitwiseXOR(F.col("bodd"))) * (den + num) <= apart)
+    return size & place & F.coalesce(F.bit_count(F.col("aodd").bitwiseXOR(F.col("bodd"))) * (den + num) <= apart, F.lit(True))
 
 
 def _as(df: DataFrame, side: str, on: str = "token") -> DataFrame:
@@ -120,23 +122,31 @@ def open_pairs(records: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of records that pass the filters and whose later record is not ``gone``.
 
     The smaller set (ties by line) sends each word of its short prefix to the size classes that the word's
-    place allows, the larger one each word of its prefix to its own class.  A gone record meets open ones
-    only: bucket 0 holds all smaller and the open larger records, bucket 1 the open smaller and the gone larger.
+    place allows, the larger one each word of its prefix to its own class.  Two gone records never meet: all
+    smaller ones meet the open larger ones, and the open smaller ones the gone larger ones, which are few.
     """
     rows = _entries(records)
     n, pos = F.col("n"), F.col("pos")
     most = F.floor((n * den - pos * (den + num)) / F.lit(num))
     short = rows.where(pos * (den + num) <= n * (den - num)).withColumn("class", F.explode(F.sequence(_size_class(n), _size_class(F.greatest(most, n)))))
-    small = short.withColumn("side", F.explode(F.when(F.col("gone"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
-    large = rows.withColumn("class", _size_class(n)).withColumn("side", F.col("gone").cast("int"))
-    # one number names word, class and side; should two share it, the filters and the check on whole sets part them
-    keyed = lambda df: df.select(F.xxhash64("token", "class", "side").alias("bucket"), "key", "line_no", "n", "pos", "odd", "gone")
+    # one number names word and class (should two share it, the filters and the check on whole sets part them), one the place: size, position, gone
+    place = F.call_function("shiftleft", n.cast("bigint"), F.lit(32)).bitwiseOR(F.call_function("shiftleft", pos.cast("bigint"), F.lit(1))).bitwiseOR(F.col("gone").cast("bigint"))
+    keyed = lambda df, s: df.select(F.xxhash64("token", "class").alias("bucket"), F.col("key").alias(f"{s}key"), F.col("line_no").alias(f"{s}line_no"), place.alias(f"{s}place"), F.col("odd").alias(f"{s}odd"))
+    large = rows.withColumn("class", _size_class(n))
+    first = keyed(short, "a").join(keyed(large.where("not gone"), "b"), "bucket")
+    second = keyed(short.where("not gone"), "a").join(sized_broadcast(keyed(large.where("gone"), "b")), "bucket")
     ordered = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & _before("a", "b"))
     b_later = _before("a", "b")
     wanted = F.when(b_later, ~F.col("bgone")).otherwise(~F.col("agone"))
-    met = _as(keyed(small), "a", "bucket").join(_as(keyed(large), "b", "bucket"), "bucket").where(ordered & _candidate(num, den) & wanted)
-    pairs = met.select(*(F.when(b_later, x).otherwise(y).alias(name) for x, y, name in zip(_pair("b", "a"), _pair("a", "b"), ("lkey", "lline", "ekey", "eline"), strict=True)))
-    return pairs.distinct()
+
+    def passed(met: DataFrame) -> DataFrame:
+        for s in "ab":
+            of = F.col(f"{s}place")
+            met = met.withColumns({f"{s}n": F.call_function("shiftright", of, F.lit(32)), f"{s}pos": F.call_function("shiftright", of, F.lit(1)).bitwiseAND((1 << 31) - 1), f"{s}gone": of.bitwiseAND(1) == 1})
+        met = met.where(_candidate(num, den) & ordered & wanted)
+        return met.select(*(F.when(b_later, x).otherwise(y).alias(name) for x, y, name in zip(_pair("b", "a"), _pair("a", "b"), ("lkey", "lline", "ekey", "eline"), strict=True)))
+
+    return passed(first).union(passed(second)).distinct()
 
 
 def _matched(pairs: DataFrame, docs: DataFrame, levels: DataFrame, key: str, text: str, num: int, den: int) -> DataFrame:
