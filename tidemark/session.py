@@ -23,9 +23,15 @@ def local_session(cores: str = "*", **settings: str) -> SparkSession:
     return SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
 
 
+#: Bytes of an Arrow batch between the JVM and Python; by rows alone, batches of long texts are large on both sides.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session: their Python need not have it installed."""
+    """Send this package to the executors, once a session (their Python need not have it installed), and bound Arrow batches."""
     sc = spark.sparkContext
+    if int(spark.conf.get(BATCH[0], str(2**31 - 1))) == 2**31 - 1:  # not set by the session's owner
+        spark.conf.set(BATCH[0], str(BATCH[1]))
     if getattr(sc, "_tidemark_shipped", False):
         return
     top = Path(__file__).resolve().parent
