@@ -22,13 +22,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset on one machine, as in tests."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
     made = spark.sparkContext.getCheckpointDir()
     if made:
         return made.rsplit("/", 1)[0]
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="tidemark-checkpoints-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -72,14 +74,25 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, WS_RUN))).cast("long")
 
 
+#: Rows that are Python objects at once; a batch's columns are turned into lists piece by piece.
+PIECE_ROWS = 512
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows; what Arrow has kept for itself is given back when they end."""
+    for b in batches:
+        yield from (b.slice(k, PIECE_ROWS) for k in range(0, b.num_rows, PIECE_ROWS))
+    pa.default_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, columns: list[str], schema: str | T.StructType, fn: Callable[..., Callable[[dict[str, list]], dict[str, list]]], *args) -> DataFrame:
-    """Give each Arrow batch of ``columns`` to ``fn(*args)``'s result, as lists; it returns lists by output column."""
+    """Give pieces of the Arrow batches of ``columns`` to ``fn(*args)``'s result, as lists; it returns lists by output column."""
     struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = fn(*args)
-        for b in batches:
+        for b in _pieces(batches):
             got = each({c: b.column(i).to_pylist() for i, c in enumerate(columns)})
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
@@ -87,12 +100,12 @@ def map_batches(df: DataFrame, columns: list[str], schema: str | T.StructType, f
 
 
 def filter_batches(df: DataFrame, columns: list[str], fn: Callable[..., Callable[[dict[str, list]], list[bool]]], *args) -> DataFrame:
-    """The rows of ``df`` for which ``fn(*args)``'s result says so, given ``columns`` as lists; other columns pass untouched."""
+    """The rows of ``df`` for which ``fn(*args)``'s result says so, given ``columns`` as lists; other columns pass as Arrow, untouched."""
     at = [df.columns.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = fn(*args)
-        for b in batches:
+        for b in _pieces(batches):
             yield b.filter(pa.array(keep({c: b.column(i).to_pylist() for c, i in zip(columns, at, strict=True)}), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
@@ -109,3 +122,11 @@ def sized_broadcast(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
 
 def field_ddl(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
+
+
+def free_name(*frames: DataFrame, of: str) -> str:
+    """``of``, lengthened until no column of ``frames`` has that name (in either case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while of.lower() in taken:
+        of += "_"
+    return of

@@ -24,19 +24,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, field_ddl, map_batches, sized_broadcast
+from .common import Tables, _pieces, field_ddl, free_name, map_batches, sized_broadcast
 from .components import components
 
 #: ASCII letters in lower case.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Word hashes kept per worker; only speed depends on it.
-MEMO = 400_000
+#: Word hashes kept per worker, some 100 bytes each; only speed depends on it.
+MEMO = 60_000
 #: Rows of a bucket that are compared in one piece.
 BLOCK = 1024
 #: Shingles whose frequency class all tasks know; the others rank as rare.  Only speed depends on it.
 KNOWN = 1 << 18
 #: Shingles that a task counts at once when it looks for frequent ones.
-WINDOW = 1 << 21
+WINDOW = 1 << 20
 
 
 class _Hashes(dict):
@@ -70,6 +70,20 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _fresh(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a value other than the one before."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of ``x``, which is sorted in place, and how often each occurs."""
+    x.sort()
+    starts = np.flatnonzero(_fresh(x))
+    return x[starts], np.diff(starts, append=len(x))
+
+
 def frequent_shingles(docs: DataFrame, text: str, width: int) -> DataFrame:
     """(shingle, n) of shingles that recur, counted over all documents by lossy counting.
 
@@ -83,16 +97,19 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> DataFrame:
         n = 0
 
         def merged():
-            seen, times = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], counts[:0])
+            seen, times = _runs(np.concatenate(held)) if held else (keys[:0], counts[:0])
             again = times > 1
-            both, at = np.unique(np.concatenate([keys, seen[again]]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([counts, times[again]]), len(both)).astype(np.int64)
+            every, n = np.concatenate([keys, seen[again]]), np.concatenate([counts, times[again]])
+            by = np.argsort(every, kind="stable")
+            every, n = every[by], n[by]
+            starts = np.flatnonzero(_fresh(every))
+            both, total = every[starts], np.add.reduceat(n, starts) if len(starts) else n
             while len(both) > WINDOW:
                 many = total > np.median(total)
                 both, total = both[many], total[many]
             return both, total
 
-        for b in batches:
+        for b in _pieces(batches):
             for x in b.column(0).to_pylist():
                 held.append(shingle_set(x, width))
                 n += len(held[-1])
@@ -372,8 +389,9 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, ke
 
     Rows that repeat in key and text leave one; rows that share a key but not a text are all judged by that key.
     """
-    classes = near_classes(docs, width, num, den, key, text).withColumnRenamed(key, "__tm_key")
-    gone = sized_broadcast(classes.where(~F.col("__tm_key").eqNullSafe(F.col("component_id"))).select("__tm_key").distinct())
-    kept = docs.join(gone, F.col(key) == F.col("__tm_key"), "left_anti")
+    name = free_name(docs, of="_key")
+    classes = near_classes(docs, width, num, den, key, text).withColumnRenamed(key, name)
+    gone = sized_broadcast(classes.where(~F.col(name).eqNullSafe(F.col("component_id"))).select(name).distinct())
+    kept = docs.join(gone, F.col(key) == F.col(name), "left_anti")
     repeats = docs.groupBy(key).count().where("count > 1").limit(1).count()
     return kept.dropDuplicates([key, text]) if repeats else kept

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpoint, sized_broadcast, word_count
+from .common import checkpoint, free_name, sized_broadcast, word_count
 
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval in which slots meet the sources' shares.
@@ -137,6 +137,7 @@ def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, most: float
     Only the documents at the end of a source's stream are taken in part.  Rows of one key share the mean.
     """
     _, taken = mix(docs, weights, share, most, block_tokens, key, text, source)
-    times = taken.where("size > 0").groupBy(F.col("key").alias("__tm_key")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__tm_times"))
-    counted = sized_broadcast(times.where("__tm_times > 0"))
-    return docs.join(counted, F.col(key).eqNullSafe(F.col("__tm_key"))).withColumn("__tm_turn", F.explode(F.sequence(F.lit(1), F.col("__tm_times")))).drop("__tm_key", "__tm_times", "__tm_turn")
+    name, n, turn = (free_name(docs, of=x) for x in ("_key", "_times", "_turn"))
+    times = taken.where("size > 0").groupBy(F.col("key").alias(name)).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(n))
+    counted = sized_broadcast(times.where(F.col(n) > 0))
+    return docs.join(counted, F.col(key).eqNullSafe(F.col(name))).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(name, n, turn)

@@ -20,7 +20,7 @@ from .common import field_ddl, filter_batches, map_batches
 from .contamination import terms
 
 #: Columns of the hashed vocabulary.
-WIDTH = 1 << 19
+WIDTH = 1 << 20
 #: Labelled documents that a fit uses at most; with more, a share of the ids by hash is taken.
 MOST_LABELLED = 8_000
 #: Documents of the sample that must hold a word before it counts.
@@ -29,7 +29,8 @@ FOLDS = 3
 #: Made-up negatives beside half a positive that a base rate is smoothed with: no evidence is far from a rejection.
 PRIOR_NEGATIVES = 9.5
 PENALTY = 0.5
-MEMO = 400_000
+#: Word columns kept per worker, some 100 bytes each; only speed depends on it.
+MEMO = 60_000
 
 
 class _Columns(dict):
@@ -109,18 +110,17 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, penal
     words = np.zeros(WIDTH, np.float32)
     if n == 0 or pos in (0.0, float(n)):
         return Linear(words, np.zeros(earlier.shape[1]), float(np.log((pos + 0.5) / (n - pos + PRIOR_NEGATIVES))))
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-    lengths = np.array([len(r) for r in rows])
-    of = np.repeat(np.arange(n), lengths)
-    docs = np.bincount(flat, minlength=WIDTH)
-    with_pos = np.bincount(flat, weights=y[of], minlength=WIDTH)
+    # only columns that the sample has are counted: memory goes by the sample's words, not by the width
+    flat = np.concatenate(rows)
+    of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    seen, col, docs = np.unique(flat, return_inverse=True, return_counts=True)
+    with_pos = np.bincount(col, weights=y[of], minlength=len(seen))
     odds = np.log((with_pos + 0.5) / (pos + 1)) - np.log((docs - with_pos + 0.5) / (n - pos + 1))
-    active = np.flatnonzero(docs >= least_docs)
-    place = np.full(WIDTH, -1, np.int32)
-    place[active] = np.arange(len(active), dtype=np.int32)
-    col = place[flat]
-    col, of = col[col >= 0], of[col >= 0]
-    scale = odds[active]
+    often = docs >= least_docs
+    active, scale = seen[often], odds[often]
+    place = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)[col]
+    col, of = place[place >= 0], of[place >= 0]
+    del flat, seen, place
     k, e = len(active), earlier.shape[1]
 
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
