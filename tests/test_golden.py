@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import html, symbols, values
-from tidemark.operators import backtest, evaluation, ingest, ledgers, rules, spread, stats, wiki
+from tidemark.operators import backtest, cards, evaluation, ingest, ledgers, rules, spread, stats, wiki
 from tidemark.sources import bars as src
 
 DAY = 86_400_000
@@ -292,3 +292,46 @@ def test_streams(spark, tmp_path):
     o = st.open_signals(st.event_stream(spark, f"{tmp_path}/in"), 0.5, 1.5).writeStream.format("memory").queryName("open_out").outputMode("append").trigger(availableNow=True).start()
     o.awaitTermination(120)
     assert spark.table("open_out").count() == spark.table("open_out").select("user_id").distinct().count() > 0
+
+
+def test_chart_timeframes_in_one_spelling(spark):
+    want = {"4 hr": "4-hour", "4-hour point & figure": "4-hour", "015min": "15-minute", "2 day": "2-day", "Weekly  P&F": "weekly", "pnf": None, "some text": None, "1234 min": None, "daily chart": None}
+    df = spark.createDataFrame([(x,) for x in want], "x string")
+    assert {r.x: r.y for r in df.select("x", values.chart_timeframe(F.col("x")).alias("y")).collect()} == want
+
+
+def test_general_numbers(spark):
+    numbers = [100.0, 98.0, 0.5, 12345.6, 9999.6, 1234.6, 0.00012346, 0.000012346, 1.0, 0.1234567, 123.45]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    assert {r.x: r.y for r in df.select("x", values.general(F.col("x")).alias("y")).collect()} == {x: f"{x:.4g}" for x in numbers}
+
+
+def test_range_without_a_midpoint_is_unfit(spark):
+    got = rules.range_duration(series(spark, [0] * 28), "1d").first()
+    assert not got.match and got.reason.startswith("insufficient data")
+    assert "of midpoint 100 (max dev" in rules.range_duration(series(spark, [98 + i % 5 for i in range(28)]), "1d").first().reason
+
+
+def test_judge_input_keeps_the_rest(spark):
+    import json
+
+    bar = {"open": 1, "high": 2, "low": 0, "close": 1}
+    given = {"ok": [[bar, bar], [bar, 1], []], "one": bar, "symbol": "X", "p": "data/eval/x", "deep": {"chart": 1, "note": "[REDACTED_CANDLE]", "n": [None, True, "case_7/x"]}}
+    want = {"ok": ["[REDACTED_CANDLES]", ["[REDACTED_CANDLE]", 1], []], "one": "[REDACTED_CANDLE]", "p": "[REDACTED_PATH]", "deep": {"note": "[REDACTED_CANDLE]", "n": [None, True, "[REDACTED_PATH]"]}}
+    assert json.loads(spark.range(1).select(cards.judge_input(F.lit(json.dumps(given)))).first()[0]) == want
+    assert spark.range(1).select(cards.judge_input(F.lit('"chart.png"'))).first()[0] == '"[REDACTED_PATH]"'
+
+
+def test_best_image_order():
+    assert html.best_image({"src": "data:image/png", "data-original": "b.jpg", "srcset": "c 1w"}) == "b.jpg"
+    assert html.best_image({"srcset": "s.jpg 2x, m.jpg 640w , l.jpg 1280w"}) == "l.jpg"
+    assert html.best_image({"data-srcset": "only.jpg"}) == "only.jpg" and html.best_image({"src": "data:x"}) is None
+
+
+def test_short_passages_and_quotes_count(spark):
+    passages = spark.createDataFrame([("a", "Two words"), ("b", "one two three four five six seven"), ("c", "!!"), ("d", "six")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "has two  WORDS here"), (2, "one two three four five six seven eight"), (3, None), (4, "one two three four five six nine")], "doc_id bigint, text string")
+    for most in (100_000, 0):
+        wiki.FEW_PASSAGES = most
+        assert {tuple(r) for r in wiki.passages_in(passages, docs).collect()} == {("a", 1), ("b", 2), ("d", 2), ("d", 4)}
+    wiki.FEW_PASSAGES = 100_000

@@ -97,12 +97,28 @@ def shown(c: Column, digits: int) -> Column:
     return F.when(c.isNull(), "N/A").otherwise(F.format_string(f"%.{digits}f", c))
 
 
+#: Timeframes known by name, and units with the spelling that counts.
+NAMED_TIMEFRAMES = ["daily", "weekly", "monthly", "yearly", "intraday"]
+TIME_UNITS = {"minute": "minute", "min": "minute", "hour": "hour", "hr": "hour", "day": "day"}
+
+
 def chart_timeframe(c: Column) -> Column:
-    """F-24: a chart's timeframe in one spelling; point-and-figure alone names none."""
-    low = F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    bare = F.trim(F.regexp_replace(low, r"(point[- ]and[- ]figure|p&f)", ""))
-    minutes = F.regexp_extract(bare, r"(\d+)[- ]?(?:min|minute|minutes)\b", 1)
-    return F.when(bare == "", None).when(minutes != "", F.concat(minutes, F.lit("-minute"))).otherwise(bare)
+    """F-24: a chart's timeframe in one spelling, whatever chart form follows it; null for anything else."""
+    bare = F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), r" (point([- ]and[- ]| & )figure|p&f|pnf)$", "")
+    counted = f"^([0-9]{{1,3}})[- ]?({'|'.join(TIME_UNITS)})$"
+    unit = F.create_map(*(F.lit(x) for pair in TIME_UNITS.items() for x in pair))[F.regexp_extract(bare, counted, 2)]
+    number = F.regexp_extract(bare, counted, 1).try_cast("int").cast("string")
+    return F.when(bare.isin(NAMED_TIMEFRAMES), bare).otherwise(F.concat(number, F.lit("-"), unit))
+
+
+def general(c: Column, digits: int = 4) -> Column:
+    """A positive number in ``digits`` significant digits, without trailing zeros; with an exponent where it is below -4 or from ``digits`` on."""
+    shown_e = F.format_string(f"%.{digits - 1}e", c.cast("double"))
+    mantissa, exponent = F.split_part(shown_e, F.lit("e"), F.lit(1)), F.split_part(shown_e, F.lit("e"), F.lit(2)).try_cast("int")
+    figures = F.replace(mantissa, F.lit("."), F.lit(""))
+    bare = lambda x: F.rtrim(F.rtrim(x, F.lit("0")), F.lit("."))  # noqa: E731  (there is always a point)
+    plain = F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-exponent - 1, F.lit(0))), figures)).otherwise(F.concat(F.substring(figures, F.lit(1), exponent + 1), F.lit("."), F.substring(figures, exponent + 2, F.lit(digits))))
+    return F.when((exponent < -4) | (exponent >= digits), F.concat(bare(mantissa), F.lit("e"), F.split_part(shown_e, F.lit("e"), F.lit(2)))).otherwise(bare(plain))
 
 
 def asset_name(c: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.values import general
 from ..sources.bars import BARS_PER_WEEK, last_bars
 
 #: Thresholds and windows of the rules.
@@ -40,9 +41,9 @@ def bars_of(weeks: int, timeframe: str) -> int:
     return weeks * BARS_PER_WEEK[timeframe]
 
 
-def _ruled(df: DataFrame, rule: str, need: int, match: Column, yes: Column, no: Column, score: Column) -> DataFrame:
-    """H-01: rows of a rule; series with fewer than ``need`` bars don't match."""
-    short = F.col("have") < need
+def _ruled(df: DataFrame, rule: str, need: int, match: Column, yes: Column, no: Column, score: Column, unfit: Column | None = None) -> DataFrame:
+    """H-01: rows of a rule; series with fewer than ``need`` bars, or unfit ones, don't match."""
+    short = (F.col("have") < need) if unfit is None else (F.col("have") < need) | unfit
     lack = F.format_string(f"insufficient data for {rule}: have %d bars, need {need}", "have")
     hit = ~short & F.coalesce(match, F.lit(False))
     return df.select("symbol", hit.alias("match"), F.when(short, lack).when(hit, yes).otherwise(no).alias("reason"), F.when(hit, score).otherwise(0.0).alias("score"))
@@ -56,9 +57,9 @@ def range_duration(bars: DataFrame, timeframe: str) -> DataFrame:
     # the farthest close from the midpoint is one of the two ends
     found = ends.withColumn("dev", F.when(F.col("mid") > 0, F.greatest(F.abs(F.col("top") - F.col("mid")), F.abs(F.col("bottom") - F.col("mid"))) / F.col("mid")))
     pct = F.col("dev") * 100
-    yes = F.format_string(f"{RANGE_WEEKS}+ weeks of closes within ±{RANGE_BAND * 100:.0f}%% of midpoint (max dev %.1f%%)", pct)
+    yes = F.format_string(f"{RANGE_WEEKS}+ weeks of closes within ±{RANGE_BAND * 100:.0f}%% of midpoint %s (max dev %.1f%%)", general(F.col("mid")), pct)
     no = F.format_string(f"closes break ±{RANGE_BAND * 100:.0f}%% band over last {RANGE_WEEKS} weeks (max dev %.1f%%)", pct)
-    return _ruled(found, "range_duration_gt_4w", need, F.col("dev") <= RANGE_BAND, yes, no, RANGE_BAND - F.col("dev"))
+    return _ruled(found, "range_duration_gt_4w", need, F.col("dev") <= RANGE_BAND, yes, no, RANGE_BAND - F.col("dev"), unfit=F.col("mid") <= 0)
 
 
 def moving_average(bars: DataFrame, column: str = "volume", window: int = MA_WINDOW) -> DataFrame:

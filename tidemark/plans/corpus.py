@@ -139,10 +139,15 @@ def t12_card_findings(spark: SparkSession, d: str) -> DataFrame:
     return cards.card_findings(cards.card_fields(_cards(spark, d)), ["spring", "test"], ["range"]).groupBy("code").agg(F.count("*").alias("n"))
 
 
+#: Spellings of timeframes, and texts that name some, for T-16.
+DECLARED = ["daily", "Weekly", "60 min", "4 hr", "intraday", "pnf", "2 Day", "60-minute point and figure", "quarterly"]
+EVIDENCE = ["the daily chart", "a 4-hour and a weekly chart", "on the 60 min chart", "no chart is named", "the 4hr view", "Intraday bars", "two days, 2-day bars"]
+
+
 def t16_timeframe_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    c = _cards(spark, d)
-    declared = F.regexp_extract("text", r"(?m)^timeframe: (.*)$", 1)
-    return c.select("k", cards.timeframe_conflicts(declared, F.regexp_extract("text", r"(?s)---\n.*---\n(.*)$", 1)).alias("conflict"))
+    k = F.col("o_orderkey")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    return table(spark, d, "orders").select(k.alias("k"), cards.timeframe_conflicts(pick(DECLARED), pick(EVIDENCE)).alias("conflict"))
 
 
 def b17_judge_inputs(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +210,8 @@ def s19_json_events(spark: SparkSession, d: str) -> DataFrame:
 def h30_near_misses(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     names = p.select("p_name").distinct()
-    return p.select("p_partkey", F.concat(F.left("p_name", F.lit(3)), F.lit("x"), F.substring("p_name", 5, 100)).alias("seen")).crossJoin(F.broadcast(names)).where(wiki.near_miss(F.col("seen"), F.col("p_name"))).select("p_partkey", "p_name")
+    seen = p.select("p_partkey", F.concat(F.left("p_name", F.lit(3)), F.lit("x"), F.substring("p_name", 5, 100)).alias("seen"))
+    return wiki.near_misses(seen, names, of="p_name").select("p_partkey", "p_name")
 
 
 def t21_html_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -239,8 +245,8 @@ SQL = {
     "t07_raw_issues": f"WITH {WIKI}, {ISSUES} SELECT path, code FROM rw WHERE code IS NOT NULL",
     "w10_quote_blocks": f"WITH {WIKI} SELECT path, 11 AS start, 12 AS \"end\", trim(quote) AS quote FROM w",
     "t06_found_quotes": f"""WITH {WIKI}, q AS (SELECT w.path, string_split({NORM.format(x="quote")}, ' ') AS t, {NORM.format(x="CASE WHEN kind = 'image_only' THEN '![a](x.png) ![b](y.png)' WHEN kind = 'tail' THEN r.text || ' THE NEXT SECTION' ELSE r.text END")} AS body FROM w JOIN raw r ON w.pa = r.path)
-      SELECT path, len(list_filter(range(1, len(t) - 4), lambda i: contains(body, array_to_string(list_slice(t, i, i + 5), ' ')))) > 0 AS found FROM q WHERE len(t) >= 6""",
-    "j19_passages": f"WITH p AS (SELECT item_id, {NORM.format(x='text')} AS p FROM benchmark), d AS (SELECT doc_id, ' ' || {NORM.format(x='text')} || ' ' AS t FROM documents) SELECT item_id, doc_id FROM p JOIN d ON contains(t, ' ' || p || ' ') WHERE len(string_split(p, ' ')) >= 6",
+      SELECT path, len(list_filter(range(1, len(t) - 4), lambda i: contains(body, array_to_string(list_slice(t, i, i + 5), ' ')))) > 0 OR t <> [''] AND contains(body, array_to_string(t, ' ')) AS found FROM q""",
+    "j19_passages": f"WITH p AS (SELECT item_id, {NORM.format(x='text')} AS p FROM benchmark), d AS (SELECT doc_id, ' ' || {NORM.format(x='text')} || ' ' AS t FROM documents) SELECT item_id, doc_id FROM p JOIN d ON contains(t, ' ' || p || ' ') WHERE p <> ''",
     "a21_issue_counts": f"WITH {WIKI}, {ISSUES}, al AS (SELECT code FROM iss UNION ALL SELECT code FROM rng UNION ALL SELECT code FROM rw WHERE code IS NOT NULL) SELECT CASE WHEN code IN ('inline_missing', 'section_boundary') THEN 'WARNING' ELSE 'HARD' END AS severity, count(*) AS n FROM al GROUP BY 1",
     "f27_canonical_texts": "SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS alnum, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM documents",
     "p14_word_limit": "SELECT CAST(doc_id AS VARCHAR) AS path, n AS n_words FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) AS n FROM documents) WHERE n > 400",
@@ -254,7 +260,10 @@ SQL = {
     "t12_card_findings": """WITH k AS (SELECT o_orderkey AS k FROM orders), e AS (SELECT k, CASE WHEN k % 4 = 0 THEN 'none' WHEN k % 5 = 0 THEN 'odd' ELSE 'spring' END AS ev, k % 6 = 0 AS sn FROM k),
       c AS (SELECT unnest(list_filter([CASE WHEN k % 11 = 0 THEN 'source_missing' END, CASE WHEN k % 13 = 0 THEN 'asset_none' END, CASE WHEN ev = 'odd' THEN 'event_unknown' END, CASE WHEN ev = 'none' AND sn THEN 'both_none' END, CASE WHEN k % 17 = 0 THEN 'phase_invalid' END,
         CASE WHEN k % 7 = 0 THEN 'type_invalid' END, CASE WHEN k % 9 = 0 THEN 'page_or_post_url_missing' END, CASE WHEN (k % 10 = 1 AND ev IN ('spring', 'none')) OR (k % 10 = 2 AND ev = 'none') THEN 'related_events_invalid' END], lambda x: x IS NOT NULL)) AS code FROM e) SELECT code, count(*) AS n FROM c GROUP BY 1""",
-    "t16_timeframe_conflicts": "SELECT o_orderkey AS k, o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AS conflict FROM orders",
+    "t16_timeframe_conflicts": """WITH a(i, own) AS (VALUES (0, 'daily'), (1, 'weekly'), (2, '60-minute'), (3, '4-hour'), (4, 'intraday'), (5, NULL), (6, '2-day'), (7, '60-minute'), (8, NULL)),
+      b(i, said) AS (VALUES (0, 'daily'), (1, NULL), (2, '60-minute'), (3, NULL), (4, '4-hour'), (5, 'intraday'), (6, '2-day'))
+      SELECT o_orderkey AS k, own IS NOT NULL AND said IS NOT NULL AND own <> said AND NOT (own = 'intraday' AND regexp_matches(said, '-(minute|hour)$')) AND NOT (said = 'intraday' AND regexp_matches(own, '-(minute|hour)$')) AS conflict
+      FROM orders JOIN a ON o_orderkey % 9 = a.i JOIN b ON o_orderkey % 7 = b.i""",
     "b17_judge_inputs": """SELECT event_id, '{"event_id": ' || event_id || ', "note": "[REDACTED_PATH]", "seen": "[REDACTED_CANDLES]"}' AS clean FROM events""",
     "j20_snapshot_changes": f"WITH {SNAPS} SELECT path, kind FROM ch",
     "p15_forbidden_paths": f"WITH {SNAPS} SELECT path, kind FROM ch WHERE path <> 'wiki/5.txt' AND NOT (path LIKE 'wiki/%' AND path LIKE '%.md')",

@@ -237,7 +237,7 @@ def _weighted_sql(names: list[str]) -> str:
 SQL = {
     "b05_score_forecasts": f"""WITH {HOURLY}, ix AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS i FROM bars),
       f AS (SELECT e.event_id AS id, e.event_type AS symbol, ts, CASE WHEN event_id % 350 = 0 THEN 'none' WHEN event_id % 20 = 0 THEN 'up' ELSE 'down' END AS said, CASE WHEN event_id % 20 = 0 THEN value * 1.5 ELSE value * 0.5 END AS trig, CASE WHEN event_id % 20 = 0 THEN value * 0.5 ELSE value * 1.5 END AS inval,
-        (event_id % 100) / 100.0 AS conf, event_id % 450 = 0 AS retro, CASE WHEN event_id % 250 = 0 THEN NULL ELSE event_id % 200 <> 0 END AS decisive, CASE WHEN event_id % 150 = 0 THEN NULL WHEN event_id % 100 = 0 THEN 'up' ELSE 'none' END AS real FROM events e WHERE event_id % 50 = 0),
+        (event_id % 100) / 100.0 AS conf, event_id % 450 = 0 AS retro, CASE WHEN event_id % 250 = 0 THEN NULL ELSE event_id % 200 <> 0 END AS decisive, CASE WHEN event_id % 150 = 0 THEN NULL WHEN event_id % 100 = 0 THEN 'up' ELSE 'none' END AS real FROM events e WHERE event_id % 10 = 0),
       s AS (SELECT f.*, ix.i AS at, NOT retro AND coalesce(NOT decisive, false) AND said = 'none' AND conf <= 0.35 AS wait_case FROM f ASOF JOIN ix ON f.symbol = ix.symbol AND epoch_ms(f.ts) < ix.open_time),
       m AS (SELECT id, min_by(hit, k) AS hit, min(k) AS k FROM (SELECT s.id, ix.i - s.at + 1 AS k, CASE said WHEN 'up' THEN CASE WHEN low <= inval THEN 'hit_sl' WHEN high >= trig THEN 'hit_tp' END WHEN 'down' THEN CASE WHEN high >= inval THEN 'hit_sl' WHEN low <= trig THEN 'hit_tp' END END AS hit
         FROM s JOIN ix ON ix.symbol = s.symbol AND ix.i >= s.at AND ix.i < s.at + 10 WHERE NOT retro AND NOT wait_case) WHERE hit IS NOT NULL GROUP BY id),
@@ -262,7 +262,7 @@ SQL = {
     "a20_delta_lookahead": "WITH " + DELTA.replace("{to}", "time_mode = 'future_visible' AND anon_mode = 'anon'"),
     "b18_reconcile_runs": f"WITH {STATE} SELECT * FROM rec",
     "b18_claimable_runs": f"WITH {STATE} SELECT run_id, coalesce(next_stage, stage, 'analyst') AS stage FROM rec WHERE status NOT IN ('succeeded', 'skipped', 'running') AND attempt < 3",
-    "b15_case_problems": """WITH k AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey < 400), c AS (SELECT CASE WHEN k % 37 = 0 THEN 'c0' ELSE 'c' || k END AS case_id, CASE WHEN k % 13 = 0 THEN ' ' ELSE 'BTC' END AS symbol, k % 17 AS n_bars FROM k),
+    "b15_case_problems": """WITH k AS (SELECT o_orderkey AS k FROM orders), c AS (SELECT CASE WHEN k % 37 = 0 THEN 'c0' ELSE 'c' || k END AS case_id, CASE WHEN k % 13 = 0 THEN ' ' ELSE 'BTC' END AS symbol, k % 17 AS n_bars FROM k),
       a AS (SELECT 'c' || k AS case_id, CASE WHEN k % 7 = 0 THEN 'guess' WHEN k % 3 = 0 THEN 'retrospective' ELSE 'forward' END AS mode, CASE WHEN k % 6 = 0 THEN 'not_applicable' ELSE 'up' END AS rd, CASE WHEN k % 19 = 0 THEN '' ELSE 'x' END AS gt FROM k WHERE k % 11 <> 0)
       SELECT c.case_id, CASE WHEN trim(symbol) = '' THEN 'symbol_empty' WHEN n_bars <= 0 THEN 'n_bars_not_positive' WHEN a.mode IS NULL THEN 'answer_missing' WHEN mode = 'guess' THEN 'analysis_mode_unknown' WHEN mode = 'retrospective' AND rd <> 'not_applicable' THEN 'retrospective_direction'
         WHEN mode = 'forward' AND rd = 'not_applicable' THEN 'forward_direction' WHEN gt = '' THEN 'ground_truth_empty' WHEN count(*) OVER (PARTITION BY c.case_id) > 1 THEN 'case_id_repeated' END AS problem FROM c LEFT JOIN a USING (case_id)""",
