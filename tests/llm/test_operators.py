@@ -201,21 +201,50 @@ def test_quality_counts(docs, corpus, none):
     assert quality.judge(none).count() == 0
 
 
-def test_sketch_is_close_and_merges(spark):
+def test_sketch_is_close(spark):
     df = spark.range(10_000).select((F.col("id") * 7919 % 10_007).alias("v"), (F.col("id") % 2).alias("g"))
     b = df.select("v", "g", quality.bucket(F.col("v")).alias("bucket")).withColumn("low", quality.bucket_low(F.col("bucket")))
     assert b.where("low > v or v - low > v / 32").count() == 0
-    one = b.groupBy("g", F.lit("m").alias("metric"), "bucket").agg(F.count("*").alias("n"))
-    q = quality.quartiles(quality.merge(one.withColumn("all", F.lit(1)), ["all"]), ["all"]).first()
-    exact = df.agg(F.expr("percentile_approx(v, array(0.25, 0.75), 100000)")).first()[0]
-    assert q.total == 10_000 and all(e - e / 32 - 1 <= got <= e for got, e in zip((q.q1, q.q3), exact, strict=True))
+    assert b.groupBy("bucket").agg((F.min("v") == F.min("low")).alias("same"), (F.max("v") >= F.max("low")).alias("over")).where("not over").count() == 0
+
+
+def sketch_brute(rows, keys):
+    """Fences of each group by plain Python: (lang, source, value of symbols_per_mille) in, high fences out."""
+    low = lambda v: v if v < 64 else (v >> (v.bit_length() - 6)) << (v.bit_length() - 6)
+    own = {k: collections.Counter() for k in keys}
+    for lang, source, v in rows:
+        own[lang, source][low(v)] += quality.UNIT
+
+    def mix(a, parent):
+        total = sum(parent.values())
+        return a + collections.Counter({v: int(w / total * float(quality.PRIOR * quality.UNIT)) for v, w in parent.items()})
+
+    every = sum(own.values(), collections.Counter())
+    out = {}
+    for lang, source in keys:
+        mine = sum((c for (x, _), c in own.items() if x == lang), collections.Counter())
+        c = mix(own[lang, source], mix(mine, every))
+        total = sum(c.values())
+        at = lambda q: next(v for v in sorted(c) if 1000 * sum(w for x, w in c.items() if x <= v) >= q * total)  # noqa: E731, B023
+        _, tail, reach = quality.METRICS["symbols_per_mille"]
+        out[lang, source] = at(tail) + reach * (sum(w * abs(v - at(500)) for v, w in c.items()) // total)
+    return out
+
+
+def test_fences_follow_the_group(spark):
+    r = random.Random(9)
+    rows = [("en", "code", r.randint(60, 140)) for _ in range(500)] + [("en", "prose", r.choice((0, 0, 0, 1, 2))) for _ in range(500)] + [("de", "prose", r.choice((0, 5))) for _ in range(40)] + [("de", None, 900), (None, None, 3)]
+    df = spark.createDataFrame(rows, "lang string, source string, symbols_per_mille bigint").withColumns({m: F.lit(0).cast("bigint") for m in quality.METRICS if m != "symbols_per_mille"})
+    got = {(x.lang, x.source): x.fence.symbols_per_mille.high for x in quality.group_fences(df).collect()}
+    assert got == sketch_brute(rows, list(got)) and len(got) == 5
+    assert got["en", "code"] > 2 * got["en", "prose"] and got["de", None] < 900
 
 
 def test_quality_drops_junk_only(spark):
     r = random.Random(5)
     clean = [(i, " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(120)), "en", "s") for i in range(400)]
     junk = [(1000 + i, " ".join(w + "%%%" for w in clean[i][1].split()), "en", "s") for i in range(20)]
-    got = {x.doc_id: x.kept for x in quality.judge(make(spark, clean + junk).drop("n", "size")).collect()}
+    got = {x.doc_id: x.kept for x in quality.judge(make(spark, clean + junk).withColumns({c: F.lit("x") for c in ("_lang", "gl", "af", "_words", "row", "Kept", "fence", "metric", "w")})).collect()}
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in junk)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import LEAST_GROUP, METRICS, SPREAD
+from .quality import METRICS, PRIOR, UNIT
 
 WORDS = "list_filter(regexp_split_to_array(coalesce({t}, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
 
@@ -24,26 +24,25 @@ def _op5() -> str:
     metric = {"symbols_per_mille": ("n_symbols", 1000, "word_chars"), "dup_lines_per_mille": ("n_dup_lines", 1000, "n_lines"), "repeats_per_mille": ("n_repeat_words", 1000, "n_words"), "word_chars_per_hundred": ("word_chars", 100, "n_words")}
     columns = ", ".join(f"CASE WHEN {c} > 0 THEN ({k} * {a}) // {c} ELSE 0 END AS {m}" for m, (a, k, c) in metric.items())
     long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM m WHERE NOT base_failed" for m in METRICS)
-    floor = "CASE metric " + " ".join(f"WHEN '{m}' THEN {least}" for m, (_, least) in METRICS.items()) + " END"
-    high_only = "metric IN (" + ", ".join(f"'{m}'" for m, (only, _) in METRICS.items() if only) + ")"
-
-    def fence(keys: str) -> str:
-        k = keys + ", " if keys else ""
-        by = f"PARTITION BY {k}metric"
-        return f"""(SELECT {k}metric, max(total) AS total, min(low) FILTER (4 * upto >= total) AS q1, min(low) FILTER (4 * upto >= 3 * total) AS q3
-          FROM (SELECT {k}metric, low, sum(n) OVER ({by} ORDER BY bucket) AS upto, sum(n) OVER ({by}) AS total FROM (SELECT {k}metric, bucket, any_value(low) AS low, count(*) AS n FROM sk GROUP BY ALL)) GROUP BY ALL)"""
-
+    level = lambda i: "CASE metric " + " ".join(f"WHEN '{m}' THEN {str(v[i]).lower()}" for m, v in METRICS.items()) + " END"
     value = "CASE metric " + " ".join(f"WHEN '{m}' THEN m.{m}" for m in METRICS) + " END"
-    pick = lambda c: f"CASE WHEN g.total >= {LEAST_GROUP} THEN g.{c} WHEN l.total >= {LEAST_GROUP} THEN l.{c} ELSE a.{c} END"
+    share = f"CAST(floor(CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY {{by}}metric) AS DOUBLE) * {float(PRIOR * UNIT)}) AS BIGINT)"
+    at = lambda q: f"min(low) FILTER (upto * 1000 >= {q} * total) OVER (PARTITION BY lang, source, metric)"
     return f"""WITH t AS (SELECT doc_id, lang, source, {w} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{ws}', '', 'g') <> '') AS ln FROM documents),
       c AS (SELECT doc_id, lang, source, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(array_to_string(w, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(ln) AS n_lines, len(ln) - len(list_distinct(ln)) AS n_dup_lines FROM t),
       win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)), rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM win) WHERE k > 1),
       r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY 1),
       b AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM c LEFT JOIN r USING (doc_id)), m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {columns} FROM b),
       lo AS ({long}), s1 AS (SELECT *, CASE WHEN v < 64 THEN 0 ELSE length(bin(v)) - 6 END AS sh FROM lo), sk AS (SELECT lang, source, metric, CASE WHEN v < 64 THEN v ELSE sh * 32 + (v >> sh) END AS bucket, CASE WHEN v < 64 THEN v ELSE (v >> sh) << sh END AS low FROM s1),
-      names AS (SELECT unnest([{", ".join(f"'{x}'" for x in METRICS)}]) AS metric), a AS {fence("")}, l AS {fence("lang")}, g AS {fence("lang, source")},
-      j AS (SELECT m.doc_id, metric, {value} AS v, {pick("q1")} AS q1, {pick("q3")} AS q3 FROM m CROSS JOIN names LEFT JOIN a USING (metric) LEFT JOIN l ON l.metric = names.metric AND l.lang IS NOT DISTINCT FROM m.lang LEFT JOIN g ON g.metric = names.metric AND g.lang IS NOT DISTINCT FROM m.lang AND g.source IS NOT DISTINCT FROM m.source),
-      ok AS (SELECT doc_id, bool_and(coalesce(v <= q3 + {SPREAD} * greatest(q3 - q1, {floor}) AND ({high_only} OR v >= q1 - {SPREAD} * greatest(q3 - q1, {floor})), true)) AS within FROM j GROUP BY 1)
+      fine AS (SELECT lang, source, metric, bucket, any_value(low) AS low, CAST({UNIT} * count(*) AS BIGINT) AS w FROM sk GROUP BY ALL), every AS (SELECT metric, bucket, any_value(low) AS low, CAST(sum(w) AS BIGINT) AS w FROM fine GROUP BY ALL),
+      l0 AS (SELECT lang, metric, bucket, any_value(low) AS low, CAST(sum(w) AS BIGINT) AS w FROM fine GROUP BY ALL), ln2 AS (SELECT DISTINCT lang, metric FROM l0), pa AS (SELECT metric, bucket, low, {share.format(by="")} AS w FROM every),
+      l1 AS (SELECT lang, metric, bucket, any_value(low) AS low, CAST(sum(w) AS BIGINT) AS w FROM (SELECT lang, metric, bucket, low, w FROM l0 UNION ALL SELECT lang, metric, bucket, low, w FROM ln2 JOIN pa USING (metric)) GROUP BY ALL),
+      gn AS (SELECT DISTINCT lang, source, metric FROM fine), pl AS (SELECT lang, metric, bucket, low, {share.format(by="lang, ")} AS w FROM l1),
+      g1 AS (SELECT lang, source, metric, bucket, any_value(low) AS low, CAST(sum(w) AS BIGINT) AS w FROM (SELECT lang, source, metric, bucket, low, w FROM fine UNION ALL SELECT gn.lang, gn.source, gn.metric, pl.bucket, pl.low, pl.w FROM gn JOIN pl ON gn.metric = pl.metric AND gn.lang IS NOT DISTINCT FROM pl.lang) GROUP BY ALL),
+      g2 AS (SELECT *, CAST(sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS BIGINT) AS upto, CAST(sum(w) OVER (PARTITION BY lang, source, metric) AS BIGINT) AS total FROM g1),
+      g3 AS (SELECT *, {at("500")} AS mid, {at(f"({level(1)})")} AS tail, {at(f"(1000 - ({level(1)}))")} AS head FROM g2),
+      g4 AS (SELECT lang, source, metric, max(tail) AS tail, max(head) AS head, CAST(sum(w * abs(low - mid)) AS BIGINT) // max(total) * ({level(2)}) AS reach FROM g3 GROUP BY lang, source, metric),
+      ok AS (SELECT m.doc_id, bool_and(coalesce({value} <= tail + reach AND (({level(0)}) OR {value} >= head - reach), true)) AS within FROM m LEFT JOIN g4 ON g4.lang IS NOT DISTINCT FROM m.lang AND g4.source IS NOT DISTINCT FROM m.source GROUP BY 1)
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept FROM m JOIN ok USING (doc_id)"""
 
 

@@ -3,8 +3,11 @@
 Each metric of a document falls into an integer bucket of bounded relative error (exact
 up to 63, then 32 buckets for each doubling).  A sketch is the count of each bucket; two
 sketches merge by adding counts, so one grouped count builds the sketches of all
-(language, source) groups and coarser ones are their sums.  Quartiles read from a sketch
-give fences for the metric, and the documents are joined with the fences of their group.
+(language, source) groups and coarser ones are their sums.  A sketch is mixed with
+``PRIOR`` documents' worth of its parent's, so a small group leans on its language and a
+small language on all documents, by how few documents it has and without a switch.  A
+tail quantile and the mean distance from the median, both read from the mixed sketch,
+give the group's fence, and the documents are joined with the fences of their group.
 Everything here is DataFrame functions: no text is shuffled, and no Python sees a row.
 """
 
@@ -14,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import WS_CHARS, checkpoint, word_array
+from .common import WS_CHARS, checkpoint, sized_broadcast, word_array
 
 SYMBOLS = "#*$%&|<>"
-#: Metric: whether only high values are bad, and the least quartile distance that a fence assumes.
-METRICS: dict[str, tuple[bool, int]] = {"symbols_per_mille": (True, 20), "dup_lines_per_mille": (True, 100), "repeats_per_mille": (True, 60), "word_chars_per_hundred": (False, 80)}
-SPREAD = 4
-#: A group with fewer documents takes the fences of its language, and a small language those of all documents.
-LEAST_GROUP = 200
+#: Metric: whether only high values are bad, the tail quantile (per mille) from which a fence starts, and how many mean distances it lies beyond.
+METRICS: dict[str, tuple[bool, int, int]] = {"symbols_per_mille": (True, 900, 4), "dup_lines_per_mille": (True, 980, 4), "repeats_per_mille": (True, 980, 8), "word_chars_per_hundred": (False, 900, 4)}
+#: Documents' worth of its parent's sketch that a group's sketch is mixed with, and the weight of one document.
+PRIOR, UNIT = 100, 1000
+COUNTS = ["word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_words", "n_repeat_words"]
 
 
 def _windows(words: Column) -> Column:
@@ -90,58 +93,62 @@ def sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
     return measured.select(*keys, F.explode(pairs).alias("m")).groupBy(*keys, "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
-def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+def mixed_with(own: DataFrame, parent: DataFrame, keys: list[str], parent_keys: list[str]) -> DataFrame:
+    """keys, metric, bucket, w: each group's weights and, in proportion, ``PRIOR`` documents of its parent's.
 
-
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, total, q1, q3: least values of the buckets in which the quartiles lie.
-
-    A group has at most some two thousand buckets, however many documents it has.
+    A group takes as many rows from its parent as that has buckets, some two thousand for a metric at most.
     """
-    by = W.Window.partitionBy(*keys, "metric")
-    running = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
-    at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), bucket_low(F.col("bucket"))))
-    return running.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
+    total = F.sum("w").over(W.Window.partitionBy(*parent_keys, "metric"))
+    share = F.floor(F.col("w").cast("double") / total.cast("double") * F.lit(float(PRIOR * UNIT))).cast("long")
+    prior = parent.select(*(F.col(k).alias(f"p_{k}") for k in parent_keys), F.col("metric").alias("p_metric"), "bucket", share.alias("w"))
+    same = F.col("metric") == F.col("p_metric")
+    for k in parent_keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"p_{k}"))
+    taken = own.select(*keys, "metric").distinct().join(prior, same).select(*keys, "metric", "bucket", "w")
+    return own.unionByName(taken).groupBy(*keys, "metric", "bucket").agg(F.sum("w").alias("w"))
 
 
-def fences(q: DataFrame, keys: list[str]) -> DataFrame:
+def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each group with the low and high fence of each metric."""
-    floor = F.create_map(*(x for m, (_, least) in METRICS.items() for x in (F.lit(m), F.lit(least))))[F.col("metric")]
-    reach = SPREAD * F.greatest(F.col("q3") - F.col("q1"), floor)
-    high_only = F.col("metric").isin([m for m, (only, _) in METRICS.items() if only])
-    rows = q.select(*keys, "total", "metric", F.when(high_only, F.lit(-1)).otherwise(F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    by = W.Window.partitionBy(*keys, "metric")
+    level = lambda i: F.create_map(*(x for m, v in METRICS.items() for x in (F.lit(m), F.lit(v[i]))))[F.col("metric")]
+    v = bucket_low(F.col("bucket"))
+    running = sketch.withColumn("v", v).withColumn("upto", F.sum("w").over(by.orderBy("bucket"))).withColumn("total", F.sum("w").over(by))
+    at = lambda q: F.min(F.when(F.col("upto") * 1000 >= q * F.col("total"), F.col("v"))).over(by)
+    placed = running.withColumn("mid", at(F.lit(500))).withColumn("tail", at(level(1))).withColumn("head", at(1000 - level(1)))
+    far = placed.groupBy(*keys, "metric").agg(F.max("total").alias("total"), F.max("tail").alias("tail"), F.max("head").alias("head"), F.sum(F.col("w") * F.abs(F.col("v") - F.col("mid"))).alias("far"))
+    reach = F.expr("far div total") * level(2)
+    rows = far.select(*keys, "metric", F.when(level(0), F.lit(-1)).otherwise(F.col("head") - reach).alias("low"), (F.col("tail") + reach).alias("high"))
     pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    return rows.groupBy(*keys).agg(F.max("total").alias("total"), F.struct(*(F.struct(pick(m, "low").alias("low"), pick(m, "high").alias("high")).alias(m) for m in METRICS)).alias("fence"))
+    return rows.groupBy(*keys).agg(F.struct(*(F.struct(pick(m, "low").alias("low"), pick(m, "high").alias("high")).alias(m) for m in METRICS)).alias("fence"))
+
+
+def group_fences(measured: DataFrame) -> DataFrame:
+    """lang, source, fence of every (language, source) group of ``measured`` (lang, source and the metrics)."""
+    fine = checkpoint(sketches(measured, ["lang", "source"])).withColumn("w", F.col("n") * UNIT).drop("n")
+    sums = lambda keys: fine.groupBy(*keys, "metric", "bucket").agg(F.sum("w").alias("w"))
+    langs = mixed_with(sums(["lang"]), sums([]), ["lang"], [])
+    return fences(mixed_with(fine, langs, ["lang", "source"], ["lang"]), ["lang", "source"])
 
 
 def judge(docs: DataFrame, language: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """Judge every document: all columns but the text, the counts, metrics, ``base_failed`` and ``kept``.
 
     A document is kept if it passes the base rules and every metric lies within the fences of its
-    (language, source) group: the quartiles, ``SPREAD`` quartile distances outwards.  The sketches are built
-    from all documents that pass the base rules.  Null languages and sources are groups of their own; null
-    texts fail the base rules; repeated rows are judged alike; an empty table gives no rows.
+    (language, source) group.  The sketches are built from all documents that pass the base rules.  Null
+    languages and sources are groups of their own; null texts fail the base rules; repeated rows are judged
+    alike; an empty table gives no rows; an input column named as one of the results gives way to it.
     """
-    measured = with_metrics(base_counts(docs, text)).drop(text).withColumn("base_failed", base_failed())
-    measured = checkpoint(measured)
-    group = ["_lang", "_source"]
-    named = measured.withColumn("_lang", F.col(language)).withColumn("_source", F.col(source))
-    fine = checkpoint(sketches(named.where(~F.col("base_failed")), group))
-    by_lang = merge(fine, ["_lang"])
-    everything = fences(quartiles(merge(fine.withColumn("_all", F.lit(1)), ["_all"]), ["_all"]), ["_all"])
-    langs = fences(quartiles(by_lang, ["_lang"]), ["_lang"]).where(F.col("total") >= LEAST_GROUP)
-    groups = fences(quartiles(fine, group), group).where(F.col("total") >= LEAST_GROUP)
-    same = lambda a, b: a.eqNullSafe(b)
-    g = groups.select(F.col("_lang").alias("gl"), F.col("_source").alias("gs"), F.col("fence").alias("gf"))
-    ln = langs.select(F.col("_lang").alias("ll"), F.col("fence").alias("lf"))
-    # groups and languages hold at least LEAST_GROUP documents each; they go to every task only when few
-    few = groups.count() <= 100_000
-    hint = F.broadcast if few else (lambda x: x)
-    joined = named.join(hint(g), same(F.col("_lang"), F.col("gl")) & same(F.col("_source"), F.col("gs")), "left")
-    joined = joined.join(hint(ln), same(F.col("_lang"), F.col("ll")), "left").join(F.broadcast(everything.select(F.col("fence").alias("af"))), how="left")
-    fence = F.coalesce("gf", "lf", "af")
+    results = [*COUNTS, *METRICS, "base_failed", "kept"]
+    own = [c for c in docs.columns if c != text and c.lower() not in results]
+    # the input's columns travel as one struct, so that none can clash with those made here
+    packed = docs.select(F.struct(*own).alias("row"), F.col(language).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
+    measured = checkpoint(with_metrics(base_counts(packed, "text")).drop("text").withColumn("base_failed", base_failed()))
+    found = group_fences(measured.where(~F.col("base_failed"))).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "fence")
+    # one row for each group; they go to every task only when few
+    joined = measured.join(sized_broadcast(checkpoint(found), 100_000), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     within = F.lit(True)
     for m in METRICS:
-        within = within & (F.col(m) >= fence[m]["low"]) & (F.col(m) <= fence[m]["high"])
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True))).drop("_lang", "_source", "gl", "gs", "gf", "ll", "lf", "af")
+        within = within & (F.col(m) >= F.col("fence")[m]["low"]) & (F.col(m) <= F.col("fence")[m]["high"])
+    kept = ~F.col("base_failed") & F.coalesce(within, F.lit(True))
+    return joined.withColumn("kept", kept).select(*(F.col("row")[c].alias(c) for c in own), *results)
