@@ -328,6 +328,29 @@ def test_normaliser_reads_any_gzip():
         list(normalise.normalise(io.BytesIO(gzip.compress(recs[1][:-9])), io.BytesIO()))
 
 
+def test_members_by_a_plain_parser(spark, tmp_path):
+    """Every member is one WARC/1.1 record with the mandatory headers and an id of its own, read here without the operator's reader."""
+    rows = [(1, "u1", "é" * 700), (1, "u1", "é" * 700), (2, "u2", "é" * 700), (3, None, None), (None, "u", "x: y\r\n\r\nz")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert normalise.round_trip(df, per_archive=2, folder=f"file://{tmp_path}/w").count() == 5
+    seen, blocks, files = [], [], sorted((tmp_path / "w").glob("*.members.warc.gz"))
+    for f in files:
+        raw = f.read_bytes()
+        assert not [p for p in (tmp_path / "w").glob("*.part")]
+        while raw:
+            d = zlib.decompressobj(31)
+            data, raw = d.decompress(raw) + d.flush(), d.unused_data
+            head, _, rest = data.partition(b"\r\n\r\n")
+            first, *fields = head.decode().split("\r\n")
+            h = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in fields)
+            assert first == "WARC/1.1" and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["WARC-Date"]) and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", h["WARC-Record-ID"])
+            assert rest[int(h["Content-Length"]) :] == b"\r\n\r\n" and h["WARC-Type"] in ("response", "revisit")
+            seen.append(h["WARC-Record-ID"])
+            blocks.append(rest[: int(h["Content-Length"])])
+            assert h["WARC-Type"] == "revisit" or hashlib.sha1(blocks[-1]).hexdigest() == h["WARC-Payload-Digest"].removeprefix("sha1:")
+    assert len(set(seen)) == 5 and sorted(b for b in blocks if b) == sorted([("é" * 700).encode(), b"x: y\r\n\r\nz"])
+
+
 def test_warc_round_trip(spark, none):
     big = "é" * 700
     rows = [(1, "u1", big), (2, "u2", big), (3, None, big), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", "x" * 1000), (8, "a\r\nb", "x" * 999 + "\r\n\r\n")]

@@ -13,6 +13,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from typing import BinaryIO
 
 from pyarrow import fs as pafs
@@ -41,24 +42,30 @@ def _publish(store: pafs.FileSystem, made: str, name: str) -> None:
     store.move(made, name)
 
 
-def record(kind: str, page: str, url: str | None, payload: bytes, digest: str, refers: str | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no block, so its payload's length is kept in a header of our own."""
+def record(kind: str, page: str, url: str | None, payload: bytes, digest: str, refers: str | None, date: str = "1970-01-01T00:00:00Z", mark: str = "") -> bytes:
+    """One WARC/1.1 record; ``mark`` makes its id one of its own where pages repeat.
+
+    A revisit has no block, so its payload's length is kept in a header of our own, as are the pages' ids.
+    """
     body = payload if kind == "response" else b""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{mark}/{page}')}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         f"WARC-Payload-Digest: sha1:{digest}",
+        f"X-Page-ID: {page}",
         f"X-Payload-Length: {len(payload)}",
-        *([f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers is not None else []),
+        *([f"X-Refers-To-Page: {refers}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers is not None else []),
+        *(["Content-Type: text/html; charset=utf-8"] if body else []),
         f"Content-Length: {len(body)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def parse_head(head: bytes) -> dict[str, str]:
-    return dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
+    return {name: value.strip() for name, _, value in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
 
 
 class _Inflated:
@@ -148,6 +155,7 @@ def with_targets(pages: DataFrame, key: str, body: str, least: int) -> DataFrame
 
 def write_archives(pages: DataFrame, folder: str, key: str, body: str, url: str, per_archive: int) -> DataFrame:
     """Write ``pages`` (see ``with_targets``) into monolithic archives; returns a row for each archive."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
         import pyarrow as pa
@@ -167,7 +175,7 @@ def write_archives(pages: DataFrame, folder: str, key: str, body: str, url: str,
                 if name is None:
                     name, n = uuid.uuid4().hex, 0
                     raw, pack = store.open_output_stream(f"{top}/{name}.part"), zlib.compressobj(1, zlib.DEFLATED, 31)
-                data = record("revisit" if refers is not None else "response", "" if page is None else str(page), where, (html or "").encode(), digest, None if refers is None else str(refers))
+                data = record("revisit" if refers is not None else "response", "" if page is None else str(page), where, (html or "").encode(), digest, None if refers is None else str(refers), date, f"{name}/{n}")
                 raw.write(pack.compress(data))
                 n += 1
                 if n >= per_archive:
@@ -224,8 +232,7 @@ def read_records(index: DataFrame, folder: str, key_type: str) -> DataFrame:
                 digest, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
                 if fields["WARC-Type"] == "response" and (hashlib.sha1(block).hexdigest(), len(block)) != (digest, size):
                     raise ValueError(f"record {fields['WARC-Record-ID']} of {archive} is damaged")
-                bare = lambda x: x and x[len("<urn:page:") : -1]
-                rows.append((bare(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], bare(fields.get("WARC-Refers-To"))))
+                rows.append((fields.get("X-Page-ID", ""), size, digest, fields["WARC-Type"], fields.get("X-Refers-To-Page")))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_pydict({"page": pa.array(columns[0], pa.string()), "payload_bytes": pa.array(columns[1], pa.int64()), "payload_digest": pa.array(columns[2], pa.string()), "record_type": pa.array(columns[3], pa.string()), "refers": pa.array(columns[4], pa.string())})
         if opened:
@@ -249,7 +256,9 @@ def round_trip(pages: DataFrame, key: str = "page_id", body: str = "html", url:
     # the list of archives is written down: later steps must see the names of this run, whichever tasks run again
     written.write.parquet(f"{folder}/_written")
     archives = spark.read.parquet(f"{folder}/_written")
-    normalised = normalise_archives(archives.repartition(F.col("archive")), folder)
+    # a few names are small data whatever the archives hold: only a number of partitions keeps them from being merged into one task
+    tasks = max(1, min(archives.count(), max(200, 4 * spark.sparkContext.defaultParallelism)))
+    normalised = normalise_archives(archives.repartition(tasks, "archive"), folder)
     normalised.write.parquet(f"{folder}/_normalised")
     listed = spark.read.parquet(f"{folder}/_normalised").where("members > 0")
     if listed.limit(1).count() == 0:
