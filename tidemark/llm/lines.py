@@ -6,8 +6,8 @@ Lines with equal sets are one record.  Two records over the threshold share a wo
 their prefixes: one of a short prefix of the smaller set and one of a longer prefix of the
 larger.  A word whose cell was hit once is in one record only and pairs nothing.  Length
 and position filters, applied in part by the key (a prefix word goes to the size classes
-that its place still allows), and a parity bitmap filter the pairs that share a word, and
-pairs that pass are verified on their whole sets.
+that its place still allows), and a parity bitmap filter the pairs that share a word, then
+their whole prefixes do, and pairs that pass are verified on their whole sets.
 
 Only whether an earlier match exists is asked for.  So lines are first held against the
 earliest line of each bucket of their two rarest shared words, a number of pairs that is
@@ -31,8 +31,6 @@ KEPT = (1 << 56) - 1
 STEPS = 4
 #: Shared prefix words that the first pass looks at.
 LEADING = 2
-#: Sets up to this size have a parity bitmap; 64 bits tell larger ones from nothing.
-MOST_PARITY = 112
 #: Ratio of neighbouring size classes.
 CLASS_RATIO = 1.25
 
@@ -72,7 +70,7 @@ def first_records(sets: DataFrame, num: int, den: int) -> DataFrame:
     """A row for each distinct set: key and line_no of its first line, n, ``prefix`` (none if no other set can be near) and parity."""
     length = F.when(F.col("n") * den >= num * (F.col("n") + 1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1).otherwise(0)
     made = sets.select("key", "line_no", "words", F.size("words").alias("n"), F.xxhash64("words").alias("id1"), F.xxhash64(F.lit(7), "words").alias("id2"))
-    made = made.select("key", "line_no", "id1", "id2", "n", F.slice("words", F.lit(1), length).alias("prefix"), F.when((F.col("n") <= MOST_PARITY) & (length > 0), _parity(F.col("words"))).alias("odd"))
+    made = made.select("key", "line_no", "id1", "id2", "n", F.slice("words", F.lit(1), length).alias("prefix"), F.when(length > 0, _parity(F.col("words"))).alias("odd"))
     grouped = made.groupBy("id1", "id2").agg(F.min(F.struct("key", "line_no")).alias("at"), F.first(F.struct("n", "prefix", "odd")).alias("own"))
     return grouped.select("at.*", "own.*")
 
@@ -149,6 +147,21 @@ def open_pairs(records: DataFrame, num: int, den: int) -> DataFrame:
     return passed(first).union(passed(second)).distinct()
 
 
+def close_prefixes(pairs: DataFrame, records: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that their prefixes allow: up to where the shorter-reaching one ends, both hold all their sets' words, and so all that differ.
+
+    This tells long sets apart, for which 64 parity bits are few, before whole sets are made.
+    """
+    side = lambda s: records.select(F.col("key").alias(f"_{s}key"), F.col("line_no").alias(f"_{s}line"), F.col("n").alias(f"{s}n"), F.col("prefix").alias(f"{s}p"))
+    both = pairs.join(side("l"), _same("l")).join(side("e"), _same("e")).withColumn("end", F.least(F.array_max("lp"), F.array_max("ep")))
+    differ = sum((F.size(F.filter(F.array_except(x, y), lambda t: t <= F.col("end"))) for x, y in (("lp", "ep"), ("ep", "lp"))), F.lit(0))
+    return both.where(differ * (den + num) <= (den - num) * (F.col("ln") + F.col("en"))).select("lkey", "lline", "ekey", "eline")
+
+
+def _same(s: str) -> Column:
+    return F.col(f"{s}key").eqNullSafe(F.col(f"_{s}key")) & (F.col(f"{s}line") == F.col(f"_{s}line"))
+
+
 def _matched(pairs: DataFrame, docs: DataFrame, levels: DataFrame, key: str, text: str, num: int, den: int) -> DataFrame:
     """at_key, at_line of the later lines of the pairs whose whole sets are near; sets are made again for these lines only."""
     at = pairs.select(F.col("lkey").alias("at_key"), F.col("lline").alias("line_no")).union(pairs.select("ekey", "eline"))
@@ -157,8 +170,7 @@ def _matched(pairs: DataFrame, docs: DataFrame, levels: DataFrame, key: str, tex
     some = some.select("key", "lines", F.explode("wanted").alias("line_no")).select("key", "line_no", F.get("lines", F.col("line_no")).alias("line"))
     sets = word_sets(some, levels)
     named = lambda s: sets.select(F.col("key").alias(f"_{s}key"), F.col("line_no").alias(f"_{s}line"), F.col("words").alias(f"{s}w"))
-    same = lambda s: F.col(f"{s}key").eqNullSafe(F.col(f"_{s}key")) & (F.col(f"{s}line") == F.col(f"_{s}line"))
-    both = pairs.join(named("l"), same("l")).join(named("e"), same("e"))
+    both = pairs.join(named("l"), _same("l")).join(named("e"), _same("e"))
     shared = F.size(F.array_intersect("lw", "ew"))
     near = den * shared >= num * (F.size("lw") + F.size("ew") - shared)
     return both.where(near).select(F.col("lkey").alias("at_key"), F.col("lline").alias("at_line")).distinct()
@@ -186,10 +198,10 @@ def _repeats(docs: DataFrame, num: int, den: int, key: str, text: str, tables: T
     """key and line_no of the lines to go, where ``key`` names one row."""
     levels = tables.write("levels", word_levels(docs, text))
     one = tables.write("one", first_records(word_sets(exploded(docs, key, text), levels), num, den))
-    likely = tables.write("likely", hub_pairs(one, num, den))
+    likely = tables.write("likely", close_prefixes(hub_pairs(one, num, den), one, num, den))
     gone = tables.write("gone", _matched(likely, docs, levels, key, text, num, den))
     marked = one.join(sized_broadcast(gone), _at(), "left").withColumn("gone", F.col("at_line").isNotNull()).drop("at_key", "at_line")
-    pairs = tables.write("pairs", open_pairs(marked, num, den))
+    pairs = tables.write("pairs", close_prefixes(open_pairs(marked, num, den), one, num, den))
     more = tables.write("more", _matched(pairs, docs, levels, key, text, num, den))
     # every line of a record goes but its first, and that one too if the record matches an earlier one
     firsts = one.select("key", "line_no").join(sized_broadcast(gone.unionByName(more)), _at(), "left_anti")
