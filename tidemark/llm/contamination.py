@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import field_ddl, filter_batches, map_batches
 
 #: Bytes of test text that are sent to the tasks at once; larger test sets are searched in blocks.
-BLOCK_BYTES = 16 << 20
+#: A byte of test text takes some 150 as phrases in Python, so a full block takes some 300 MB on the driver and in a worker.
+BLOCK_BYTES = 2 << 20
 #: ASCII letters in lower case, and every other ASCII byte but digits a separator.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 

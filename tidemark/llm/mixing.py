@@ -19,6 +19,8 @@ from .common import checkpoint, free_name, sized_broadcast, word_count
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval in which slots meet the sources' shares.
 CELLS = 4096
+#: Sources that are sent to every task; more are joined by shuffle.
+FEW_SOURCES = 100_000
 #: Slots that one ranking task holds.
 RUN = 1 << 16
 
@@ -75,7 +77,7 @@ def schedule(sources: DataFrame, block_tokens: int) -> DataFrame:
     met = runs.groupBy("place").agg(F.sum("n").alias("met"))
     left = shares.join(met, "place", "left").withColumn("met", F.coalesce("met", F.lit(0))).where("need > met")
     tail = left.select((F.lit(n) + F.col("place")).alias("slot"), "place", F.explode(F.sequence("met", F.col("need") - 1)).alias("rank"))
-    both = ranked.unionByName(tail).join(F.broadcast(shares.select("place", "need", "quota")), "place").where("rank < need")
+    both = ranked.unionByName(tail).join(sized_broadcast(shares.select("place", "need", "quota"), FEW_SOURCES), "place").where("rank < need")
     return both.select("slot", "place", "rank", F.least(F.lit(block_tokens).cast("long"), F.col("quota") - F.col("rank") * block_tokens).alias("words"))
 
 
@@ -113,7 +115,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     sources = targets(sizes, weights, share, most)
     sources = checkpoint(sources.withColumn("quota", F.least(F.round("target").cast("long"), F.floor(most * F.col("source_size")))))
     # the sources, one row each, are sized before they are sent to all tasks; joins by shuffle beyond that
-    few = sources.count() <= 100_000
+    few = sources.count() <= FEW_SOURCES
     dim = F.broadcast(sources.drop("weight")) if few else sources.drop("weight")
     placed = slim.join(dim.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     stream = checkpoint(shuffled_stream(placed))
