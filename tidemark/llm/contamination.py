@@ -2,10 +2,12 @@
 
 The positional inverted index is partitioned by training document, as in distributed
 search engines: a document's postings (term, ascending positions) stay together, and
-terms that no test item has are left out.  Test phrases are sent to the partitions in
-blocks of bounded size.  A phrase is searched from its rarest term, by corpus-wide
-frequency: its positions, less its offset in the phrase, are intersected with the
-offset-adjusted positions of the next rarest term, and so on until none is left.
+terms that no test item has are left out.  The postings are stored in the shared folder;
+corpus-wide frequencies and matches are both read from them, so texts are split once.
+Test phrases are sent to the partitions in blocks of bounded size.  A phrase is searched
+from its rarest term, by corpus-wide frequency: its positions, less its offset in the
+phrase, are intersected with the offset-adjusted positions of the next rarest term, and
+so on until none is left.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_ddl, filter_batches, map_batches
+from .common import Tables, _pieces, field_ddl, filter_batches, map_batches
 
 #: Bytes of test text that are sent to the tasks at once; larger test sets are searched in blocks.
 #: A byte of test text takes some 150 as phrases in Python, so a full block takes some 300 MB on the driver and in a worker.
@@ -83,27 +86,23 @@ def postings(docs: DataFrame, phrases: Phrases, keep: list[str], text: str = "te
     """The index: for each document its ``keep`` columns, ``n_words``, and flat postings lists.
 
     ``term`` holds the document's test terms, ``until`` where each term's positions end in ``position``.
-    Documents without any phrase's rarest term keep no postings, as no phrase can be in them.
     """
-    spark = docs.sparkSession
-    ids, anchors = spark.sparkContext.broadcast(phrases.ids), spark.sparkContext.broadcast(frozenset(phrases.anchored))
+    ids = docs.sparkSession.sparkContext.broadcast(phrases.ids)
 
     def start():
-        known, rare = ids.value, anchors.value
+        known = ids.value
 
         def each(b: dict[str, list]) -> dict[str, list]:
             out = {c: b[c] for c in keep} | {"n_words": [], "term": [], "until": [], "position": []}
             for x in b[text]:
                 words = terms(x)
                 found: dict[int, list[int]] = {}
-                row = list(map(known.get, words))
-                if not rare.isdisjoint(row):
-                    for at, t in enumerate(row):
-                        if t is not None:
-                            if t in found:
-                                found[t].append(at)
-                            else:
-                                found[t] = [at]
+                for at, t in enumerate(map(known.get, words)):
+                    if t is not None:
+                        if t in found:
+                            found[t].append(at)
+                        else:
+                            found[t] = [at]
                 until, flat = [], []
                 for p in found.values():
                     flat += p
@@ -120,6 +119,13 @@ def postings(docs: DataFrame, phrases: Phrases, keep: list[str], text: str = "te
     return map_batches(docs, [*keep, text], f"{kept}, n_words bigint, term array<int>, until array<int>, position array<int>", start)
 
 
+def stored_counts(index: DataFrame) -> dict[int, int]:
+    """Occurrences of each term in stored postings; as many rows reach the driver as the block has terms."""
+    each = F.expr("zip_with(term, zip_with(until, slice(concat(array(0), until), 1, size(until)), (z, a) -> z - a), (t, n) -> struct(t, n))")
+    found = index.select(F.explode(each).alias("p")).groupBy("p.t").agg(F.sum("p.n").alias("n"))
+    return {r["t"]: r["n"] for r in found.collect()}
+
+
 def _lists(term: list[int], until: list[int], position: list[int]) -> dict[int, list[int]]:
     return {t: position[a:b] for t, a, b in zip(term, [0, *until], until, strict=False)}
 
@@ -156,40 +162,58 @@ def _close(places: tuple[tuple[int, int], ...], lists: dict[int, list[int]], spa
 
 
 def _search(index: DataFrame, phrases: Phrases, keep: list[str], slop: int | None, earlier: bool) -> DataFrame:
-    """Per document the items found (``item_ids``) and flat bounds of the matched stretches (``hits``), with those of earlier blocks."""
-    sent = index.sparkSession.sparkContext.broadcast((phrases.anchored, phrases.items))
-
-    def start():
-        anchored, names = sent.value
+    """Per document the items found (``item_ids``) and flat bounds of the matched stretches (``hits``), with those of earlier blocks.
 
-        def each(b: dict[str, list]) -> dict[str, list]:
-            out = {c: b[c] for c in (*keep, "n_words")} | {"item_ids": [], "hits": []}
-            before = zip(b["item_ids"], b["hits"], strict=True) if earlier else ((None, None) for _ in b["term"])
-            for term, until, position, (old_ids, old_hits) in zip(b["term"], b["until"], b["position"], before, strict=True):
-                items: set[int] = set()
-                hits: set[tuple[int, int]] = set(zip(old_hits[::2], old_hits[1::2], strict=True)) if old_hits else set()
-                if term:
-                    lists = _lists(term, until, position)
-                    for t in anchored.keys() & lists.keys():
-                        for places, length, of in anchored[t]:
-                            got = [(s, s + length) for s in _starts(places, lists)] if slop is None else _close(places, lists, length + slop)
-                            if got:
-                                hits.update(got)
-                                items.update(of)
-                merged: list[int] = []
-                for a, z in sorted(hits):
-                    if merged and a <= merged[-1]:
-                        merged[-1] = max(z, merged[-1])
-                    else:
-                        merged += (a, z)
-                out["item_ids"].append(sorted({names[i] for i in items}.union(old_ids or ())))
-                out["hits"].append(merged)
-            return out
+    Postings become Python lists only for documents that have some phrase's rarest term; others can't have a phrase.
+    """
+    sent = index.sparkSession.sparkContext.broadcast((phrases.anchored, phrases.items, len(phrases.ids)))
+    old = ["item_ids", "hits"] if earlier else []
+    through = [*keep, "n_words"]
 
-        return each
+    def run(batches):
+        anchored, names, n_terms = sent.value
+        rare = np.zeros(n_terms, bool)
+        rare[list(anchored)] = True
+
+        def found(term: list[int], until: list[int], position: list[int]) -> tuple[set[int], set[tuple[int, int]]]:
+            items: set[int] = set()
+            hits: set[tuple[int, int]] = set()
+            lists = _lists(term, until, position)
+            for t in anchored.keys() & lists.keys():
+                for places, length, of in anchored[t]:
+                    got = [(s, s + length) for s in _starts(places, lists)] if slop is None else _close(places, lists, length + slop)
+                    if got:
+                        hits.update(got)
+                        items.update(of)
+            return items, hits
+
+        for b in _pieces(batches):
+            at = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            ids = at["item_ids"].to_pylist() if earlier else [[] for _ in range(b.num_rows)]
+            bounds = at["hits"].to_pylist() if earlier else [[] for _ in range(b.num_rows)]
+            ends = at["term"].offsets.to_numpy() - at["term"].offsets[0].as_py()
+            upto = np.concatenate([[0], np.cumsum(rare[at["term"].flatten().to_numpy()])])
+            rows = np.flatnonzero(upto[ends[1:]] > upto[ends[:-1]])
+            for k, *lists in zip(rows.tolist(), *(at[c].take(pa.array(rows)).to_pylist() for c in ("term", "until", "position")), strict=True):
+                items, hits = found(*lists)
+                if items:
+                    hits.update(zip(bounds[k][::2], bounds[k][1::2], strict=True))
+                    ids[k] = sorted({names[i] for i in items}.union(ids[k]))
+                    bounds[k] = _merged(hits)
+            yield pa.RecordBatch.from_arrays([*(at[c] for c in through), pa.array(ids, pa.list_(pa.string())), pa.array(bounds, pa.list_(pa.int32()))], names=[*through, "item_ids", "hits"])
 
     kept = "".join(f"`{c}` {field_ddl(index, c)}, " for c in keep)
-    return map_batches(index, [*keep, "n_words", "term", "until", "position", *(["item_ids", "hits"] if earlier else [])], f"{kept}n_words bigint, item_ids array<string>, hits array<int>", start)
+    return index.select(*through, "term", "until", "position", *old).mapInArrow(run, f"{kept}n_words bigint, item_ids array<string>, hits array<int>")
+
+
+def _merged(hits: set[tuple[int, int]]) -> list[int]:
+    out: list[int] = []
+    for a, z in sorted(hits):
+        if out and a <= out[-1]:
+            out[-1] = max(z, out[-1])
+        else:
+            out += (a, z)
+    return out
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None = None, carry: tuple[str, ...] = ("doc_id",), text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -202,14 +226,18 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None
     empty test set no hits.
     """
     blocks = _blocks(items, item_key, item_text, block_bytes)
+    tables = Tables(docs.sparkSession)
     out = docs.select(*dict.fromkeys([*carry, text]))
     for k, block in enumerate(blocks):
         phrases = Phrases([("" if r[0] is None else str(r[0]), r[1]) for r in block.collect()], width)  # bounded by block_bytes
-        phrases.rank(term_counts(docs, phrases, text))
-        # texts go on to the next block's search, the last one drops them unless asked for
+        # texts go on to the next block's index, the last one drops them unless asked for
         keep = [*dict.fromkeys([*carry, *([text] if k + 1 < len(blocks) else [])])]
         through = [*keep, *(["item_ids", "hits"] if k else [])]
-        out = _search(postings(out, phrases, through, text), phrases, keep, slop, earlier=k > 0)
+        index = tables.write(f"postings{k}", postings(out, phrases, through, text))
+        if k:
+            tables.drop(f"postings{k - 1}")
+        phrases.rank(stored_counts(index))
+        out = _search(index, phrases, keep, slop, earlier=k > 0)
     return out
 
 
