@@ -31,8 +31,8 @@ def _posts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """Book pages of three digits from benchmark items."""
-    return table(spark, d, "benchmark").where("item_id < 1000").select(F.format_string("raw/book/pages/page_%03d.md", "item_id").alias("path"), F.col("text"))
+    """Book pages of three digits from benchmark items; one of nine is missing."""
+    return table(spark, d, "benchmark").where("item_id < 1000 and item_id % 9 <> 4").select(F.format_string("raw/book/pages/page_%03d.md", "item_id").alias("path"), F.col("text"))
 
 
 def w09_evidence_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -99,14 +99,14 @@ SQL = {
     "w11_image_candidates": f"WITH {LINES} SELECT 'raw/crypto_archive/posts/d' || doc_id || '.md' AS path, block, candidates FROM blocks",
     "t17_quote_blocks": f"""WITH {LINES}, q AS (SELECT doc_id, CASE WHEN lines[5] <> '' THEN lines[5] END AS q1, CASE WHEN doc_id % 4 = 3 AND lines[3] <> '' THEN lines[3] END AS q2 FROM x WHERE len(lines) > 4)
       SELECT 'card/' || doc_id AS path, min(block) AS block FROM q JOIN blocks USING (doc_id) WHERE coalesce(q1, q2) IS NOT NULL AND (q1 IS NULL OR contains({CANON.format(x='said')}, {CANON.format(x='q1')})) AND (q2 IS NULL OR contains({CANON.format(x='said')}, {CANON.format(x='q2')})) GROUP BY doc_id HAVING count(*) = 1""",
-    "t13_source_findings": """WITH c AS (SELECT doc_id, doc_id % 12 AS k, doc_id % 40 IN (SELECT item_id FROM benchmark) AS page FROM documents)
+    "t13_source_findings": """WITH c AS (SELECT doc_id, doc_id % 12 AS k, doc_id % 40 IN (SELECT item_id FROM benchmark WHERE item_id % 9 <> 4) AS page FROM documents)
       SELECT 'card/' || doc_id AS path, unnest(CASE WHEN k = 0 THEN ['source_absolute'] WHEN k = 1 THEN ['source_place'] WHEN k IN (2, 10) THEN ['source_missing'] WHEN k IN (3, 4, 5, 11) AND NOT page THEN ['source_missing'] WHEN k IN (4, 11) THEN ['book_page'] WHEN k = 5 THEN ['book_post_url'] WHEN k = 6 THEN ['post_page'] WHEN k = 7 THEN ['post_url'] ELSE [] END) AS code FROM c""",
     "t14_page_spans": "WITH c AS (SELECT doc_id, doc_id % 6 AS k, doc_id % 900 AS n FROM documents) SELECT 'card/' || doc_id AS path, CASE WHEN k = 0 THEN CAST(n AS VARCHAR) WHEN k = 1 THEN n || ',' || (n + 1) END AS span, CASE WHEN k = 2 THEN 'page_range_reach' WHEN k = 4 THEN 'page_range_form' END AS code FROM c",
     "t18_quote_findings": """WITH c AS (SELECT d.doc_id, d.doc_id % 4 AS k, doc_id % 40 AS n, a.text AS own, b.text AS nxt, string_split(regexp_replace(d.text, '[#!>\\r]', '.', 'g'), chr(10)) AS lines FROM documents d LEFT JOIN benchmark a ON d.doc_id % 40 = a.item_id LEFT JOIN benchmark b ON d.doc_id % 40 + 1 = b.item_id),
       q AS (SELECT *, trim(substr(regexp_replace(coalesce(nxt, 'none'), '\\s+', ' ', 'g'), 11, 50)) AS quote FROM c),
       r AS (SELECT doc_id, CASE WHEN k = 1 THEN ['quote_absent'] WHEN k = 3 THEN ['quote_missing'] WHEN k = 0 THEN []
-        WHEN own IS NULL THEN [] WHEN doc_id % 16 = 6 THEN ['page_range_reach']
-        WHEN doc_id % 8 = 2 AND nxt IS NULL THEN CASE WHEN quote = '' THEN ['range_page_missing', 'quote_missing'] ELSE ['range_page_missing', 'quote_absent'] END
+        WHEN own IS NULL OR n % 9 = 4 THEN [] WHEN doc_id % 16 = 6 THEN ['page_range_reach']
+        WHEN doc_id % 8 = 2 AND (nxt IS NULL OR (n + 1) % 9 = 4) THEN CASE WHEN quote = '' THEN ['range_page_missing', 'quote_missing'] ELSE ['range_page_missing', 'quote_absent'] END
         WHEN quote = '' THEN ['quote_missing'] WHEN doc_id % 8 = 2 THEN [] WHEN contains(trim(regexp_replace(own, '\\s+', ' ', 'g')), quote) THEN [] ELSE ['quote_absent'] END AS codes FROM q)
       SELECT 'card/' || doc_id AS path, unnest(codes) AS code FROM r""",
 }
