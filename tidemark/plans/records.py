@@ -151,7 +151,7 @@ SQL = {
     "h15_journal_problems": """WITH e AS (SELECT event_id, event_id AS i FROM events) SELECT event_id, CASE WHEN i % 19 = 0 OR i % 23 = 0 THEN 'not an object' WHEN i % 2 = 1 AND i % 9 = 1 THEN 'review lacks note' WHEN i % 2 = 1 AND i % 5 = 1 THEN 'hit_trigger' WHEN i % 2 = 1 AND i % 7 = 3 THEN 'reviewed_at' WHEN i % 2 = 1 THEN NULL
       WHEN i % 17 = 0 THEN 'unsupported type' WHEN i % 11 = 4 AND i % 13 = 4 THEN 'analysis lacks phase, review' WHEN i % 11 = 4 THEN 'analysis lacks phase' WHEN i % 13 = 4 THEN 'analysis lacks review' WHEN i % 7 = 3 THEN 'logged_at' END AS problem FROM e""",
     "k02_analysis_problems": "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 < 7 THEN ['symbol', 'timeframe', 'model', 'effort', 'narrative', 'structure', 'phase'][o_orderkey % 10 + 1] WHEN o_orderkey % 12 BETWEEN 8 AND 10 THEN ['forecast.direction', 'forecast.trigger', 'forecast.invalidation'][o_orderkey % 12 - 7] WHEN o_orderkey % 7 < 3 THEN 'forecast.confidence' END AS problem FROM orders",
-    "h18_seeded_portfolios": "SELECT p_name || '.' || p_partkey AS name, 10000.0 AS starting_cash, 10000.0 AS cash, 1 AS next_id FROM part WHERE p_partkey % 6 > 3",
+    "h18_seeded_portfolios": "SELECT p_name || '.' || p_partkey AS name, CAST(10000 AS DOUBLE) AS starting_cash, CAST(10000 AS DOUBLE) AS cash, 1 AS next_id FROM part WHERE p_partkey % 6 > 3",
     "b16_allowed_answers": "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN 'decisive,event_type' ELSE 'event_type' END AS keys, o_orderpriority AS event_type FROM orders",
     "k07_manifest_upsert": "SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS mode, o_orderkey % 2 = 0 AS reveal, CASE WHEN o_orderkey % 5 <> 0 THEN 'new' ELSE 'old' END AS path FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 3 <> 0",
     "f22_fingerprints": """SELECT o_orderkey, sha256('{"cust":' || CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'null' END || ',"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}') AS print FROM orders""",
