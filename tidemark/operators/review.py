@@ -158,3 +158,64 @@ def missing_snapshots(cases: DataFrame, existing: DataFrame) -> DataFrame:
 def write_scores(scores: DataFrame, folder: str) -> None:
     """K-06: scores as JSON, a folder for each case; cases written again replace their own folder only."""
     scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").json(folder)
+
+
+def _stem_in_extracts(target: Column) -> Column:
+    """The name, without its ending, of a link target that lies in a folder ``extracts``; else null."""
+    parts = F.split(F.trim(target), "/")
+    name = F.element_at(parts, -1)
+    return F.when(F.array_contains(parts, "extracts"), F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
+
+
+def _index_sources(pages: DataFrame) -> DataFrame:
+    """path and source of each item under ``sources:`` in the leading block, with or without ``path:``."""
+    head = F.regexp_extract("text", r"(?s)^---\n(.*?)\n---\n", 1)
+    listed = F.regexp_extract(head, r"(?m)^sources:[ \t]*\n((?:[ \t]*-.*(?:\n|$)|[ \t]+.*(?:\n|$))*)", 1)
+    return pages.select("path", F.explode(F.regexp_extract_all(listed, F.lit(r"(?m)^[ \t]*-[ \t]*(?:path:[ \t]*)?(\S+)"), F.lit(1))).alias("source"))
+
+
+def taxonomy_findings(cards: DataFrame, pages: DataFrame) -> DataFrame:
+    """J-15: path, code and names where extract cards and the index pages of their events and structures disagree.
+
+    Cards are path, event, related_events, structure, related_structures and source; pages are path and text.
+    ``link_missing`` and ``source_missing`` name the pages that lack a card or its source, ``unrelated`` a linked card
+    that belongs elsewhere.
+    """
+    several = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    one = lambda c: F.filter(F.array(F.trim(F.coalesce(c, F.lit("")))), lambda x: ~x.isin("", "none"))
+    under = lambda names, kind: F.transform(names, lambda x: F.concat(F.lit(f"wiki/{kind}/"), x, F.lit(".md")))
+    expected = F.concat(*(under(f(F.col(c)), kind) for kind, own in (("by-event", "event"), ("by-structure", "structure")) for f, c in ((one, own), (several, f"related_{own}s"))))
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"(?<=.)\.[^.]*$", "")
+    edges = cards.select("path", stem.alias("stem"), F.trim(F.coalesce("source", F.lit(""))).alias("source"), F.explode(F.array_distinct(expected)).alias("index"))
+    index = pages.where(F.col("path").rlike(r"^wiki/by-(event|structure)/[^/]*\.md$"))
+    links = F.concat(
+        F.regexp_extract_all("text", F.lit(r"\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]"), F.lit(1)),
+        F.transform(F.regexp_extract_all("text", F.lit(wiki.LINK), F.lit(2)), lambda t: F.split_part(t, F.lit("#"), F.lit(1))),
+    )
+    linked = index.select(F.col("path").alias("index"), F.explode(links).alias("target")).select("index", _stem_in_extracts(F.col("target")).alias("stem")).where("stem IS NOT NULL").distinct()
+    named = _index_sources(index).select(F.col("path").alias("index"), "source").distinct()
+    lacking = lambda known, key, code: edges.join(known, ["index", key], "left_anti").groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("index")), ", ").alias("names")).select("path", F.lit(code).alias("code"), "names")
+    strays = linked.join(cards.select(stem.alias("stem")).distinct(), "stem", "left_semi").join(edges, ["index", "stem"], "left_anti")
+    of_pages = strays.select(F.col("index").alias("path"), F.lit("unrelated").alias("code"), F.col("stem").alias("names"))
+    return lacking(linked, "stem", "link_missing").unionByName(lacking(named, "source", "source_missing")).unionByName(of_pages)
+
+
+def image_posts(manifest: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """J-16: the posts that show an image, by local path, and by URL where the local file is not to be had.
+
+    The manifest is path, url, status and posts (an array); rows are key and post, once each.
+    """
+    of = lambda rows, key: rows.select(F.coalesce(key, F.lit("")).alias("key"), F.explode("posts").alias("post")).distinct()
+    there = existing.select("path", F.lit(True).alias("there")).distinct()
+    away = manifest.join(there, "path", "left").where(~F.coalesce(F.col("status") == "available", F.lit(False)) | F.col("there").isNull())
+    return of(manifest, F.col("path")), of(away, F.col("url"))
+
+
+def image_downloads(refs: DataFrame) -> DataFrame:
+    """H-33: slug, seq, url and first: the place of the image of a page that is fetched, and named, for this URL.
+
+    An image shown again takes the file of its first place; images without URL are passed over.
+    """
+    known = refs.where("url <> ''")
+    first = known.groupBy("slug", "url").agg(F.min("seq").alias("first"))
+    return known.join(first, ["slug", "url"]).select("slug", "seq", "url", "first")

@@ -97,6 +97,39 @@ def b23_missing_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return review.missing_snapshots(cases, cases.where("case_id % 5 > 0").withColumn("angle", angle))
 
 
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    """A card for each order; events by its customer, structures by its status, the source by its key."""
+    c = F.col("o_custkey")
+    return table(spark, d, "orders").select(
+        F.concat(F.lit("wiki/extracts/x"), "o_orderkey", F.lit(".md")).alias("path"), F.when(c % 5 == 0, "none").otherwise(F.concat(F.lit("e"), c % 5)).alias("event"),
+        F.when(c % 3 == 0, F.concat(F.lit("e"), c % 4, F.lit(", e9 ,"))).alias("related_events"), F.col("o_orderstatus").alias("structure"), F.lit(None).cast("string").alias("related_structures"), F.concat(F.lit("raw/s"), F.col("o_orderkey") % 20, F.lit(".md")).alias("source"),
+    )
+
+
+def j15_taxonomy_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Index pages e0 to e7 and two of structures; each links a fifth of the cards, by either form of link, and names ten of the sources."""
+    k = F.col("o_orderkey")
+    link = F.when(k % 2 == 0, F.concat(F.lit("[[extracts/x"), k, F.lit("|card]]"))).otherwise(F.concat(F.lit("[card](../extracts/x"), k, F.lit(".md#top)")))
+    indexes = spark.range(8).select(F.col("id").alias("n"), F.concat(F.lit("wiki/by-event/e"), "id", F.lit(".md")).alias("path")).unionByName(spark.createDataFrame([(1, "wiki/by-structure/F.md"), (2, "wiki/by-structure/O.md")], "n long, path string"))
+    body = table(spark, d, "orders").select((k % 8).alias("n"), link.alias("link")).groupBy("n").agg(F.array_join(F.collect_list("link"), "\n").alias("body"))
+    head = F.concat(F.lit("---\ntitle: i\nsources:\n"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.when(i % 2 == 0, "  - path: raw/s").otherwise("  - raw/s"), ((i * 2 + F.col("n")) % 20).cast("string"), F.lit(".md"))), "\n"), F.lit("\ntags:\n  - raw/s1.md\n---\n"))
+    pages = indexes.join(body, "n", "left").select("path", F.concat(head, F.coalesce("body", F.lit(""))).alias("text"))
+    return review.taxonomy_findings(_cards(spark, d), pages)
+
+
+def j16_image_posts(spark: SparkSession, d: str) -> DataFrame:
+    """A row of the manifest for each page; files of a seventh are missing."""
+    i = F.col("page_id")
+    rows = table(spark, d, "pages").select(i, F.concat(F.lit("raw/i"), i % 50).alias("path"), "url", F.when(i % 4 > 0, "available").otherwise("failed").alias("status"), F.array(F.concat(F.lit("p"), i % 9), F.concat(F.lit("p"), i % 5)).alias("posts"))
+    local, remote = review.image_posts(rows, rows.where("page_id % 50 % 7 > 0"))
+    return local.withColumn("kind", F.lit("local")).unionByName(remote.withColumn("kind", F.lit("remote")))
+
+
+def h33_image_downloads(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("l_partkey")
+    return review.image_downloads(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("slug"), F.col("l_linenumber").cast("long").alias("seq"), F.when(k % 9 > 0, F.concat(F.lit("http://h/"), k % 4)).otherwise("").alias("url")))
+
+
 _PAGES = """WITH c AS (SELECT doc_id, doc_id // 7 AS pr, CASE WHEN doc_id % 13 = 0 THEN 'D' WHEN doc_id % 2 = 0 THEN 'A' ELSE 'M' END AS status,
   CASE doc_id % 11 WHEN 0 THEN 'knowledge/wiki/index.md' WHEN 1 THEN 'knowledge/wiki/log.md' WHEN 2 THEN 'knowledge/wiki/health/citation-audit-' || doc_id || '.md' WHEN 3 THEN 'knowledge/wiki/sources/s' || doc_id || '.md' ELSE 'knowledge/wiki/concepts/c' || doc_id || '.md' END AS path, coalesce(text, '') AS text FROM documents)"""
 _LINKS = """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'knowledge/wiki/d' ELSE 'knowledge/wiki/concepts/d' END || doc_id || '.md' AS path, 2 + doc_id % 2 AS depth,
@@ -123,5 +156,15 @@ SQL = {
     "h38_verdicts": """SELECT o_orderkey AS file, o_orderkey % 2 = 0 AS passed, o_orderpriority AS canary, o_orderstatus AS "user", '' AS detail FROM orders WHERE o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 AND o_orderkey % 11 > 0""",
     "b23_missing_snapshots": """SELECT o_orderkey AS case_id, angle FROM orders, (SELECT unnest(['baseline', 'leakage', 'lookahead']) AS angle)
       WHERE NOT (o_orderkey % 5 > 0 AND angle = CASE o_orderkey % 3 WHEN 0 THEN 'leakage' WHEN 1 THEN 'lookahead' ELSE 'baseline' END)""",
+    "j15_taxonomy_findings": """WITH o AS (SELECT *, 'wiki/extracts/x' || o_orderkey || '.md' AS path, o_custkey AS c FROM orders),
+      e AS (SELECT DISTINCT path, o_orderkey, unnest(list_concat(CASE WHEN c % 5 > 0 THEN ['by-event/e' || c % 5] ELSE [] END, CASE WHEN c % 3 = 0 THEN ['by-event/e' || c % 4, 'by-event/e9'] ELSE [] END, ['by-structure/' || o_orderstatus])) AS i FROM o),
+      x AS (SELECT CAST(n AS BIGINT) AS n, 'by-event/e' || n AS i FROM range(8) t(n) UNION ALL VALUES (1, 'by-structure/F'), (2, 'by-structure/O')),
+      f AS (SELECT e.*, x.n FROM e LEFT JOIN x USING (i))
+      SELECT path, 'link_missing' AS code, string_agg('wiki/' || i || '.md', ', ' ORDER BY i) AS names FROM f WHERE n IS NULL OR o_orderkey % 8 <> n GROUP BY path
+      UNION ALL SELECT path, 'source_missing', string_agg('wiki/' || i || '.md', ', ' ORDER BY i) FROM f WHERE n IS NULL OR (o_orderkey % 20 + n) % 2 = 1 GROUP BY path
+      UNION ALL SELECT 'wiki/' || x.i || '.md', 'unrelated', 'x' || o.o_orderkey FROM x JOIN o ON o.o_orderkey % 8 = x.n ANTI JOIN e ON e.i = x.i AND e.o_orderkey = o.o_orderkey""",
+    "j16_image_posts": """WITH r AS (SELECT 'raw/i' || page_id % 50 AS path, url, page_id % 4 = 0 OR page_id % 50 % 7 = 0 AS away, unnest(['p' || page_id % 9, 'p' || page_id % 5]) AS post FROM pages)
+      SELECT DISTINCT path AS key, post, 'local' AS kind FROM r UNION ALL SELECT DISTINCT coalesce(url, ''), post, 'remote' FROM r WHERE away""",
+    "h33_image_downloads": """SELECT l_orderkey AS slug, CAST(l_linenumber AS BIGINT) AS seq, 'http://h/' || l_partkey % 4 AS url, CAST(min(l_linenumber) OVER (PARTITION BY l_orderkey, l_partkey % 4) AS BIGINT) AS "first" FROM lineitem WHERE l_partkey % 9 > 0""",
 }
 QUERIES = {name: globals()[name] for name in SQL}
