@@ -18,6 +18,24 @@ it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
+def _op11() -> str:
+    """Plain nearest entries by comparing all: two rounds of averages, then the codes."""
+    def assign(k: int) -> str:
+        return f"a{k} AS (SELECT x.vid, x.p, any_value(x.v) AS v, min(struct_pack(d := list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := b.e)) AS m FROM x JOIN b{k} b ON b.p = x.p GROUP BY x.vid, x.p)"
+
+    def means(k: int) -> str:
+        return f"""n{k} AS (SELECT p, e, j, floor(CAST(sum(c) AS DOUBLE) / count(*))::BIGINT AS c FROM (SELECT p, m.e AS e, unnest(range(1, len(v) + 1)) AS j, unnest(v) AS c FROM a{k}) GROUP BY p, e, j),
+        g{k} AS (SELECT p, e, list(c ORDER BY j) AS v FROM n{k} GROUP BY p, e), b{k + 1} AS (SELECT b.p, b.e, coalesce(g.v, b.v) AS v FROM b{k} b LEFT JOIN g{k} g ON g.p = b.p AND g.e = b.e)"""
+
+    return f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, q) AS vid, vec_id, label, q FROM (SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))::BIGINT) AS q FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)),
+      x AS (SELECT vid, p, list_slice(q, p * w + 1, (p + 1) * w) AS v FROM (SELECT vid, q, len(q) // 16 AS w, unnest(range(16)) AS p FROM k)), b0 AS (SELECT p, vid - 1 AS e, v FROM x WHERE vid <= 64),
+      {assign(0)}, {means(0)}, {assign(1)}, {means(1)}, {assign(2)},
+      h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS s FROM b2),
+      c AS (SELECT vid, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY vid)
+      SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM k JOIN c USING (vid), h"""
+
+
 def _op5() -> str:
     w = WORDS.format(t="text")
     ws = "[ \\t\\n\\x0B\\f\\r]"
@@ -46,4 +64,4 @@ def _op5() -> str:
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept FROM m JOIN ok USING (doc_id)"""
 
 
-SQL = {"op5_quality_rules": _op5(), "op8_warc": OP8, "op10_contamination": OP10}
+SQL = {"op5_quality_rules": _op5(), "op8_warc": OP8, "op10_contamination": OP10, "op11_vector_codes": _op11()}
