@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import codes, contamination, jaccard, lines, mixing, normalise, oracles, quality, secrets, shards, tokens, toxicity
+from . import codes, contamination, jaccard, lines, mixing, normalise, oracles, quality, secrets, shards, tokens, toxicity, winnow
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -73,8 +73,14 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", codes.hex_code(F.col("codes")).alias("code"), "error", "label_error", F.lit(codes.books_sha256(books)).alias("codebooks_sha256"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.compared(read_table(spark, sf_dir, "documents"))
+    prints = [winnow.spelt(F.col(f"{of}places"), F.col(f"{of}hashes")).alias(f"{of}fingerprint") for of in ("", "edited_")]
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_ngram_jaccard, op4_token_counts, op5_quality_rules, op6_toxicity, op7_source_mix, op8_warc, op9_byte_shards, op10_contamination, op11_vector_codes)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_ngram_jaccard, op4_token_counts, op5_quality_rules, op6_toxicity, op7_source_mix, op8_warc, op9_byte_shards, op10_contamination, op11_vector_codes, op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
