@@ -18,6 +18,27 @@ it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
+OP12 = """WITH RECURSIVE bits AS (SELECT i AS v, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT v, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY v) AS tab FROM bits WHERE k = 8),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+hit AS (SELECT *, xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT)), lambda c, b: xor(c // 256, tab[CAST(xor(c, b) % 256 AS BIGINT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind FROM src, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos, regexp_extract(text, '([^ \t\n\x0B\f\r])[ \t\n\x0B\f\r]*$', 1) AS tail FROM hurt),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS no, coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS bad FROM num),
+flt AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN no > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM seen),
+sums AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal, count(*) AS n FROM flt GROUP BY conv_id),
+ins(f, g, c, a, o) AS (VALUES ('', '', 0, '', []::VARCHAR[]), ('', 'u', 3, 'I', ['user:']), ('', 'a', 6, 'II', ['user:', 'assistant:']), ('s', 's', 0, '', []), ('s', 'u', 3, 'I', ['user:']), ('s', 'a', 6, 'II', ['user:', 'assistant:']), ('u', 'u', 0, '', []), ('u', 'a', 3, 'I', ['assistant:']), ('a', 'a', 0, '', []), ('a', 'u', 3, 'I', ['user:'])),
+nxt(g, h) AS (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS pos, '' AS st, struct_pack(c := 0, a := '', o := []::VARCHAR[]) AS b FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL
+  SELECT conv_id, pos, st, min(x) FROM (
+    SELECT w.conv_id, r.pos, e.st, struct_pack(c := w.b.c + i.c + e.c, a := w.b.a || i.a || e.a, o := w.b.o || i.o || e.o) AS x FROM walk w JOIN flt r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.pos = w.pos + 1 JOIN ins i ON i.f = w.st,
+    LATERAL (SELECT i.g AS st, 4 AS c, 'D' AS a, []::VARCHAR[] AS o UNION ALL
+      SELECT h, CASE WHEN r.fault = 'truncated' THEN 3 ELSE 0 END, 'K', [r.role || ':' || r.text] FROM nxt WHERE nxt.g = i.g AND h = left(r.role, 1) AND coalesce(r.fault, '') NOT IN ('blank', 'duplicate') UNION ALL
+      SELECT h, CASE WHEN r.fault = 'truncated' THEN 6 ELSE 3 END, 'R', [CASE h WHEN 'u' THEN 'user:' ELSE 'assistant:' END || r.text] FROM nxt WHERE nxt.g = i.g AND h <> 's' AND coalesce(r.fault, '') NOT IN ('blank', 'duplicate')) e) GROUP BY conv_id, pos, st),
+fin AS (SELECT w.conv_id, min(struct_pack(c := b.c + i.c, a := b.a || i.a, o := b.o || i.o)) AS b FROM walk w LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM w.conv_id JOIN ins i ON i.f = w.st WHERE w.pos = coalesce(s.n, 0) AND i.g IN ('', 'a') GROUP BY w.conv_id)
+SELECT fin.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(b.c AS BIGINT) AS cost, b.a AS audit, sha256(array_to_string(b.o, chr(10))) AS repaired_sha256 FROM fin LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM fin.conv_id"""
+
+
 def _op11() -> str:
     """Plain nearest entries by comparing all: two rounds of averages, then the codes."""
     def assign(k: int) -> str:
@@ -64,4 +85,4 @@ def _op5() -> str:
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept FROM m JOIN ok USING (doc_id)"""
 
 
-SQL = {"op5_quality_rules": _op5(), "op8_warc": OP8, "op10_contamination": OP10, "op11_vector_codes": _op11()}
+SQL = {"op5_quality_rules": _op5(), "op8_warc": OP8, "op10_contamination": OP10, "op11_vector_codes": _op11(), "op12_conversation_repair": OP12}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import codes, contamination, jaccard, lines, mixing, normalise, oracles, quality, secrets, shards, tokens, toxicity, winnow
+from . import codes, contamination, jaccard, lines, mixing, normalise, oracles, quality, secrets, shards, tokens, toxicity, turns, winnow
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -73,6 +73,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", codes.hex_code(F.col("codes")).alias("code"), "error", "label_error", F.lit(codes.books_sha256(books)).alias("codebooks_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audited, repaired = turns.repair(read_table(spark, sf_dir, "conversations"))
+    sha = turns.digests(repaired).withColumnRenamed("conv_id", "of")
+    out = audited.join(sha, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    return out.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.compared(read_table(spark, sf_dir, "documents"))
     prints = [winnow.spelt(F.col(f"{of}places"), F.col(f"{of}hashes")).alias(f"{of}fingerprint") for of in ("", "edited_")]
@@ -80,7 +87,7 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_ngram_jaccard, op4_token_counts, op5_quality_rules, op6_toxicity, op7_source_mix, op8_warc, op9_byte_shards, op10_contamination, op11_vector_codes, op13_fingerprints)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_ngram_jaccard, op4_token_counts, op5_quality_rules, op6_toxicity, op7_source_mix, op8_warc, op9_byte_shards, op10_contamination, op11_vector_codes, op12_conversation_repair, op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
