@@ -138,7 +138,7 @@ def test_signal_exits(spark):
 def test_skips(spark):
     s = spark.createDataFrame([(1, 1, None, "1d", "1970-01-01T00:00:00Z", "long_a", 1.0, [2.0], None, None), (2, 2, "A", "1d", None, "long_a", 1.0, [2.0], None, None), (3, 3, "A", "1d", "1970-01-01T00:00:00Z", "odd", 1.0, [2.0], None, None), (4, 4, "A", "1d", "1999-01-01T00:00:00Z", "long_a", 1.0, [2.0], None, None), (5, 5, "A", "1d", "1970-01-01T00:00:00Z", "long_a", 1.0, [2.0], None, None)], SIGNAL)
     t, k = backtest.backtest_signals(s, series(spark, [1, 1, 2]))
-    assert {r.reason: r.n for r in backtest.skip_counts(s, t, k).collect()} == {"considered": 5, "executed": 1, "missing_symbol_or_timeframe": 1, "missing_timestamp": 1, "unknown_side": 1, "no_entry_candle": 1}
+    assert {r.reason: r.n for r in backtest.skip_counts(s, t, k).collect()} == {"considered": 5, "executed": 1, "missing_symbol_or_timeframe": 1, "missing_timestamp": 1, "unresolvable_side": 1, "no_entry_candle": 1}
 
 
 def test_breakout_rule(spark):

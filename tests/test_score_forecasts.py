@@ -18,11 +18,11 @@ def test_every_usable_signal_is_scored(spark, tmp_path):
     for _, _, v, t in rows:
         bars[t.replace(minute=0)].append(v)
     opens = sorted(bars)
-    signals = [r for r in rows if r[0] % 10 == 0 and any(o > r[3] for o in opens)]
+    signals = [r for r in rows if any(o > r[3] for o in opens)]
     assert sorted(got) == [r[0] for r in signals] and len(got) > 30
     for i, _, v, t in signals:
-        long, walk = i % 20 == 0, [o for o in opens if o > t][:10]
-        said = "none" if i % 350 == 0 else "up" if long else "down"
+        long, walk = i % 2 == 0, [o for o in opens if o > t][:10]
+        said = "none" if i % 35 == 0 else "up" if long else "down"
         stop, aim = (v * 0.5, v * 1.5) if long else (v * 1.5, v * 0.5)
         want = ("open", None)
         for k, o in enumerate(walk, 1):
@@ -31,8 +31,8 @@ def test_every_usable_signal_is_scored(spark, tmp_path):
             if said != "none" and (lost or won):
                 want = ("hit_sl" if lost else "hit_tp", k)
                 break
-        decisive = None if i % 250 == 0 else i % 200 != 0
+        decisive = None if i % 25 == 0 else i % 20 != 0
         wait = decisive is False and said == "none" and (i % 100) / 100 <= 0.35
-        if i % 450 == 0 or wait:
+        if i % 45 == 0 or wait:
             want = (None, None)
         assert (got[i].outcome, got[i].bars_to_resolution) == want, i

@@ -40,11 +40,12 @@ def _forecasts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = next_bars(usable_signals(_signals(spark, d)).drop("skip"), with_index(_hourly(spark, d)).select("symbol", "timeframe", "bar_idx", "open_time")).where("bar is not null")
     up = F.col("side") == "long"
     f = s.select(
-        i.alias("id"), "symbol", F.col("bar.bar_idx").alias("at"), F.when(i % 350 == 0, "stand aside").when(up, "Bullish").otherwise("short").alias("direction"), F.when(up, F.col("target_zone")[0]).otherwise(F.col("target_zone")[0]).alias("trigger"), v.alias("invalidation"),
-        ((i % 100) / 100.0).alias("confidence"), F.when(i % 450 == 0, "retrospective").otherwise("forward").alias("analysis_mode"), F.when(i % 250 == 0, F.lit(None)).otherwise(i % 200 != 0).cast("boolean").alias("decisive"), F.when(i % 150 == 0, F.lit(None)).when(i % 100 == 0, "higher").otherwise("flat").alias("realized_direction"),
+        i.alias("id"), "symbol", F.col("bar.bar_idx").alias("at"), F.when(i % 35 == 0, "stand aside").when(up, "Bullish").otherwise("short").alias("direction"), F.when(up, F.col("target_zone")[0]).otherwise(F.col("target_zone")[0]).alias("trigger"), v.alias("invalidation"),
+        ((i % 100) / 100.0).alias("confidence"), F.when(i % 45 == 0, "retrospective").otherwise("forward").alias("analysis_mode"), F.when(i % 25 == 0, F.lit(None)).otherwise(i % 20 != 0).cast("boolean").alias("decisive"), F.when(i % 15 == 0, F.lit(None)).when(i % 10 == 0, "higher").otherwise("flat").alias("realized_direction"),
     )
     b = with_index(_hourly(spark, d)).select("symbol", "bar_idx", "high", "low")
-    walk = f.select("id", "symbol", "at").join(b, "symbol").where((F.col("bar_idx") >= F.col("at")) & (F.col("bar_idx") < F.col("at") + 10)).select("id", (F.col("bar_idx") - F.col("at") + 1).alias("i"), "high", "low")
+    ten = f.select("id", "symbol", "at", F.explode(F.sequence(F.col("at"), F.col("at") + 9)).alias("bar_idx"))
+    walk = ten.join(b, ["symbol", "bar_idx"]).select("id", (F.col("bar_idx") - F.col("at") + 1).alias("i"), "high", "low")
     return f.drop("symbol", "at"), walk
 
 
@@ -185,7 +186,7 @@ def k03_accepted_reviews(spark: SparkSession, d: str) -> DataFrame:
 
 def k01_signal_problems(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("signal_id")
-    s = _signals(spark, d, flaws=True).withColumn("entry_zone", F.when(k % 60 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0)))).withColumn("symbol", F.when(k % 90 == 0, "a b").otherwise(F.col("symbol")))
+    s = _signals(spark, d, flaws=True).withColumn("entry_zone", F.when(k % 6 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0)))).withColumn("symbol", F.when(k % 9 == 0, "a b").otherwise(F.col("symbol")))
     return ledgers.signal_problem(s).groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
 
 
@@ -236,8 +237,8 @@ def _weighted_sql(names: list[str]) -> str:
 
 SQL = {
     "b05_score_forecasts": f"""WITH {HOURLY}, ix AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS i FROM bars),
-      f AS (SELECT e.event_id AS id, e.event_type AS symbol, ts, CASE WHEN event_id % 350 = 0 THEN 'none' WHEN event_id % 20 = 0 THEN 'up' ELSE 'down' END AS said, CASE WHEN event_id % 20 = 0 THEN value * 1.5 ELSE value * 0.5 END AS trig, CASE WHEN event_id % 20 = 0 THEN value * 0.5 ELSE value * 1.5 END AS inval,
-        (event_id % 100) / 100.0 AS conf, event_id % 450 = 0 AS retro, CASE WHEN event_id % 250 = 0 THEN NULL ELSE event_id % 200 <> 0 END AS decisive, CASE WHEN event_id % 150 = 0 THEN NULL WHEN event_id % 100 = 0 THEN 'up' ELSE 'none' END AS real FROM events e WHERE event_id % 10 = 0),
+      f AS (SELECT e.event_id AS id, e.event_type AS symbol, ts, CASE WHEN event_id % 35 = 0 THEN 'none' WHEN event_id % 2 = 0 THEN 'up' ELSE 'down' END AS said, CASE WHEN event_id % 2 = 0 THEN value * 1.5 ELSE value * 0.5 END AS trig, CASE WHEN event_id % 2 = 0 THEN value * 0.5 ELSE value * 1.5 END AS inval,
+        (event_id % 100) / 100.0 AS conf, event_id % 45 = 0 AS retro, CASE WHEN event_id % 25 = 0 THEN NULL ELSE event_id % 20 <> 0 END AS decisive, CASE WHEN event_id % 15 = 0 THEN NULL WHEN event_id % 10 = 0 THEN 'up' ELSE 'none' END AS real FROM events e),
       s AS (SELECT f.*, ix.i AS at, NOT retro AND coalesce(NOT decisive, false) AND said = 'none' AND conf <= 0.35 AS wait_case FROM f ASOF JOIN ix ON f.symbol = ix.symbol AND epoch_ms(f.ts) < ix.open_time),
       m AS (SELECT id, min_by(hit, k) AS hit, min(k) AS k FROM (SELECT s.id, ix.i - s.at + 1 AS k, CASE said WHEN 'up' THEN CASE WHEN low <= inval THEN 'hit_sl' WHEN high >= trig THEN 'hit_tp' END WHEN 'down' THEN CASE WHEN high >= inval THEN 'hit_sl' WHEN low <= trig THEN 'hit_tp' END END AS hit
         FROM s JOIN ix ON ix.symbol = s.symbol AND ix.i >= s.at AND ix.i < s.at + 10 WHERE NOT retro AND NOT wait_case) WHERE hit IS NOT NULL GROUP BY id),
@@ -273,7 +274,7 @@ SQL = {
     "j07_latest_reviews": f"""WITH {ANALYSES}, l AS (SELECT analysis_id, arg_max(model, seq) AS model FROM an GROUP BY 1), r AS (SELECT user_id AS analysis_id, arg_max(row(event_type, event_id % 2 = 0), row(date_trunc('day', ts), event_id)) AS x FROM events GROUP BY 1)
       SELECT analysis_id, model, x[1] AS realized_direction, x[2] AS hit_trigger FROM l LEFT JOIN r USING (analysis_id)""",
     "k03_accepted_reviews": f"WITH {ANALYSES} SELECT user_id AS analysis_id, count(*) AS n FROM events WHERE user_id IN (SELECT analysis_id FROM an WHERE analysis_id % 3 = 0) GROUP BY 1",
-    "k01_signal_problems": "SELECT CASE WHEN event_id % 90 = 0 THEN 'symbol' WHEN event_id % 110 = 0 THEN 'signal_type' WHEN event_id % 60 = 0 THEN 'entry_zone' WHEN event_id % 130 = 0 THEN 'logged_at' ELSE 'none' END AS problem, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY 1",
+    "k01_signal_problems": "SELECT CASE WHEN event_id % 9 = 0 THEN 'symbol' WHEN event_id % 11 = 0 THEN 'signal_type' WHEN event_id % 6 = 0 THEN 'entry_zone' WHEN event_id % 13 = 0 THEN 'logged_at' ELSE 'none' END AS problem, count(*) AS n FROM events GROUP BY 1",
     "b10_positions": f"WITH {POSITIONS} SELECT portfolio, id, symbol, side, size, entry_price, exit_price, status, realized_pnl FROM p",
     "a13_portfolio_state": f"""WITH {POSITIONS}, m AS (SELECT o_orderpriority AS symbol, max(o_totalprice) AS mark FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1), j AS (SELECT p.*, CASE WHEN status = 'open' THEN coalesce(CASE WHEN side = 'long' THEN (mark - entry_price) * size ELSE (entry_price - mark) * size END, 0) ELSE 0 END AS live FROM p LEFT JOIN m USING (symbol))
       SELECT portfolio, CAST(count(*) FILTER (status = 'closed') AS BIGINT) AS closed_count, CAST(count(*) FILTER (status = 'open') AS BIGINT) AS open_count, round(coalesce(sum(realized_pnl), 0), 2) AS realized, round(sum(live), 2) AS unrealized, round(100000 + coalesce(sum(realized_pnl), 0), 2) AS cash, round(100000 + coalesce(sum(realized_pnl), 0) + sum(live), 2) AS equity FROM j GROUP BY 1""",

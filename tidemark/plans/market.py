@@ -29,12 +29,12 @@ def _symbols(bars: DataFrame) -> DataFrame:
 
 
 def _signals(spark: SparkSession, d: str, flaws: bool = False) -> DataFrame:
-    """Signals made from every tenth event; ``flaws`` breaks some of them in each way that is skipped."""
-    e, i = table(spark, d, "events").where("event_id % 10 = 0"), F.col("event_id")
-    long, v = i % 20 == 0, F.col("value")
+    """A signal for each event; ``flaws`` breaks some of them in each way that is skipped."""
+    e, i = table(spark, d, "events"), F.col("event_id")
+    long, v = i % 2 == 0, F.col("value")
     kind, tf, at = F.when(long, "long_spring").otherwise("short_utad"), F.lit("1h"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     if flaws:
-        kind, tf, at = F.when(i % 110 == 0, "mystery").otherwise(kind), F.when(i % 70 != 0, tf), F.when(i % 130 == 0, "soon").otherwise(at)
+        kind, tf, at = F.when(i % 11 == 0, "mystery").otherwise(kind), F.when(i % 7 != 0, tf), F.when(i % 13 == 0, "soon").otherwise(at)
     return e.select(
         i.alias("signal_id"), i.alias("seq"), F.col("event_type").alias("symbol"), tf.alias("timeframe"), at.alias("logged_at"), kind.alias("signal_type"),
         F.when(long, v * 0.5).otherwise(v * 1.5).alias("invalidation"), F.when(long, F.array(v * 1.5, v * 2)).otherwise(F.array(v * 0.5, v * 0.25)).alias("target_zone"),
@@ -188,10 +188,10 @@ LAST = "ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ope
 DROP = f"""{LAST}, win AS (SELECT * FROM ranked WHERE back <= 56),
 run AS (SELECT *, max(high) OVER w AS peak, min(low) OVER w AS trough FROM win WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING)),
 found AS (SELECT symbol, greatest(coalesce(max(CASE WHEN peak > 0 THEN (peak - low) / peak END), 0), 0) AS dd, greatest(coalesce(max(CASE WHEN trough > 0 THEN (high - trough) / trough END), 0), 0) AS up, max(have) >= 56 AS ok FROM run GROUP BY symbol)"""
-SIGNALS_SQL = """sig AS (SELECT event_id AS signal_id, event_type AS symbol, ts, event_id % 20 = 0 AS is_long,
-  CASE WHEN event_id % 20 = 0 THEN value * 0.5 ELSE value * 1.5 END AS stop, CASE WHEN event_id % 20 = 0 THEN value * 1.5 ELSE value * 0.5 END AS target,
+SIGNALS_SQL = """sig AS (SELECT event_id AS signal_id, event_type AS symbol, ts, event_id % 2 = 0 AS is_long,
+  CASE WHEN event_id % 2 = 0 THEN value * 0.5 ELSE value * 1.5 END AS stop, CASE WHEN event_id % 2 = 0 THEN value * 1.5 ELSE value * 0.5 END AS target,
   CASE WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 8 = 0 THEN 'high' ELSE 'low' END END AS tq, substr('ABCDE', CAST((event_id // 10) % 5 AS INT) + 1, 1) AS phase
-  FROM events WHERE event_id % 10 = 0)"""
+  FROM events)"""
 TRADES_SQL = f"""{HOURLY}, ix AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS i, count(*) OVER (PARTITION BY symbol) - 1 AS z FROM bars), {SIGNALS_SQL},
 ent AS (SELECT sig.*, ix.i, ix.z, ix.open_time AS entry_time, ix.open, least(ix.i + 48, ix.z) AS lst, ix.i + 48 < ix.z AS cut
   FROM sig ASOF JOIN ix ON sig.symbol = ix.symbol AND epoch_ms(sig.ts) < ix.open_time WHERE ix.open > 0),
@@ -243,8 +243,8 @@ SQL = {
     "j03_next_bar": f"WITH {HOURLY}, {SIGNALS_SQL} SELECT sig.signal_id, bars.open_time, round(bars.open, 6) AS open FROM sig ASOF LEFT JOIN bars ON sig.symbol = bars.symbol AND epoch_ms(sig.ts) < bars.open_time",
     "b01_backtest_signals": f"""WITH {TRADES_SQL}, p AS (SELECT *, CASE WHEN is_long THEN open * 1.001 ELSE open * 0.999 END AS entry_price FROM tr)
       SELECT signal_id, symbol, CASE WHEN is_long THEN 'long' ELSE 'short' END AS side, entry_time, exit_time, outcome, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, round(CASE WHEN is_long THEN (exit_price - entry_price) / entry_price ELSE (entry_price - exit_price) / entry_price END, 6) AS pnl_pct FROM p""",
-    "a05_skip_reasons": f"""WITH {HOURLY}, s AS (SELECT event_id, event_type AS symbol, ts, CASE WHEN event_id % 70 = 0 THEN 'missing_symbol_or_timeframe' WHEN event_id % 130 = 0 THEN 'unparseable_timestamp' WHEN event_id % 110 = 0 THEN 'unknown_side' END AS skip FROM events WHERE event_id % 10 = 0),
-      r AS (SELECT coalesce(skip, CASE WHEN b.open IS NULL THEN 'no_entry_candle' WHEN b.open <= 0 THEN 'invalid_entry_price' ELSE 'executed' END) AS reason FROM s ASOF LEFT JOIN bars b ON s.symbol = b.symbol AND epoch_ms(s.ts) < b.open_time)
+    "a05_skip_reasons": f"""WITH {HOURLY}, s AS (SELECT event_id, event_type AS symbol, ts, CASE WHEN event_id % 7 = 0 THEN 'missing_symbol_or_timeframe' WHEN event_id % 13 = 0 THEN 'unparseable_timestamp' WHEN event_id % 11 = 0 THEN 'unresolvable_side' END AS skip FROM events),
+      r AS (SELECT coalesce(skip, CASE WHEN b.open IS NULL THEN 'no_entry_candle' WHEN b.open <= 0 THEN 'invalid_entry' ELSE 'executed' END) AS reason FROM s ASOF LEFT JOIN bars b ON s.symbol = b.symbol AND epoch_ms(s.ts) < b.open_time)
       SELECT reason, count(*) AS n FROM r GROUP BY reason UNION ALL SELECT 'considered', count(*) FROM r""",
     "a04_signal_stats": f"""WITH {TRADES_SQL}, q AS (SELECT signal_id, tq, phase, entry_time, exit_time, CASE WHEN is_long THEN (exit_price - open) / open ELSE (open - exit_price) / open END AS r FROM tr),
       long AS (SELECT 'all' AS scope, '' AS key, * FROM q UNION ALL SELECT 'tactical_quality', tq, * FROM q WHERE tq IS NOT NULL UNION ALL SELECT 'phase', phase, * FROM q), {STATS_SQL}""",
