@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from .common import Tables, sized_broadcast
 
 #: Entries that a leaf compares directly.
-LEAF = 6
+LEAF = 8
 #: Vectors that are searched at once.
-PIECE = 4096
+PIECE = 8192
 #: Squared distances up to here are exact as doubles.
 EXACT = 1 << 53
 
@@ -41,24 +41,20 @@ class Tree:
         self.entries = entries.astype(np.int64)
         self.root = self._node(np.arange(len(entries)))
 
-    def _squares(self, point: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        away = self.entries[rows] - point
-        return (away * away).sum(axis=1)
-
     def _node(self, rows: np.ndarray) -> tuple:
         """("leaf", rows) or ("split", vantage, near, far); a side is (node, least, greatest distance), rounded outwards."""
         if len(rows) <= LEAF:
             return ("leaf", rows)
         # the entry furthest from the first one: vantage points at the rim separate best
-        vantage = rows[int(np.argmax(self._squares(self.entries[rows[0]], rows)))]
+        vantage = rows[int(np.argmax(_squares(self.entries[rows], self.entries[rows[0]])))]
         rest = rows[rows != vantage]
-        squares = self._squares(self.entries[vantage], rest)
+        squares = _squares(self.entries[rest], self.entries[vantage])
         order = np.argsort(squares, kind="stable")
         half = len(rest) // 2
         sides = []
         for part in (order[:half], order[half:]):
             root = np.sqrt(squares[part].astype(np.float64))
-            sides.append((self._node(rest[part]), _down(root.min()), _up(root.max())))
+            sides.append((self._node(np.sort(rest[part])), _down(root.min()), _up(root.max())))
         return ("split", vantage, *sides)
 
     def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,30 +66,38 @@ class Tree:
             self._visit(self.root, points, np.arange(len(points)), best, index)
         return index, best
 
-    def _offer(self, row: int, points: np.ndarray, who: np.ndarray, best: np.ndarray, index: np.ndarray) -> np.ndarray:
-        away = points[who] - self.entries[row]
-        squares = (away * away).sum(axis=1)
-        better = (squares < best[who]) | ((squares == best[who]) & (row < index[who]))
+    def _offer(self, rows: np.ndarray, points: np.ndarray, who: np.ndarray, best: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Compare the points ``who`` with entries (ascending); the squared distances, entries x points."""
+        own = points[who]
+        squares = np.stack([_squares(own, self.entries[row]) for row in rows])
+        first = squares.argmin(axis=0)  # the lowest of equal ones
+        least, row = squares[first, np.arange(len(who))], rows[first]
+        had = best[who]
+        better = (least < had) | ((least == had) & (row < index[who]))
         won = who[better]
-        best[won], index[won] = squares[better], row
+        best[won], index[won] = least[better], row[better]
         return squares
 
     def _visit(self, node: tuple, points: np.ndarray, who: np.ndarray, best: np.ndarray, index: np.ndarray) -> None:
         if node[0] == "leaf":
-            for row in node[1]:
-                self._offer(row, points, who, best, index)
+            self._offer(node[1], points, who, best, index)
             return
-        _, vantage, near, far = node
-        away = np.sqrt(self._offer(vantage, points, who, best, index).astype(np.float64))
+        _, vantage, *sides = node
+        away = np.sqrt(self._offer(np.array([vantage]), points, who, best, index)[0].astype(np.float64))
         # the side whose range is closer is entered first
-        gap = [np.maximum(_down(away) - side[2], side[1] - _up(away)) for side in (near, far)]
-        near_first = gap[0] <= gap[1]
-        for group, sides in ((near_first, (0, 1)), (~near_first, (1, 0))):
-            for k in sides:
+        gaps = [np.maximum(_down(away) - high, low - _up(away)) for _, low, high in sides]
+        near_first = gaps[0] <= gaps[1]
+        for group, order in ((near_first, (0, 1)), (~near_first, (1, 0))):
+            for k in order:
                 # not strict: a side at just the best distance may hold an equal entry of a lower index
-                open_ = group & (_down(gap[k]) <= _up(np.sqrt(best[who].astype(np.float64))))
+                open_ = group & (_down(gaps[k]) <= _up(np.sqrt(best[who].astype(np.float64))))
                 if open_.any():
-                    self._visit((near, far)[k][0], points, who[open_], best, index)
+                    self._visit(sides[k][0], points, who[open_], best, index)
+
+
+def _squares(points: np.ndarray, point: np.ndarray) -> np.ndarray:
+    away = points - point
+    return np.einsum("ij,ij->i", away, away)
 
 
 def _up(x):
