@@ -100,8 +100,9 @@ def judged(rows: DataFrame) -> DataFrame:
     earlier), truncated (the last such character is none of ``.!?``).
     """
     key = F.md5(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("print")).cast("binary"))
+    spread = F.concat(F.lit("-"), F.md5(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).cast("binary")))  # of dropped rows; they meet nothing
     bare = F.rtrim(F.col("text"), F.lit(WS_CHARS))
-    slim = rows.select("conv_id", "turn", "role", "print", "n", F.when(F.col("n") > 0, key).alias("seen"), F.substring("role", 1, 1).alias("initial"), (bare == "").alias("blank"), (~F.substring(bare, -1, 1).isin(".", "!", "?")).alias("truncated"))
+    slim = rows.select("conv_id", "turn", "role", "print", "n", F.when(F.col("n") > 0, key).otherwise(spread).alias("seen"), F.substring("role", 1, 1).alias("initial"), (bare == "").alias("blank"), (~F.substring(bare, -1, 1).isin(".", "!", "?")).alias("truncated"))
     first = slim.where("n > 0").groupBy("seen").agg(F.min(F.struct("turn")).alias("first"))  # a null turn is the first
     later = ~F.col("turn").eqNullSafe(F.col("first.turn"))
     fault = F.when(F.col("blank"), F.lit("blank")).when(later, F.lit("duplicate")).when(F.col("truncated"), F.lit("truncated"))
