@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -21,22 +23,56 @@ SCAN_ARTIFACTS = ["gre ater", "selle rs", "tra ding", "wycko ff"]
 LEAST_FIGURE = 50
 
 
+def utc_time(bound: str) -> datetime:
+    """A stated bound as a time in UTC; without an offset it is one already."""
+    at = datetime.fromisoformat(bound)
+    return at.astimezone(UTC) if at.tzinfo else at.replace(tzinfo=UTC)
+
+
+def months_between(start: str, end: str) -> list[str]:
+    """H-17: the months, in UTC, that a range touches."""
+    low, high = utc_time(start), utc_time(end)
+    return [f"{n // 12:04d}-{n % 12 + 1:02d}" for n in range(low.year * 12 + low.month - 1, high.year * 12 + high.month)]
+
+
 def _log_lines(spark: SparkSession, folder: str, start: str | None, end: str | None) -> DataFrame:
-    """value, month and place of the lines of a log in folders by month; months out of a stated range aren't read."""
-    lines = spark.read.text(folder).withColumn("month", F.col("month").cast("string"))
-    if start and end:
-        lines = lines.where(F.col("month").between(start[:7], end[:7]))
-    return lines.withColumn("seq", F.monotonically_increasing_id()).withColumn("place", F.col("_metadata.file_path")).where(F.trim("value") != "")
+    """month, place (of the file), line (its number there, from 1) and value of the lines of a log; with both bounds, months out of the range aren't read.
+
+    A log has a folder ``month=YYYY-MM`` for each month, or a file ``YYYY-MM.jsonl``.  Long files are read in
+    pieces by many tasks; a line's number is its place in its piece and the lines of the pieces before it.
+    """
+    months = months_between(start, end) if start and end else None
+    by_name = None if months is None else "{" + ",".join([f"{m}.jsonl" for m in months] or ["none"]) + "}"
+    read = spark.read.option("pathGlobFilter", by_name or "*.jsonl") if _flat(spark, folder) else spark.read
+    lines = read.text(folder)
+    if "month" in lines.columns:
+        lines = lines.withColumn("month", F.col("month").cast("string"))
+        lines = lines if months is None else lines.where(F.col("month").isin(months))
+    else:
+        lines = lines.withColumn("month", F.regexp_extract("_metadata.file_name", r"^(\d{4}-\d{2})\.jsonl$", 1))
+    piece = ["place", "piece"]
+    lines = lines.select("month", "value", F.col("_metadata.file_path").alias("place"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("serial"))
+    pieces = lines.groupBy(*piece).agg(F.min("serial").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.Window.partitionBy("place").orderBy("piece").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(pieces.withColumn("before", before), piece)
+    return numbered.select("month", "place", (F.col("before") + F.col("serial") - F.col("first") + 1).alias("line"), "value").where(F.trim("value") != "")
+
+
+def _flat(spark: SparkSession, folder: str) -> bool:
+    """Whether a log has a file, in place of a folder, for each month."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(jvm.org.apache.hadoop.fs.Path(at, "*.jsonl")))
 
 
 def read_signals(spark: SparkSession, folder: str, schema: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """S-07: signals of a log; blank lines, broken ones and those without a time are passed over."""
-    got = _log_lines(spark, folder, start, end).select("month", "seq", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("month", "seq", "r.*")
+    """S-07: signals of a log with month, place and line; blank lines, broken ones and those without a time are passed over."""
+    got = _log_lines(spark, folder, start, end).select("month", "place", "line", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("month", "place", "line", "r.*")
     at = F.try_to_timestamp("logged_at")
     got = got.where(at.isNotNull())
     for bound, keep in ((start, lambda t: at >= t), (end, lambda t: at <= t)):
         if bound:
-            got = got.where(keep(F.try_to_timestamp(F.lit(bound))))
+            got = got.where(keep(F.lit(utc_time(bound))))
     return got
 
 
@@ -55,18 +91,19 @@ def journal_problem(line: Column) -> Column:
     return F.when(entry.isNull() | ~F.trim(line).startswith("{"), "not an object").when(kind == "review", of_review).when(kind.isNotNull(), "unsupported type").otherwise(of_analysis)
 
 
-def read_journal(spark: SparkSession, folder: str, analysis_schema: str, review_schema: str, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """S-08: analyses of the months asked for and reviews of all months; any broken line stops the reading with its file."""
+def _sound(lines: DataFrame) -> DataFrame:
+    problem = journal_problem(F.col("value"))
+    stop = F.raise_error(F.concat(F.col("place"), F.lit(":"), F.col("line").cast("string"), F.lit(": "), problem)).cast("boolean")
+    return lines.where(F.when(problem.isNotNull(), stop).otherwise(F.lit(True)))
 
-    def sound(lines: DataFrame) -> DataFrame:
-        problem = journal_problem(F.col("value"))
-        stop = F.raise_error(F.concat(F.col("place"), F.lit(": "), problem)).cast("boolean")
-        return lines.where(F.when(problem.isNotNull(), stop).otherwise(F.lit(True)))
 
+def read_journal(spark: SparkSession, folder: str, analysis_schema: str, review_schema: str, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """S-08: analyses of the months asked for and reviews of all months; any broken line stops the reading with its file and number."""
+    at = ["month", "place", "line"]
     review = F.get_json_object("value", "$.type") == "review"
-    analyses = sound(_log_lines(spark, folder, start, end)).where(~F.coalesce(review, F.lit(False))).select("month", "seq", F.from_json("value", analysis_schema).alias("r"))
-    reviews = sound(_log_lines(spark, folder, None, None)).where(review).select("month", "seq", F.from_json("value", f"analysis_id string, review struct<{review_schema}>").alias("r"))
-    return analyses.select("month", "seq", "r.*"), reviews.select("month", "seq", "r.analysis_id", "r.review.*")
+    analyses = _sound(_log_lines(spark, folder, start, end)).where(~F.coalesce(review, F.lit(False))).select(*at, F.from_json("value", analysis_schema).alias("r"))
+    reviews = _sound(_log_lines(spark, folder, None, None)).where(review).select(*at, F.from_json("value", f"analysis_id string, review struct<{review_schema}>").alias("r"))
+    return analyses.select(*at, "r.*"), reviews.select(*at, "r.analysis_id", "r.review.*")
 
 
 def required_text(c: Column) -> Column:
