@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,3 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def r6(c: Column | str, name: str) -> Column:
     """A double rounded for comparison."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where the driver and all executors write: under ``spark.checkpoint.dir``, else (on one machine) a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="tidemark-scratch-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
