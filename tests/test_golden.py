@@ -288,7 +288,7 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("bars_out").select("symbol", "open_time", "open", "close").collect())) == sorted(map(tuple, batch.select("symbol", "open_time", "open", "close").collect()))
     w = st.latest_reviews(st.event_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/latest", f"{tmp_path}/cp").start()
     w.awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/latest/batch=0").count() == spark.read.parquet(src_dir).select("user_id").distinct().count()
+    assert st.read_latest(spark, f"{tmp_path}/latest").count() == spark.read.parquet(src_dir).select("user_id").distinct().count()
     o = st.open_signals(st.event_stream(spark, f"{tmp_path}/in"), 0.5, 1.5).writeStream.format("memory").queryName("open_out").outputMode("append").trigger(availableNow=True).start()
     o.awaitTermination(120)
     assert spark.table("open_out").count() == spark.table("open_out").select("user_id").distinct().count() > 0
