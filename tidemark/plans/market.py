@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import symbols as sym
 from ..operators import backtest, rules, spread, stats
 from ..sources import bars as src
-from .common import r6, table
+from ..sources import fetched
+from .common import r6, scratch, table
 
 REFERENCE = "STANDARD"
 
@@ -140,6 +141,18 @@ def r07_scan_universe(spark: SparkSession, d: str) -> DataFrame:
     return rules.scan(b, _symbols(b), "1d", "range_after_drop", 3).select("symbol", "position", r6("score", "score"))
 
 
+def h04_fetched_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Daily bars by brand, saved as an exchange's rows and fetched brand by brand; some are missing, some have short rows."""
+    b = src.daily_bars(table(spark, d, "lineitem"), table(spark, d, "part"), by="p_brand")
+    fields = F.array(*(F.col(c).cast("string") for c in ("open_time", "open", "high", "low", "close", "volume", "open_time", "volume", "trades")))
+    row = F.to_json(F.when(F.col("symbol").endswith("3"), F.slice(fields, 1, 5)).otherwise(fields))
+    folder = scratch(spark, "rows")
+    b.where(~F.col("symbol").endswith("7")).select(row.alias("value"), "symbol").repartition("symbol").write.partitionBy("symbol").text(folder)
+    brands = [r["symbol"] for r in b.select("symbol").distinct().orderBy("symbol").collect()]  # a universe of some dozen names
+    got = fetched.scan_fetched(spark, brands, "1d", "range_after_drop", "tidemark.sources.fetched:SavedRows", folder=folder)
+    return got.select("symbol", "position", "match", r6("score", "score"), F.regexp_extract("reason", "^data fetch failed: ([A-Za-z]+)", 1).alias("failure"))
+
+
 def a06_moving_average(spark: SparkSession, d: str) -> DataFrame:
     return rules.moving_average(_daily(spark, d)).select("symbol", "open_time", r6("ma", "ma"))
 
@@ -237,6 +250,8 @@ SQL = {
       rk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS b FROM ra), f AS (SELECT symbol, CASE WHEN count(*) >= 28 THEN arg_min(ratio, b) / arg_max(ratio, b) - 1 END AS metric FROM rk WHERE b <= 28 GROUP BY symbol),
       a AS (SELECT s.symbol, metric FROM (SELECT DISTINCT symbol FROM bars) s LEFT JOIN f USING (symbol)), t AS (SELECT quantile_cont(metric, 0.9) AS bar FROM a) SELECT symbol, coalesce(metric >= bar, false) AS match, round(coalesce(metric, 0), 6) AS score FROM a, t""",
     "r07_scan_universe": f"WITH {WIDE}, {DROP} SELECT symbol, CAST(position AS INT) AS position, round(dd, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY symbol) - 1 AS position FROM found) WHERE ok AND dd >= 0.2 ORDER BY dd DESC, position LIMIT 3",
+    "h04_fetched_scan": f"WITH {WIDE.replace('p_type', 'p_brand')}, {DROP}, g AS (SELECT *, CAST(row_number() OVER (ORDER BY symbol) - 1 AS INT) AS position, CASE WHEN symbol LIKE '%7' THEN 'LookupError' WHEN symbol LIKE '%3' THEN 'ValueError' ELSE '' END AS failure FROM found) "
+    "SELECT symbol, position, failure = '' AND ok AND dd >= 0.2 AS match, round(CASE WHEN failure = '' AND ok AND dd >= 0.2 THEN dd ELSE 0.0 END, 6) AS score, failure FROM g",
     "a06_moving_average": f"WITH {WIDE} SELECT symbol, open_time, round(ma, 6) AS ma FROM (SELECT symbol, open_time, avg(volume) OVER w AS ma, count(*) OVER w AS k FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS 9 PRECEDING)) WHERE k = 10",
     "j01_spread": f"""WITH {WIDE}, m AS (SELECT b.open_time, b.volume, b.close AS base_close, q.close AS quote_close, b.close / q.close AS c FROM bars b JOIN bars q USING (open_time) WHERE b.symbol = 'ECONOMY' AND q.symbol = 'PROMO'), o AS (SELECT *, coalesce(lag(c) OVER (ORDER BY open_time), c) AS o FROM m)
       SELECT open_time, round(o, 6) AS open, round(greatest(o, c), 6) AS high, round(least(o, c), 6) AS low, round(c, 6) AS close, round(volume, 6) AS volume, round(base_close, 6) AS base_close, round(quote_close, 6) AS quote_close FROM o""",
