@@ -9,11 +9,11 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from tidemark.plans import corpus, evaluation, evidence, logs, market, records, review
+from tidemark.plans import corpus, evaluation, evidence, logs, market, records, review, runs
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CASES = [(m, name) for m in (market, evaluation, corpus, evidence, records, review, logs) for name in m.SQL]
+CASES = [(m, name) for m in (market, evaluation, corpus, evidence, records, review, logs, runs) for name in m.SQL]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 
 
