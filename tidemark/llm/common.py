@@ -130,3 +130,10 @@ def free_name(*frames: DataFrame, of: str) -> str:
     while of.lower() in taken:
         of += "_"
     return of
+
+
+def result_name(name: str, *results: str) -> str:
+    """The name under which a key comes out beside an operator's own columns: its own, lengthened where one of them has it."""
+    while name.lower() in {r.lower() for r in results}:
+        name += "_"
+    return name

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, _pieces, field_ddl, filter_batches, map_batches
+from .common import Tables, _pieces, field_ddl, filter_batches, map_batches, result_name
 
 #: Bytes of test text that are sent to the tasks at once; larger test sets are searched in blocks.
 #: A byte of test text takes some 150 as phrases in Python, so a full block takes some 300 MB on the driver and in a worker.
@@ -223,11 +223,15 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None
     consecutive words of an item, or all words of a shorter item; items without words have none.  With
     ``slop`` the words of a phrase match in any order within its length plus ``slop`` words; without, exactly.
     Null texts have no words and no hits; repeated rows each get their row; an empty corpus gives no rows, an
-    empty test set no hits.
+    empty test set no hits.  A null item key counts as an empty name.  A carried column called like a result
+    comes out with an underscore behind it.
     """
     blocks = _blocks(items, item_key, item_text, block_bytes)
     tables = Tables(docs.sparkSession)
-    out = docs.select(*dict.fromkeys([*carry, text]))
+    own = {c: f"_c{k}" for k, c in enumerate(dict.fromkeys([*carry, text]))}
+    out = docs.select(*(F.col(c).alias(o) for c, o in own.items()))
+    names = {own[c]: result_name(c, "n_words", "item_ids", "hits") for c in carry}
+    carry, text = tuple(own[c] for c in carry), own[text]
     for k, block in enumerate(blocks):
         phrases = Phrases([("" if r[0] is None else str(r[0]), r[1]) for r in block.collect()], width)  # bounded by block_bytes
         # texts go on to the next block's index, the last one drops them unless asked for
@@ -238,7 +242,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None
             tables.drop(f"postings{k - 1}")
         phrases.rank(stored_counts(index))
         out = _search(index, phrases, keep, slop, earlier=k > 0)
-    return out
+    return out.select(*(F.col(c).alias(names.get(c, c)) for c in out.columns))
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 10, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, _pieces, field_ddl, free_name, map_batches, sized_broadcast
+from .common import Tables, _pieces, field_ddl, free_name, map_batches, result_name, sized_broadcast
 from .components import components
 
 #: ASCII letters in lower case.
@@ -350,8 +350,11 @@ def near_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, k
     Documents link when their shingle sets have a Jaccard similarity of at least ``num / den``; classes are
     what links connect.  Null texts and texts without words have an empty set and link with nothing.
     Repeated rows and equal sets are one class; a null key is less than none, and stands for a class
-    only if all its keys are null; an empty table gives no rows.  Sets are of 64-bit hashes.
+    only if all its keys are null; an empty table gives no rows.  Sets are of 64-bit hashes.  A key called
+    like a result column comes out with an underscore behind it.
     """
+    out_key = result_name(key, "n_shingles", "component_id")
+    docs, key, text = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")), "_id", "_text"
     t = Threshold(num, den)
     tables = Tables(docs.sparkSession)
     known, classes = frequency_classes(docs, text, width, tables)
@@ -381,7 +384,7 @@ def near_classes(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, k
     by_print = tables.write("by_print", labelled.join(least, "label").select("print", "component_id"))
     tables.drop("one", "first", "more", "labelled")
     out = records.select(key, F.col("n").alias("n_shingles"), "print").join(by_print, "print", "left")
-    return out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    return out.select(F.col(key).alias(out_key), "n_shingles", F.coalesce("component_id", key).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -390,7 +393,7 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, ke
     Rows that repeat in key and text leave one; rows that share a key but not a text are all judged by that key.
     """
     name = free_name(docs, of="_key")
-    classes = near_classes(docs, width, num, den, key, text).withColumnRenamed(key, name)
+    classes = near_classes(docs.select(F.col(key).alias(name), text), width, num, den, name, text)
     gone = sized_broadcast(classes.where(~F.col(name).eqNullSafe(F.col("component_id"))).select(name).distinct())
     kept = docs.join(gone, F.col(key) == F.col(name), "left_anti")
     repeats = docs.groupBy(key).count().where("count > 1").limit(1).count()

@@ -12,8 +12,9 @@ import re
 from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import field_ddl, map_batches
+from .common import field_ddl, map_batches, result_name
 
 #: The base kinds in their order, then the weak kinds.
 KINDS = ("assign", "access", "hex", "account", "endpoint", "dense")
@@ -109,7 +110,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int
     """Scan every whole text: key, ``base`` and ``spans`` (arrays of kind, start, end), ``links`` (weak part to partner).
 
     Offsets are code points, ends exclusive.  Base spans always stay; spans adds the linked weak ones.
-    A null or empty text has none; repeated rows stay separate; an empty table gives no rows.
+    A null or empty text has none; repeated rows stay separate; an empty table gives no rows.  A key called
+    like one of these comes out with an underscore behind it.
     """
 
     def start():
@@ -123,10 +125,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int
             return base, in_order(base + kept), links
 
         def each(b: dict[str, list]) -> dict[str, list]:
-            rows = [one(x) for x in b[text]]
+            rows = [one(x) for x in b["_text"]]
             as_dict = lambda s: {"kind": s[0], "start": s[1], "end": s[2]}
             return {
-                key: b[key],
+                "_id": b["_id"],
                 "base": [[as_dict(s) for s in r[0]] for r in rows],
                 "spans": [[as_dict(s) for s in r[1]] for r in rows],
                 "links": [[{"part": as_dict(a), "partner": as_dict(z)} for a, z in r[2]] for r in rows],
@@ -135,4 +137,6 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int
         return each
 
     span = "struct<kind: string, start: bigint, end: bigint>"
-    return map_batches(docs, [key, text], f"`{key}` {field_ddl(docs, key)}, base array<{span}>, spans array<{span}>, links array<struct<part: {span}, partner: {span}>>", start)
+    slim = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    found = map_batches(slim, ["_id", "_text"], f"_id {field_ddl(slim, '_id')}, base array<{span}>, spans array<{span}>, links array<struct<part: {span}, partner: {span}>>", start)
+    return found.withColumnRenamed("_id", result_name(key, "base", "spans", "links"))

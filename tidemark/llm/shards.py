@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpoint
+from .common import checkpoint, result_name
 
 
 def with_offsets(df: DataFrame, order: list[str], size: str) -> DataFrame:
@@ -44,10 +44,13 @@ def byte_shards(docs: DataFrame, n_shards: int, order: list[str] | None = None,
     """
     order = order or ["doc_id"]
     clean = F.coalesce(F.col(text), F.lit(""))
-    slim = docs.select(*order, (F.octet_length(clean) + overhead).cast("long").alias("size"), F.crc32(clean.cast("binary")).alias("text_crc32"))
-    placed = with_offsets(slim, [*order, "text_crc32"], "size")
+    # order columns go by names of their own meanwhile; one called like a result comes out with an underscore behind it
+    own = {f"_o{k}": c for k, c in enumerate(order)}
+    slim = docs.select(*(F.col(c).alias(o) for o, c in own.items()), (F.octet_length(clean) + overhead).cast("long").alias("size"), F.crc32(clean.cast("binary")).alias("text_crc32"))
+    placed = with_offsets(slim, [*own, "text_crc32"], "size")
     placed = placed.crossJoin(F.broadcast(placed.agg(F.sum("size").alias("_total"))))  # a single row
     shard = F.least(F.lit(n_shards - 1), F.expr(f"({n_shards} * (2 * start + size)) div (2 * _total)")).cast("int")
     cut = placed.withColumn("shard", shard)
     first = cut.groupBy("shard").agg(F.min("row_no").alias("_first"))  # at most n_shards rows
-    return cut.join(F.broadcast(first), "shard").select(*order, "size", "text_crc32", "shard", (F.col("row_no") - F.col("_first")).cast("long").alias("slot"))
+    names = [F.col(o).alias(result_name(c, "size", "text_crc32", "shard", "slot")) for o, c in own.items()]
+    return cut.join(F.broadcast(first), "shard").select(*names, "size", "text_crc32", "shard", (F.col("row_no") - F.col("_first")).cast("long").alias("slot"))
