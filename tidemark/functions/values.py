@@ -127,9 +127,13 @@ def asset_name(c: Column) -> Column:
     return F.when(bare == "INDU", "DJIA").otherwise(bare)
 
 
+#: What stands between the assets of a declaration.
+BETWEEN_ASSETS = r"(?i)\s+(?:/|&|and)\s+|,\s*"
+
+
 def asset_parts(c: Column) -> Column:
     """F-25, U-04: the set of assets that a declaration names, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(c, r"\s/\s|&|\band\b|,"), asset_name), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(F.split(c, BETWEEN_ASSETS), lambda x: F.trim(x) != ""), asset_name)))
 
 
 def collapsed(c: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence
-from .common import table
+from ..operators import evidence, ocr
+from ..sources import published
+from .common import scratch, table
+
 
 def _id() -> Column:
     return F.col("doc_id")
@@ -94,7 +98,35 @@ LINES = """x AS (SELECT doc_id, string_split(regexp_replace(text, '[#!>\\r]', '.
   blocks AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m, part) - 1 AS INT) AS block, regexp_replace(coalesce(body, ''), '^\\s+|\\s+$', '', 'g') AS said FROM b)"""
 CANON = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
+IMAGES = "raw/bruce_fraser/images"
+
+
+def j17_image_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """An image file for each benchmark item (some are missing), an artifact with a reading of each (some of other bytes), and a card for each order."""
+    i = F.col("item_id")
+    items = table(spark, d, "benchmark").select(i, F.concat(F.lit(f"{IMAGES}/img_"), i.cast("string"), F.lit(".png")).alias("image_path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    at = scratch(spark, "images").removeprefix("file://")
+    published.publish(items.where(i % 11 != 0).select(F.col("image_path").alias("path"), "content"), at, kind="files")
+    root = f"file://{at}/{published.manifest(at)[0]['path'].split('/')[0]}"
+    read = lambda v, agreed: F.struct(v.alias("value"), F.lit(True).alias("decision_eligible"), F.array(v, F.when(agreed, v).otherwise("other")).alias("runs"), F.array(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("evidence"))
+    sha = F.when(i % 7 == 0, F.sha2(F.lit("old").cast("binary"), 256)).otherwise(F.sha2("content", 256))
+    image = F.to_json(F.struct("image_path", sha.alias("sha256"), read(F.when(i % 2 == 0, "BTC").otherwise("INDU"), i % 5 != 0).alias("asset"), read(F.when(i % 3 == 0, "daily").otherwise("4 hr"), F.lit(True)).alias("timeframe")))
+    generator = {"parser_version": ocr.PARSER, "minimum_confidence": ocr.LEAST_CONFIDENCE, "runs_per_image": ocr.RUNS, "engine": ocr.ENGINE, "recognition_language": ocr.LANGUAGE, "uses_language_correction": False, "toolchain": {}}
+    head = json.dumps({"schema": ocr.SCHEMA, "generator": generator})[:-1]
+    # an artifact for twenty items
+    artifacts = items.groupBy(F.floor(i / 20)).agg(F.concat(F.lit(head + ', "images": ['), F.array_join(F.collect_list(image), ", "), F.lit("]}")).alias("payload"))
+    n = items.count()
+    k = F.col("o_orderkey")
+    cards = table(spark, d, "orders").select(k.alias("k"), k.cast("string").alias("path"), F.when(k % 6 == 0, "raw/crypto_archive/posts/p.md").otherwise("raw/bruce_fraser/posts/p.md").alias("source"), F.concat(F.lit(f"{IMAGES}/img_"), (k % n).cast("string"), F.lit(".png")).alias("image_path"), F.when(k % 4 == 0, "btc").when(k % 4 == 1, "DJIA and ETH").when(k % 4 == 2, "unknown").otherwise("ETH").alias("asset"), F.when(k % 5 < 2, "Daily").when(k % 5 < 4, "4-hour point and figure").otherwise("odd").alias("timeframe"))
+    return ocr.evidence_findings(cards, ocr.observations(artifacts), ocr.image_files(spark, root, IMAGES))
+
+
 SQL = {
+    "j17_image_evidence": """WITH n AS (SELECT count(*) AS n FROM benchmark), c AS (SELECT o_orderkey AS k, o_orderkey % n AS i, o_orderkey % 4 AS a, o_orderkey % 5 AS t FROM orders, n WHERE o_orderkey % 6 <> 0), m AS (SELECT * FROM c JOIN benchmark ON item_id = i WHERE i % 11 <> 0),
+      st AS (SELECT CAST(k AS VARCHAR) AS path, i, row_number() OVER (PARTITION BY i ORDER BY CAST(k AS VARCHAR)) AS r FROM m WHERE i % 7 = 0)
+      SELECT path, 'W-EXTRACT-OCR-EVIDENCE-SKIPPED' AS code, NULL AS field FROM st WHERE r = 1
+      UNION ALL SELECT CAST(k AS VARCHAR), 'F-EXTRACT-OCR-METADATA-CONTRADICTION', 'asset' FROM m WHERE i % 7 <> 0 AND i % 5 <> 0 AND CASE a WHEN 0 THEN i % 2 = 1 WHEN 1 THEN i % 2 = 0 WHEN 2 THEN false ELSE true END
+      UNION ALL SELECT CAST(k AS VARCHAR), 'F-EXTRACT-OCR-METADATA-CONTRADICTION', 'timeframe' FROM m WHERE i % 7 <> 0 AND CASE WHEN t < 2 THEN i % 3 <> 0 WHEN t < 4 THEN i % 3 = 0 ELSE false END""",
     "w09_evidence_blocks": f"WITH {LINES} SELECT 'raw/crypto_archive/posts/d' || doc_id || '.md' AS path, block, 'H' || (5 * m) AS heading, images, md5(said) AS body FROM blocks",
     "w11_image_candidates": f"WITH {LINES} SELECT 'raw/crypto_archive/posts/d' || doc_id || '.md' AS path, block, candidates FROM blocks",
     "t17_quote_blocks": f"""WITH {LINES}, q AS (SELECT doc_id, CASE WHEN lines[5] <> '' THEN lines[5] END AS q1, CASE WHEN doc_id % 4 = 3 AND lines[3] <> '' THEN lines[3] END AS q2 FROM x WHERE len(lines) > 4)
