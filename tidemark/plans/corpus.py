@@ -130,10 +130,11 @@ def s15_pipe_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _inventory(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A source for each customer; its documents are its orders, those of a third have a card for each line item, all but the last two are reviewed."""
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    inv = o.select(F.col("o_orderpriority").alias("source"), k.alias("doc"), k.alias("position"), (k % 7 == 0).alias("paywall"))
-    cards = table(spark, d, "lineitem").where("l_orderkey % 3 = 0 and l_linenumber <= 2").join(o, F.col("l_orderkey") == k).select(F.col("o_orderpriority").alias("source"), k.alias("doc"))
-    return inv, cards, inv.groupBy("source").agg((F.count("*") - 40).alias("reviewed"))
+    inv = o.select(F.col("o_custkey").alias("source"), k.alias("doc"), k.alias("position"), (k % 7 == 0).alias("paywall"))
+    cards = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").join(o, F.col("l_orderkey") == k).select(F.col("o_custkey").alias("source"), k.alias("doc"))
+    return inv, cards, inv.groupBy("source").agg((F.count("*") - 2).alias("reviewed"))
 
 
 def a24_ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +209,7 @@ def g03_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 def w13_batch_order(spark: SparkSession, d: str) -> DataFrame:
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    return ingest.batch_order_breaks(o.select((k % 50).alias("grp"), k.alias("position"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("open").alias("status")))
+    return ingest.batch_order_breaks(o.select(F.col("o_custkey").alias("grp"), k.alias("position"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("open").alias("status")))
 
 
 def g05_completion_proof(spark: SparkSession, d: str) -> DataFrame:
@@ -299,8 +300,8 @@ SQL = {
       || chr(10) || '| ' || o_orderkey || ' |  ' || o_orderstatus || ' |' || CASE WHEN th THEN o_orderpriority || '|' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || '| open | row' ELSE '' END || chr(10) || 'prose | x |' AS text FROM orders),
       l AS (SELECT path, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS lineno, trim(unnest(string_split(text, chr(10)))) AS line FROM t), r AS (SELECT path, lineno, list_transform(string_split(line[2:-2], '|'), lambda x: trim(x)) AS c FROM l WHERE line LIKE '|%|' AND len(line) > 1 AND NOT regexp_full_match(line, '[|][\\s:|-]+[|]'))
       SELECT path, lineno, CAST(len(c) AS INT) AS n, c[1] AS first, c[-1] AS last FROM r""",
-    "a24_ledger": """WITH inv AS (SELECT o_orderpriority AS source, o_orderkey AS doc, o_orderkey % 7 = 0 AS pay, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS place, count(*) OVER (PARTITION BY o_orderpriority) AS total FROM orders),
-      c AS (SELECT l_orderkey AS doc, count(*) AS cards FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber <= 2 GROUP BY 1), j AS (SELECT inv.*, cards, total - 40 AS reviewed, place <= total - 40 AS inside FROM inv LEFT JOIN c USING (doc)),
+    "a24_ledger": """WITH inv AS (SELECT o_custkey AS source, o_orderkey AS doc, o_orderkey % 7 = 0 AS pay, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders),
+      c AS (SELECT l_orderkey AS doc, count(*) AS cards FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1), j AS (SELECT inv.*, cards, total - 2 AS reviewed, place <= total - 2 AS inside FROM inv LEFT JOIN c USING (doc)),
       g AS (SELECT source, count(*) AS total, max(reviewed) AS reviewed, CAST(coalesce(sum(cards), 0) AS BIGINT) AS valid, count(cards) AS represented, count(*) FILTER (inside AND pay AND cards IS NULL) AS paywalled, count(*) FILTER (cards IS NOT NULL AND NOT inside) = 0 AS prefix_ok FROM j GROUP BY 1) SELECT *, reviewed - represented - paywalled AS rejected FROM g""",
     "a26_consensus": """WITH r AS (SELECT l_orderkey AS image, l_linenumber AS run, count(DISTINCT l_linestatus) AS k, any_value(l_linestatus) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2)
       SELECT image, CASE WHEN count(*) = 3 AND max(k) = 1 AND count(DISTINCT v) = 1 THEN any_value(v) ELSE 'unknown' END AS value FROM r GROUP BY 1""",
@@ -316,7 +317,7 @@ SQL = {
     "j20_snapshot_changes": f"WITH {SNAPS} SELECT path, kind FROM ch",
     "p15_forbidden_paths": f"WITH {SNAPS} SELECT path, kind FROM ch WHERE path <> 'wiki/5.txt' AND NOT (path LIKE 'wiki/%' AND path LIKE '%.md')",
     "g03_transitions": "WITH b AS (SELECT o_orderkey AS batch, o_orderstatus AS was FROM orders WHERE o_orderkey % 7 <> 0), a AS (SELECT o_orderkey AS batch, CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS now FROM orders WHERE o_orderkey % 5 <> 0) SELECT * FROM b FULL JOIN a USING (batch) WHERE was IS DISTINCT FROM now",
-    "w13_batch_order": "SELECT grp, position, status FROM (SELECT *, max(CASE WHEN status = 'open' THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM (SELECT o_orderkey % 50 AS grp, o_orderkey AS position, CASE WHEN o_orderstatus = 'F' THEN 'complete' ELSE 'open' END AS status FROM orders)) WHERE status = 'complete' AND o = 1",
+    "w13_batch_order": "SELECT grp, position, status FROM (SELECT *, max(CASE WHEN status = 'open' THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM (SELECT o_custkey AS grp, o_orderkey AS position, CASE WHEN o_orderstatus = 'F' THEN 'complete' ELSE 'open' END AS status FROM orders)) WHERE status = 'complete' AND o = 1",
     "g05_completion_proof": "WITH k AS (SELECT o_orderkey AS k FROM orders), r AS (SELECT k AS batch, CASE WHEN k % 10 = 0 THEN 'batch_missing' WHEN k % 4 = 0 THEN 'not_running' WHEN k % 13 = 0 THEN 'pages_changed' WHEN k % 3 = 0 THEN 'gate_not_passed' END AS reason FROM k) SELECT batch, reason IS NULL AS proved, reason FROM r",
     "t30_gate_outcomes": "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 2 = 0 AND (conv_id + turn) % 3 <> 0 THEN 'PASS' END AS outcome FROM conversations",
     "t31_command_states": "WITH e AS (SELECT user_id AS command, event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 'completed' WHEN event_id % 7 = 0 THEN 'declined' ELSE 'started' END AS kind FROM events) SELECT command, bool_or(kind = 'started') AS attempted, coalesce(arg_max(kind, seq) FILTER (kind <> 'started') = 'declined', false) AS blocked FROM e GROUP BY 1",
