@@ -39,6 +39,16 @@ fin AS (SELECT w.conv_id, min(struct_pack(c := b.c + i.c, a := b.a || i.a, o :=
 SELECT fin.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(b.c AS BIGINT) AS cost, b.a AS audit, sha256(array_to_string(b.o, chr(10))) AS repaired_sha256 FROM fin LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM fin.conv_id"""
 
 
+#: CRC-32 byte by byte over a table; the middle byte of a row decides its shard.
+OP9 = """WITH RECURSIVE bits AS (SELECT i AS v, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT v, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY v) AS tab FROM bits WHERE k = 8),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents),
+x AS (SELECT doc_id, size, xor(list_reduce(b, lambda c, y: xor(c // 256, tab[CAST(xor(c, y) % 256 AS BIGINT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM d, crc),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id, text_crc32) AS n FROM x),
+p AS (SELECT *, CAST(least(23, (24 * (2 * start + size)) // (2 * total)) AS INT) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM p"""
+
+
 def _op11() -> str:
     """Plain nearest entries by comparing all: two rounds of averages, then the codes."""
     def assign(k: int) -> str:
@@ -85,4 +95,4 @@ def _op5() -> str:
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept FROM m JOIN ok USING (doc_id)"""
 
 
-SQL = {"op5_quality_rules": _op5(), "op8_warc": OP8, "op10_contamination": OP10, "op11_vector_codes": _op11(), "op12_conversation_repair": OP12}
+SQL = {"op5_quality_rules": _op5(), "op8_warc": OP8, "op9_byte_shards": OP9, "op10_contamination": OP10, "op11_vector_codes": _op11(), "op12_conversation_repair": OP12}
