@@ -127,3 +127,9 @@ def test_states_after_a_look_at_results(spark):
     assert got == {"done": ("succeeded", "judge", None, 1, None), "half": ("pending", "judge", "judge", 1, None), "bad": ("failed", "analyst", "analyst", 1, "corrupt_result"), "stale": ("pending", None, "analyst", 1, "stale_running"), "new": ("pending", "analyst", "analyst", 2, None)}
     claimed = {x.run_id: (x.status, x.stage, x.attempt, x.error) for x in runs.claimed(after, state, 2).collect()}
     assert claimed == {"done": ("succeeded", "judge", 1, None), "half": ("running", "judge", 2, None), "bad": ("running", "analyst", 2, None), "stale": ("running", "analyst", 2, None), "new": ("pending", "analyst", 2, None)}
+
+
+def test_events_without_cases(spark):
+    answers = spark.createDataFrame([("c1", "spring"), ("c2", "spring"), ("c3", "test")], "case_id string, event_type string")
+    got = lambda **k: {(x.event_type, x.n) for x in runs.uncovered(answers, ["spring", "test", "upthrust"], **k).collect()}
+    assert got() == {("upthrust", 0)} and got(least=2) == {("upthrust", 0), ("test", 1)}

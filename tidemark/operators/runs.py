@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions import schemas
+from ..functions import schemas, values
+from . import evaluation
 
 _TEXT, _SAID, _LEVEL = {"type": "string"}, {"type": "string", "minLength": 1}, {"type": ["number", "null"]}
 _SHARE = {"type": "number", "minimum": 0, "maximum": 1}
@@ -91,3 +92,60 @@ def claimed(state: DataFrame, run_ids: DataFrame, max_attempts: int) -> DataFram
     free = F.col("asked").isNotNull() & ~F.col("status").isin("succeeded", "skipped", "running") & (F.col("attempt") < max_attempts)
     new = {"status": F.lit("running"), "stage": F.coalesce("next_stage", "stage", F.lit("analyst")), "attempt": F.col("attempt") + 1, "error": F.lit(None).cast("string")}
     return state.join(asked, "run_id", "left").select(*(F.when(free, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in state.columns))
+
+
+#: Why a result gives no row, in the order in which it is asked.
+SKIPS = ["unfilled", "no_spec", "no_answer_key", "verdict"]
+
+
+def _said(results: DataFrame) -> DataFrame:
+    """The fields of each result's JSON that count: the forecast, the judged dimensions, tokens; nulls where they are missing."""
+    whole = F.try_parse_json("raw")
+    at = lambda path, kind: F.try_variant_get(whole, f"$.{path}", kind)
+    return results.select(
+        "run_id", at("analysis_output", "variant").isNotNull().alias("filled"), *(at(f"analysis_output.{c}", kind).alias(f"said_{c}") for c, kind in (("direction", "string"), ("trigger", "double"), ("invalidation", "double"), ("confidence", "double"))),
+        *(at(f"judge_verdict.{d}.score", "double").alias(d) for d in JUDGED), at("usage.input_tokens", "bigint").alias("tokens_in"), at("usage.output_tokens", "bigint").alias("tokens_out"),
+    )
+
+
+def scored(results: DataFrame, specs: DataFrame, answers: DataFrame, walk: DataFrame, prices: DataFrame, digits: int | None = 4) -> DataFrame:
+    """B-08, J-09, H-12: a benchmark row for each result (run_id, raw), with ``skip``, why it has no scores, or null.
+
+    ``specs``: run_id, case_id, model, effort, time_mode, anon_mode; ``answers``: case_id, event_type,
+    realized_direction, decisive, analysis_mode; ``walk``: case_id, i, high, low, the bars after each case's
+    cutoff; ``prices``: model, price_in, price_out.  One lineage from the result's text to its row: forecasts
+    meet only their own case's bars, and costs their model's price.
+    """
+    j = _said(results).join(specs.withColumn("has_spec", F.lit(True)), "run_id", "left").join(answers.withColumn("has_key", F.lit(True)), "case_id", "left")
+    sound = F.lit(True)
+    for d in JUDGED:
+        sound = sound & F.coalesce(F.col(d).between(0.0, 1.0), F.lit(False))
+    skip = F.when(~F.coalesce("filled", F.lit(False)), SKIPS[0]).when(F.col("has_spec").isNull(), SKIPS[1]).when(F.col("has_key").isNull(), SKIPS[2]).when(~sound, SKIPS[3])
+    j = j.withColumn("skip", skip)
+    open_ = j.where("skip is null")
+    forecasts = open_.select(F.col("run_id").alias("id"), *(F.col(f"said_{c}").alias(c) for c in ("direction", "trigger", "invalidation", "confidence")), "analysis_mode", "decisive", "realized_direction")
+    bars = open_.select(F.col("run_id").alias("id"), "case_id").join(walk, "case_id").select("id", "i", "high", "low")
+    found = evaluation.deterministic(forecasts, bars).withColumnRenamed("id", "run_id")
+    dimensions = j.join(found.select("run_id", "direction", "trigger", "invalidation", "wait_case", "outcome"), "run_id", "left")
+    rows = evaluation.with_cost(evaluation.combined(dimensions, digits), prices, None)
+    total = F.coalesce("tokens_in", F.lit(0)) + F.coalesce("tokens_out", F.lit(0))
+    earned = values.roi(F.col("aggregate"), F.col("cost_usd"), total, F.col("roi_basis") == "usd", digits)
+    if_scored = lambda c: F.when(F.col("skip").isNull(), c)
+    return rows.select(
+        "run_id", "case_id", "model", "effort", "time_mode", "anon_mode", "event_type", "skip", *(if_scored(F.col(c)).alias(c) for c in ("aggregate", "expert_alignment", "realized_outcome", *evaluation.WEIGHTS, "outcome", "wait_case", "cost_usd", "roi_basis")),
+        if_scored(total).alias("total_tokens"), if_scored(earned).alias("roi"),
+    )
+
+
+def covered(rows: DataFrame, events: list[str]) -> tuple[DataFrame, Observation]:
+    """B-24: ``rows`` and counters that are filled as they are first written or counted: considered, scored, one for each reason and each event type of scored rows."""
+    seen = Observation("coverage")
+    counts = [F.count("*").alias("considered"), F.count_if(F.col("skip").isNull()).alias("scored"), *(F.count_if(F.col("skip") == s).alias(s) for s in SKIPS), *(F.count_if(F.col("skip").isNull() & (F.col("event_type") == e)).alias(f"event_{e}") for e in events)]
+    return rows.observe(seen, *counts), seen
+
+
+def uncovered(answers: DataFrame, events: list[str], least: int = 1) -> DataFrame:
+    """B-24: event types that fewer than ``least`` answers have, with how many do."""
+    spark = answers.sparkSession
+    wanted = spark.createDataFrame([(e,) for e in events], "event_type string")
+    return wanted.join(answers.groupBy("event_type").agg(F.count("*").alias("n")), "event_type", "left").select("event_type", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < least)
