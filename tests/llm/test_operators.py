@@ -430,7 +430,7 @@ def test_proximity(spark):
 # queries and pipeline
 
 def test_all_queries_are_named():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_pipeline(spark):
