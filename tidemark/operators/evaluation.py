@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -9,6 +11,7 @@ from pyspark.sql import window as W
 from ..functions.symbols import direction_of, is_wait
 from ..functions.values import case_index, roi, rounded, run_id, token_cost
 from .backtest import replay
+from .evidence import folded
 
 #: Weights of the scored dimensions.
 WEIGHTS = {"structure": 0.15, "phase": 0.15, "event": 0.15, "direction": 0.15, "trigger": 0.10, "invalidation": 0.10, "narrative_quality": 0.10, "calibration": 0.10}
@@ -209,6 +212,40 @@ def claimable(state: DataFrame, max_attempts: int) -> DataFrame:
     return state.where(free).select("run_id", F.coalesce("next_stage", "stage", F.lit("analyst")).alias("stage"))
 
 
+#: The modes of an analysis; what the proof of an answer must hold, and what it may; where its source and image lie; how Markdown refers to an image.
+ANALYSIS_MODES = ["forward_looking", "retrospective"]
+PROVENANCE = ["expert_author", "source_path", "source_url", "source_image_path", "source_excerpt_location", "reconstruction_notes"]
+EXPERT_LABELS = ["expert_structure", "expert_phase", "expert_event", "expert_scenario", "expert_trigger", "expert_invalidation"]
+SOURCE_ROOT, IMAGE_REFERENCE = "raw/crypto_archive", r"!\[[^\]]*\]\(([^)]+)\)"
+
+
+def provenance_problems(answers: DataFrame, posts: DataFrame, images: DataFrame) -> DataFrame:
+    """B-15: the first broken rule of each answer's proof, or null.
+
+    ``answers``: case_id, the fields of ``PROVENANCE`` and ``EXPERT_LABELS`` (null: missing), the location of the
+    excerpt as a struct of start_line and end_line; ``posts``: path, text; ``images``: path.  An answer meets one
+    post and one image; the excerpt's lines must refer to that image, relative to the post.
+    """
+    inside = lambda p: F.coalesce((p == SOURCE_ROOT) | p.startswith(f"{SOURCE_ROOT}/"), F.lit(False))
+    a = answers.withColumns({"_post": folded(F.col("source_path")), "_image": folded(F.col("source_image_path"))})
+    a = a.join(posts.select(F.col("path").alias("_post"), F.col("text").alias("_text")), "_post", "left").join(images.select(F.col("path").alias("_image"), F.lit(True).alias("_there")).distinct(), "_image", "left")
+    start, end = F.col("source_excerpt_location.start_line"), F.col("source_excerpt_location.end_line")
+    # explode keeps the lines from being split anew for every use
+    a = a.withColumn("_lines", F.explode(F.array(F.split(F.coalesce("_text", F.lit("")), "\n"))))
+    n_lines = F.size("_lines") - F.when(F.element_at("_lines", -1) == "", 1).otherwise(0)
+    refs = F.flatten(F.transform(F.slice("_lines", F.greatest(start, F.lit(1)), F.greatest(end - start + 1, F.lit(0))), lambda x: F.regexp_extract_all(x, F.lit(IMAGE_REFERENCE), F.lit(1))))
+    beside = F.regexp_replace("_post", "[^/]*$", "")
+    shown = F.exists(refs, lambda r: ~F.trim(r).rlike("^(https?://|$)") & F.coalesce(folded(F.concat(beside, F.trim(r))) == F.col("_image"), F.lit(False)))
+    texts = sorted([*(f for f in PROVENANCE if f != "source_excerpt_location"), *EXPERT_LABELS])
+    empty = F.coalesce(*(F.when(F.trim(F.col(f)) == "", F.lit(f"{f}_empty")) for f in texts))
+    lacking = reduce(lambda x, y: x | y, (F.col(f).isNull() for f in PROVENANCE))
+    problem = (
+        F.when(lacking, "provenance_missing").when(empty.isNotNull(), empty).when(~inside(F.col("_post")), "source_path_outside").when(~inside(F.col("_image")), "image_path_outside").when(F.col("_text").isNull(), "source_path_not_there").when(F.col("_there").isNull(), "image_path_not_there")
+        .when(start.isNull() | end.isNull(), "excerpt_not_lines").when((start < 1) | (end < start), "excerpt_order").when(end > n_lines, "excerpt_beyond_file").when(~shown, "image_not_referenced")
+    )
+    return a.select("case_id", problem.alias("problem"))
+
+
 def case_problems(cases: DataFrame, answers: DataFrame) -> DataFrame:
     """B-15, A-23: the first broken rule of each case, or null."""
     n = F.count("*").over(W.Window.partitionBy("case_id"))
@@ -217,7 +254,7 @@ def case_problems(cases: DataFrame, answers: DataFrame) -> DataFrame:
     retro = F.col("analysis_mode") == "retrospective"
     problem = (
         F.when(blank("symbol"), "symbol_empty").when(blank("timeframe"), "timeframe_empty").when(~F.coalesce(F.col("n_bars") > 0, F.lit(False)), "n_bars_not_positive").when(F.col("has_key").isNull(), "answer_missing")
-        .when(~F.coalesce(F.col("analysis_mode").isin("forward", "retrospective"), F.lit(False)), "analysis_mode_unknown").when(blank("event_type"), "event_type_empty")
+        .when(~F.coalesce(F.col("analysis_mode").isin(ANALYSIS_MODES), F.lit(False)), "analysis_mode_unknown").when(blank("event_type"), "event_type_empty")
         .when(retro & (F.col("realized_direction") != "not_applicable"), "retrospective_direction").when(~retro & ~F.coalesce(F.col("realized_direction").isin("up", "down", "none"), F.lit(False)), "forward_direction")
         .when(F.col("decisive").isNull(), "decisive_missing").when(blank("ground_truth"), "ground_truth_empty").when(F.col("copies") > 1, "case_id_repeated")
     )
@@ -227,4 +264,4 @@ def case_problems(cases: DataFrame, answers: DataFrame) -> DataFrame:
 def placeholder_answers(spark: SparkSession, n: int) -> DataFrame:
     """B-14: stand-in answers; every third is retrospective."""
     retro = F.col("id") % 3 == 2
-    return spark.range(n).select(F.format_string("case_%02d", F.col("id") + 1).alias("case_id"), F.when(retro, "retrospective").otherwise("forward").alias("analysis_mode"), F.when(retro, "not_applicable").otherwise("up").alias("realized_direction"), F.lit(True).alias("decisive"))
+    return spark.range(n).select(F.format_string("case_%02d", F.col("id") + 1).alias("case_id"), F.when(retro, "retrospective").otherwise("forward_looking").alias("analysis_mode"), F.when(retro, "not_applicable").otherwise("up").alias("realized_direction"), F.lit(True).alias("decisive"))

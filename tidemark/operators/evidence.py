@@ -23,6 +23,13 @@ def source_kind(path: Column) -> Column:
     return F.coalesce(*(F.when(path.rlike(pattern), F.lit(kind)) for kind, pattern in SOURCES.items()))
 
 
+def folded(path: Column) -> Column:
+    """A path from the root with its dots folded away; null where it is absolute or leaves the root."""
+    down = lambda at: F.when(F.size(at) > 0, F.slice(at, F.lit(1), F.size(at) - 1))
+    walk = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda at, s: F.when(s.isin("", "."), at).when(s == "..", down(at)).otherwise(F.concat(at, F.array(s))))
+    return F.when(~path.startswith("/"), F.array_join(walk, "/"))
+
+
 def image_target(target: Column, source: Column) -> Column:
     """H-22: an image link as a path from the root, or its URL marked as remote; null where it leaves the root."""
     bare = F.regexp_replace(F.split_part(F.regexp_replace(F.regexp_replace(target, r"^\s+", ""), r"\s", " "), F.lit(" "), F.lit(1)), "^[<>]+|[<>]+$", "")

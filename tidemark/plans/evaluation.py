@@ -138,11 +138,27 @@ def b18_claimable_runs(spark: SparkSession, d: str) -> DataFrame:
     return ev.claimable(b18_reconcile_runs(spark, d), 3)
 
 
+def b15_provenance_problems(spark: SparkSession, d: str) -> DataFrame:
+    """A post for each document, with one image of its own; an answer to each, its excerpt moving over the lines and past them."""
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents")
+    line = F.regexp_replace(F.split(F.coalesce("text", F.lit("")), "\n")[0], r"[!\r]", ".")
+    text = F.concat(F.lit("# Head\n"), line, F.lit("\n![chart](../images/i"), (i % 50).cast("string"), F.lit(".png)\nSee ![x](http://h/i.png)\nend\n"))
+    posts = docs.where(i % 23 != 0).select(F.concat(F.lit("raw/crypto_archive/posts/d"), i.cast("string"), F.lit(".md")).alias("path"), text.alias("text"))
+    images = spark.range(46).select(F.concat(F.lit("raw/crypto_archive/images/i"), "id", F.lit(".png")).alias("path"))
+    image = F.when(i % 17 == 0, F.concat(F.lit("raw/crypto_archive/images/i"), i % 50 + 1, F.lit(".png"))).when(i % 19 == 0, "raw/other/i1.png").otherwise(F.concat(F.lit("raw/crypto_archive/posts/../images/i"), i % 50, F.lit(".png")))
+    place = F.struct((1 + i % 5).cast("int").alias("start_line"), (i % 5 + i % 4).cast("int").alias("end_line"))
+    stated = {f: F.lit("not_stated") for f in [*ev.PROVENANCE, *ev.EXPERT_LABELS]}
+    stated |= {"source_path": F.concat(F.when(i % 13 == 0, "/").otherwise(""), F.lit("raw/crypto_archive/./posts/d"), i.cast("string"), F.lit(".md")), "source_image_path": image, "source_excerpt_location": place, "source_url": F.when(i % 7 != 0, "http://h"), "expert_phase": F.when(i % 11 == 0, " ").otherwise("C")}
+    answers = docs.select(F.concat(F.lit("c"), i.cast("string")).alias("case_id"), *(c.alias(f) for f, c in stated.items()))
+    return ev.provenance_problems(answers, posts, images)
+
+
 def b15_case_problems(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     o = table(spark, d, "orders")
     cases = o.select(F.when(k % 37 == 0, F.lit("c0")).otherwise(F.concat(F.lit("c"), k.cast("string"))).alias("case_id"), F.when(k % 13 == 0, " ").otherwise("BTC").alias("symbol"), F.lit("1d").alias("timeframe"), (k % 17).cast("int").alias("n_bars"))
-    answers = o.where(k % 11 != 0).select(F.concat(F.lit("c"), k.cast("string")).alias("case_id"), F.when(k % 7 == 0, "guess").when(k % 3 == 0, "retrospective").otherwise("forward").alias("analysis_mode"), F.when(k % 6 == 0, "not_applicable").otherwise("up").alias("realized_direction"), (k % 2 == 0).alias("decisive"), F.lit("spring").alias("event_type"), F.when(k % 19 == 0, "").otherwise("x").alias("ground_truth"))
+    answers = o.where(k % 11 != 0).select(F.concat(F.lit("c"), k.cast("string")).alias("case_id"), F.when(k % 7 == 0, "guess").when(k % 3 == 0, "retrospective").otherwise("forward_looking").alias("analysis_mode"), F.when(k % 6 == 0, "not_applicable").otherwise("up").alias("realized_direction"), (k % 2 == 0).alias("decisive"), F.lit("spring").alias("event_type"), F.when(k % 19 == 0, "").otherwise("x").alias("ground_truth"))
     return ev.case_problems(cases, answers)
 
 
@@ -236,6 +252,12 @@ def _weighted_sql(names: list[str]) -> str:
 
 
 SQL = {
+    "b15_provenance_problems": """WITH p AS (SELECT doc_id AS k, 'raw/crypto_archive/posts/d' || doc_id || '.md' AS path, string_split('# Head' || chr(10) || replace(replace(split_part(coalesce(text, ''), chr(10), 1), '!', '.'), chr(13), '.') || chr(10) || '![chart](../images/i' || (doc_id % 50) || '.png)' || chr(10) || 'See ![x](http://h/i.png)' || chr(10) || 'end', chr(10)) AS ls FROM documents),
+      a AS (SELECT k, CASE WHEN k % 17 = 0 THEN 'raw/crypto_archive/images/i' || (k % 50 + 1) || '.png' WHEN k % 19 = 0 THEN 'raw/other/i1.png' ELSE 'raw/crypto_archive/posts/../images/i' || (k % 50) || '.png' END AS img, 1 + k % 5 AS st, k % 5 + k % 4 AS en FROM p),
+      x AS (SELECT p.k, replace(img, 'posts/../', '') AS img, st, en, ls, (k % 13) = 0 AS rooted FROM p JOIN a USING (k)),
+      y AS (SELECT *, list_transform(regexp_extract_all(array_to_string(list_slice(ls, st, en), chr(10)), '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1), lambda r: 'raw/crypto_archive/' || replace(r, '../', '')) AS refs FROM x)
+      SELECT 'c' || k AS case_id, CASE WHEN k % 7 = 0 THEN 'provenance_missing' WHEN k % 11 = 0 THEN 'expert_phase_empty' WHEN rooted THEN 'source_path_outside' WHEN img NOT LIKE 'raw/crypto_archive/%' THEN 'image_path_outside' WHEN k % 23 = 0 THEN 'source_path_not_there' WHEN regexp_extract(img, 'i([0-9]+)', 1)::INT > 45 THEN 'image_path_not_there'
+        WHEN en < st THEN 'excerpt_order' WHEN en > len(ls) THEN 'excerpt_beyond_file' WHEN NOT list_contains(refs, img) THEN 'image_not_referenced' END AS problem FROM y""",
     "b05_score_forecasts": f"""WITH {HOURLY}, ix AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS i FROM bars),
       f AS (SELECT e.event_id AS id, e.event_type AS symbol, ts, CASE WHEN event_id % 35 = 0 THEN 'none' WHEN event_id % 2 = 0 THEN 'up' ELSE 'down' END AS said, CASE WHEN event_id % 2 = 0 THEN value * 1.5 ELSE value * 0.5 END AS trig, CASE WHEN event_id % 2 = 0 THEN value * 0.5 ELSE value * 1.5 END AS inval,
         (event_id % 100) / 100.0 AS conf, event_id % 45 = 0 AS retro, CASE WHEN event_id % 25 = 0 THEN NULL ELSE event_id % 20 <> 0 END AS decisive, CASE WHEN event_id % 15 = 0 THEN NULL WHEN event_id % 10 = 0 THEN 'up' ELSE 'none' END AS real FROM events e),
@@ -264,9 +286,9 @@ SQL = {
     "b18_reconcile_runs": f"WITH {STATE} SELECT * FROM rec",
     "b18_claimable_runs": f"WITH {STATE} SELECT run_id, coalesce(next_stage, stage, 'analyst') AS stage FROM rec WHERE status NOT IN ('succeeded', 'skipped', 'running') AND attempt < 3",
     "b15_case_problems": """WITH k AS (SELECT o_orderkey AS k FROM orders), c AS (SELECT CASE WHEN k % 37 = 0 THEN 'c0' ELSE 'c' || k END AS case_id, CASE WHEN k % 13 = 0 THEN ' ' ELSE 'BTC' END AS symbol, k % 17 AS n_bars FROM k),
-      a AS (SELECT 'c' || k AS case_id, CASE WHEN k % 7 = 0 THEN 'guess' WHEN k % 3 = 0 THEN 'retrospective' ELSE 'forward' END AS mode, CASE WHEN k % 6 = 0 THEN 'not_applicable' ELSE 'up' END AS rd, CASE WHEN k % 19 = 0 THEN '' ELSE 'x' END AS gt FROM k WHERE k % 11 <> 0)
+      a AS (SELECT 'c' || k AS case_id, CASE WHEN k % 7 = 0 THEN 'guess' WHEN k % 3 = 0 THEN 'retrospective' ELSE 'forward_looking' END AS mode, CASE WHEN k % 6 = 0 THEN 'not_applicable' ELSE 'up' END AS rd, CASE WHEN k % 19 = 0 THEN '' ELSE 'x' END AS gt FROM k WHERE k % 11 <> 0)
       SELECT c.case_id, CASE WHEN trim(symbol) = '' THEN 'symbol_empty' WHEN n_bars <= 0 THEN 'n_bars_not_positive' WHEN a.mode IS NULL THEN 'answer_missing' WHEN mode = 'guess' THEN 'analysis_mode_unknown' WHEN mode = 'retrospective' AND rd <> 'not_applicable' THEN 'retrospective_direction'
-        WHEN mode = 'forward' AND rd = 'not_applicable' THEN 'forward_direction' WHEN gt = '' THEN 'ground_truth_empty' WHEN count(*) OVER (PARTITION BY c.case_id) > 1 THEN 'case_id_repeated' END AS problem FROM c LEFT JOIN a USING (case_id)""",
+        WHEN mode = 'forward_looking' AND rd = 'not_applicable' THEN 'forward_direction' WHEN gt = '' THEN 'ground_truth_empty' WHEN count(*) OVER (PARTITION BY c.case_id) > 1 THEN 'case_id_repeated' END AS problem FROM c LEFT JOIN a USING (case_id)""",
     "f18_case_index": "SELECT c_custkey, CAST(('0x' || substr(sha256(c_name), 1, 8))::BIGINT % 6 AS INT) AS place FROM customer",
     "p02_list_analyses": f"WITH {ANALYSES} SELECT analysis_id, seq, logged_at FROM an WHERE logged_at BETWEEN '1996-01-01T00:00:00Z' AND '1996-06-30T00:00:00Z' AND model = '1-URGENT'",
     "p06_last_analysis": f"WITH {ANALYSES} SELECT analysis_id, max(seq) AS seq, arg_max(model, seq) AS model FROM an GROUP BY 1",
