@@ -136,3 +136,36 @@ def quote_blocks(cards: DataFrame, blocks: DataFrame) -> DataFrame:
     b = blocks.select(F.col("path").alias("source"), "block", canonical(F.col("body")).alias("body"))
     held = c.join(b, "source").where(F.forall("quotes", lambda q: F.contains(F.col("body"), canonical(q))))
     return held.groupBy("path").agg(F.count("*").alias("n"), F.min("block").alias("block")).where("n = 1").drop("n")
+
+
+#: Fixed value: what a card without an image says.
+NO_IMAGE = "bez slike"
+
+
+def post_images(posts: DataFrame) -> DataFrame:
+    """(key, post): each Markdown image of each post, as a path from the root, once."""
+    refs = F.regexp_extract_all("text", F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1))
+    each = posts.select(F.col("path").alias("post"), F.explode(refs).alias("ref"))
+    return each.select(image_target(F.col("ref"), F.col("post")).alias("key"), "post").where("key is not null").distinct()
+
+
+def card_image_findings(cards: DataFrame, files: DataFrame, book: DataFrame, posts: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+    """J-16: path and code of cards whose image is none, no file, or not their source's.
+
+    ``files``: path; ``book``: image_path, page_number; ``posts``: path, text, of posts whose own Markdown shows
+    their images; ``local`` and ``remote``: key (path or URL) and post, as ``review.image_posts`` gives them.
+    A card meets one row of each by its image, or by its image and source.
+    """
+    c = cards.select("path", "fields", _field("image_path").alias("image"), _field("source").alias("source"), _field("page").alias("page")).where("image <> ''").withColumn("kind", source_kind(F.col("source")))
+    c = c.withColumns({"away": F.lower("image").startswith("(remote"), "url": F.trim(F.regexp_extract("image", r"^\(remote:\s*(https?://[^)]+)\)$", 1)), "at": folded(F.col("image"))})
+    pairs = lambda df, image, flag: df.select(F.col("key").alias(image), F.col("post").alias("source"), F.lit(True).alias(flag)).distinct()
+    c = c.join(files.select(F.col("path").alias("at"), F.lit(True).alias("stands")).distinct(), "at", "left").join(book.groupBy(F.col("image_path").alias("image")).agg(F.max("page_number").alias("of_page")), "image", "left")
+    c = c.join(pairs(remote, "url", "sent"), ["url", "source"], "left").join(pairs(local, "image", "mapped"), ["image", "source"], "left").join(pairs(post_images(posts), "image", "shown"), ["image", "source"], "left")
+    c = c.join(page_spans(cards).select("path", F.col("span").isNotNull().alias("paged"), F.col("code").alias("span_code")), "path", "left")
+    here = F.coalesce(F.when(F.col("page").rlike("^[0-9]+$"), F.col("page").cast("int")) == F.col("of_page"), F.lit(False)) & F.coalesce("paged", F.lit(False))
+    own = F.when(F.col("kind") == "book", here).when(F.col("kind") == "crypto", F.coalesce("shown", F.lit(False))).when(F.col("kind") == "fraser", F.coalesce("mapped", F.lit(False))).otherwise(True)
+    sent = (F.coalesce(F.col("kind") == "fraser", F.lit(False))) & F.coalesce("sent", F.lit(False))
+    stands = F.coalesce("stands", F.lit(False))
+    code = F.when(F.lower("image") == NO_IMAGE, "image_none").when(F.col("away"), F.when(~sent, "image_provenance")).when(F.col("image").startswith("/"), "image_absolute").when(~stands, "image_missing").when(~own, "image_provenance")
+    span = F.when((F.col("kind") == "book") & ~F.col("away") & (F.lower("image") != NO_IMAGE) & stands, F.col("span_code"))
+    return c.select("path", F.explode(F.array_compact(F.array(span, code))).alias("code"))

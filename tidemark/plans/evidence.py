@@ -98,6 +98,24 @@ LINES = """x AS (SELECT doc_id, string_split(regexp_replace(text, '[#!>\\r]', '.
   blocks AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m, part) - 1 AS INT) AS block, regexp_replace(coalesce(body, ''), '^\\s+|\\s+$', '', 'g') AS said FROM b)"""
 CANON = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
+def j16_card_images(spark: SparkSession, d: str) -> DataFrame:
+    """A card for each order with its customer's image, from a book, a post that shows it, or a post that a manifest maps it to."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    n = F.col("c_custkey")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    image = lambda x: text("raw/i/i", x, ".png")
+    url, fraser = lambda x: text("http://h/", x), lambda x: text("raw/bruce_fraser/posts/f", x % 7, ".md")
+    own = F.when(k % 4 == 0, F.format_string("raw/book/pages/page_%03d.md", k % 900)).when(k % 4 == 1, text("raw/crypto_archive/posts/p", c + F.when(k % 3 == 0, 1).otherwise(0), ".md")).when(k % 4 == 2, fraser(k)).otherwise("notes.md")
+    shown = F.when(c % 10 == 0, text("(remote: ", url(c), ")")).when(k % 31 == 0, "/abs.png").when(k % 37 == 0, "bez slike").otherwise(image(c))
+    fields = F.create_map(F.lit("source"), own, F.lit("image_path"), shown, F.lit("page"), F.when(k % 3 == 0, c % 900).otherwise(k % 900).cast("string"))
+    cards = table(spark, d, "orders").select(k.cast("string").alias("path"), fields.alias("fields"))
+    people = table(spark, d, "customer")
+    files, book = people.where(n % 6 != 0).select(image(n).alias("path")), people.where(n % 5 != 0).select(image(n).alias("image_path"), (n % 900).cast("int").alias("page_number"))
+    posts = people.select(text("raw/crypto_archive/posts/p", n, ".md").alias("path"), text("URL: x\n![a](../../i/i", n, ".png)\n").alias("text"))
+    local, remote = people.select(image(n).alias("key"), fraser(n).alias("post")), people.where(n % 20 == 0).select(url(n).alias("key"), fraser(n).alias("post"))
+    return evidence.card_image_findings(cards, files, book, posts, local, remote)
+
+
 IMAGES = "raw/bruce_fraser/images"
 
 
@@ -122,6 +140,8 @@ def j17_image_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL = {
+    "j16_card_images": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 4 AS t FROM orders), x AS (SELECT k, CASE WHEN c % 10 = 0 THEN CASE WHEN NOT (t = 2 AND k % 7 = c % 7 AND c % 20 = 0) THEN 'image_provenance' END WHEN k % 31 = 0 THEN 'image_absolute' WHEN k % 37 = 0 THEN 'image_none' WHEN c % 6 = 0 THEN 'image_missing'
+      WHEN t = 0 AND NOT (c % 5 <> 0 AND (k % 3 = 0 OR c % 900 = k % 900)) THEN 'image_provenance' WHEN t = 1 AND k % 3 = 0 THEN 'image_provenance' WHEN t = 2 AND k % 7 <> c % 7 THEN 'image_provenance' END AS code FROM o) SELECT CAST(k AS VARCHAR) AS path, code FROM x WHERE code IS NOT NULL""",
     "j17_image_evidence": """WITH n AS (SELECT count(*) AS n FROM benchmark), c AS (SELECT o_orderkey AS k, o_orderkey % n AS i, o_orderkey % 4 AS a, o_orderkey % 5 AS t FROM orders, n WHERE o_orderkey % 6 <> 0), m AS (SELECT * FROM c JOIN benchmark ON item_id = i WHERE i % 11 <> 0),
       st AS (SELECT CAST(k AS VARCHAR) AS path, i, row_number() OVER (PARTITION BY i ORDER BY CAST(k AS VARCHAR)) AS r FROM m WHERE i % 7 = 0)
       SELECT path, 'W-EXTRACT-OCR-EVIDENCE-SKIPPED' AS code, NULL AS field FROM st WHERE r = 1
