@@ -42,12 +42,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders of the tables written so far; ``clear_tables`` drops them.
+_MADE: list[str] = []
+
+
 class Tables:
     """Tables written to the shared folder to cut lineage; compressed, read by column, and dropped once later ones stand."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.top = spark, f"{shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        _MADE.append(self.top)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = self.paths[name] = f"{self.top}/{name}"
@@ -57,10 +62,21 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(self.spark, self.paths.pop(name))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def clear_tables(spark: SparkSession) -> int:
+    """Drop every table that operators have written from this process, how many folders there were; results that still read them are lost."""
+    n = len(_MADE)
+    while _MADE:
+        _delete(spark, _MADE.pop())
+    return n
 
 
 def word_array(text: Column) -> Column:
