@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import NAMED_TIMEFRAMES, TIME_UNITS, chart_timeframe, shown
+from ..functions.values import NAMED_TIMEFRAMES, TIME_UNITS, asset_name, chart_timeframe, shown
 from ..sources.bars import violations
 
 #: What a card's frontmatter must hold.
@@ -79,6 +79,28 @@ def timeframe_conflicts(declared: Column, evidence: Column) -> Column:
     return F.coalesce((F.size(said) == 1) & (own != only) & ~covered, F.lit(False))
 
 
+#: How a text names the asset of a chart (a timeframe before or after it, or none), and what is no asset.
+_FRAME = r"(?i:daily|weekly|monthly|yearly|intraday|\d{1,3}(?:[- ]?(?:minute|min|hour|hr|day)))"
+_ASSET = r"(\$?[A-Z][A-Z0-9./&-]{0,19})"
+CHARTS = [rf"(?U)(?<![\w-]){_FRAME}\s+{_ASSET}(?:\s+\d{{4}}(?:[-–]\d{{2,4}})?)?\s+chart\b", rf"(?U)(?<![\w-]){_ASSET}\s+{_FRAME}\s+chart\b", rf"(?U)\bchart\s+of\s+{_ASSET}\b"]
+NO_ASSETS = ["HR", "MIN", "P&F", "PNF"]
+
+
+def chart_assets(text: Column) -> Column:
+    """T-16: the set of assets whose charts a text names, normalised and sorted."""
+    named = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in CHARTS)))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.filter(named, lambda a: ~a.isin(NO_ASSETS)), asset_name), lambda a: a != "")))
+
+
+def context_conflicts(declared_timeframe: Column, declared_asset: Column, context: Column) -> Column:
+    """T-16: the declared fields that a card's context contradicts, by naming exactly one timeframe or asset that is another; unknown contradicts any."""
+    unknown = lambda c: F.lower(F.trim(c)) == "unknown"
+    one_frame, assets, own = F.size(timeframes(context)) == 1, chart_assets(context), asset_name(declared_asset)
+    frame = timeframe_conflicts(declared_timeframe, context) | (one_frame & unknown(declared_timeframe))
+    asset = (F.size(assets) == 1) & (unknown(declared_asset) | ((own != "") & (own != F.get(assets, F.lit(0)))))
+    return F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in (("timeframe", frame), ("asset", asset)))))
+
+
 #: What stands for one bar and for a list of bars; one is told from equal text by identity.
 BAR, BARS, PATH = "[REDACTED_CANDLE]", "[REDACTED_CANDLES]", "[REDACTED_PATH]"
 

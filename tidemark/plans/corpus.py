@@ -180,6 +180,17 @@ def t16_timeframe_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(k.alias("k"), cards.timeframe_conflicts(pick(DECLARED), pick(EVIDENCE)).alias("conflict"))
 
 
+#: Contexts of cards, for T-16, with the assets and timeframes that they name.
+CONTEXTS = ["on the daily $INDU chart", "a weekly BTC 2019-20 chart and a BTC weekly chart", "the chart of ETH.X", "SPX daily chart, NDX daily chart", "a 60 min P&F chart", "no chart", "the sub-daily BTC chart", "Intraday DJIA chart"]
+
+
+def t16_context_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+    got = cards.context_conflicts(pick(["daily", "unknown", "60 min"], k), pick(["DJIA", "btc", "Unknown", "", "ETHX"], F.col("o_custkey")), pick(CONTEXTS, F.floor(k / 8)))
+    return table(spark, d, "orders").select(k.alias("k"), F.array_join(got, ",").alias("fields"))
+
+
 def b17_judge_inputs(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     said = F.to_json(F.struct("event_id", F.lit("BTC").alias("symbol"), F.lit("x/case_1/chart.png").alias("note"), F.array(F.struct(*(F.col("value").alias(c) for c in ("open", "high", "low", "close")))).alias("seen")))
@@ -313,6 +324,9 @@ SQL = {
       b(i, said) AS (VALUES (0, 'daily'), (1, NULL), (2, '60-minute'), (3, NULL), (4, '4-hour'), (5, 'intraday'), (6, '2-day'))
       SELECT o_orderkey AS k, own IS NOT NULL AND said IS NOT NULL AND own <> said AND NOT (own = 'intraday' AND regexp_matches(said, '-(minute|hour)$')) AND NOT (said = 'intraday' AND regexp_matches(own, '-(minute|hour)$')) AS conflict
       FROM orders JOIN a ON o_orderkey % 9 = a.i JOIN b ON o_orderkey % 7 = b.i""",
+    "t16_context_conflicts": """WITH c(i, t, a) AS (VALUES (0, 'daily', 'DJIA'), (1, 'weekly', 'BTC'), (2, NULL, 'ETHX'), (3, 'daily', NULL), (4, '60-minute', NULL), (5, NULL, NULL), (6, NULL, NULL), (7, 'intraday', 'DJIA')),
+      o AS (SELECT o_orderkey AS k, ['daily', 'unknown', '60-minute'][o_orderkey % 3 + 1] AS t, ['DJIA', 'BTC', 'UNKNOWN', '', 'ETHX'][o_custkey % 5 + 1] AS a, (o_orderkey // 8) % 8 AS i FROM orders)
+      SELECT k, array_to_string(list_filter([CASE WHEN c.t IS NOT NULL AND c.t <> o.t AND NOT (c.t = 'intraday' AND o.t = '60-minute') THEN 'timeframe' END, CASE WHEN c.a IS NOT NULL AND o.a <> '' AND c.a <> o.a THEN 'asset' END], lambda x: x IS NOT NULL), ',') AS fields FROM o JOIN c USING (i)""",
     "b17_judge_inputs": """SELECT event_id, '{"event_id": ' || event_id || ', "note": "[REDACTED_PATH]", "seen": "[REDACTED_CANDLES]"}' AS clean FROM events""",
     "j20_snapshot_changes": f"WITH {SNAPS} SELECT path, kind FROM ch",
     "p15_forbidden_paths": f"WITH {SNAPS} SELECT path, kind FROM ch WHERE path <> 'wiki/5.txt' AND NOT (path LIKE 'wiki/%' AND path LIKE '%.md')",
