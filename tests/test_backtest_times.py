@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from tidemark.operators import stats
 from tidemark.plans import evaluation, market
 
 
@@ -37,3 +38,13 @@ def test_signals_at_the_end_of_an_hour(spark, tmp_path, module, name):
     ts = [top + timedelta(hours=h) + e for h in range(1, 7) for e in (timedelta(minutes=9), ends[h - 1])]
     got, want = both(spark, tmp_path, events(tmp_path, ts, [10.0 + i for i in range(len(ts))]), module, name)
     assert got == want
+
+
+def test_equity_beyond_the_range_of_doubles(spark):
+    """Equity that falls below the least double stays 0, as in the SQL's fold."""
+    for returns, want in (([-0.5] * 1200 + [1.0] * 1300 + [-3.0], 1.0), ([0.1, -2.5, 0.3, -0.4], 2.95)):
+        rows = [("k", i, i, r) for i, r in enumerate(returns)]
+        got = stats.drawdown(spark.createDataFrame(rows, "k string, entry_time long, seq long, pnl_pct double"), ["k"]).first()["max_drawdown"]
+        fold = duckdb.connect().execute(f"SELECT list_reduce(list_prepend({{'e': 1.0::DOUBLE, 'p': 1.0::DOUBLE, 'd': 0.0::DOUBLE}}, list_transform({returns}::DOUBLE[], lambda r: {{'e': 1 + r, 'p': 0.0::DOUBLE, 'd': 0.0::DOUBLE}})), lambda a, x: {{'e': a.e * x.e, 'p': greatest(a.p, a.e * x.e), 'd': greatest(a.d, (greatest(a.p, a.e * x.e) - a.e * x.e) / greatest(a.p, a.e * x.e))}}).d").fetchall()[0][0]
+        assert got == fold
+        assert got == pytest.approx(want)

@@ -28,15 +28,12 @@ def drawdown(trades: DataFrame, keys: list[str]) -> DataFrame:
     """A-02: largest fall of equity that starts at 1 and compounds in entry order (``seq`` breaks ties).
 
     The fold is a running product and a running peak in one window pass, so a group's trades are sorted
-    and streamed, not gathered.  Returns below -1 make equity negative; signs and zeros are carried apart
-    from magnitudes, as a product of logarithms can't hold them.
+    and streamed, not gathered.  Factors are multiplied one after the other: a sum of logarithms drifts from that
+    in the last digits, and comes back from beyond the range of doubles where a product stays.
     """
     by = W.Window.partitionBy(*keys) if keys else W.Window.partitionBy(F.lit(0))
     order = by.orderBy("entry_time", "seq").rowsBetween(W.Window.unboundedPreceding, 0)
-    factor = 1 + F.col("pnl_pct")
-    size = F.exp(F.sum(F.when(factor != 0, F.ln(F.abs(factor))).otherwise(0.0)).over(order))
-    sign = F.when(F.max((factor == 0).cast("int")).over(order) == 1, 0).when(F.sum((factor < 0).cast("int")).over(order) % 2 == 1, -1).otherwise(1)
-    run = trades.withColumn("equity", size * sign).withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(order)))
+    run = trades.withColumn("equity", F.product(1 + F.col("pnl_pct")).over(order)).withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(order)))
     return run.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.max((F.col("peak") - F.col("equity")) / F.col("peak"))).alias("max_drawdown"))
 
 
