@@ -30,10 +30,13 @@ def card_fields(files: DataFrame) -> DataFrame:
     """path and ``fields``, a map of the leading block's plain entries (the last of a name counts)."""
     head = F.regexp_extract("text", r"(?s)^---\n(.*?)\n---\n", 1)
     rows = F.filter(F.split(head, "\n"), lambda x: x.rlike(r"^[A-Za-z_]+:"))
-    pairs = F.transform(rows, lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("k"), F.trim(F.regexp_replace(x, r"^[A-Za-z_]+:", "")).alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    last = lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
-    return files.select("path", F.map_from_arrays(keys, F.transform(keys, last)).alias("fields"))
+    pairs = F.transform(rows, lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("k"), F.trim(F.substr(x, F.position(F.lit(":"), x) + 1)).alias("v")))
+    # the pairs and the map are exploded alone: put into the expressions above them, they would be made again for each field and each key
+    split = files.select("path", F.explode(F.array(pairs)).alias("pairs"))
+    keys = F.array_distinct(F.transform("pairs", lambda p: p["k"]))
+    last = lambda k: F.element_at(F.filter("pairs", lambda p: p["k"] == k), -1)["v"]
+    fields = F.when(F.size(keys) == F.size("pairs"), F.map_from_entries("pairs")).otherwise(F.map_from_arrays(keys, F.transform(keys, last)))
+    return split.select("path", F.explode(F.array(fields)).alias("fields"))
 
 
 def card_findings(cards: DataFrame, events: list[str], structures: list[str]) -> DataFrame:
