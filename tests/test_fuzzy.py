@@ -113,3 +113,12 @@ def test_changed_quotes_of_documents(spark, tmp_path):
         exact = bool(quote) and (" ".join(quote) in " ".join(w) or any(" ".join(quote[i : i + 6]) in " ".join(w) for i in range(len(quote) - 5)) or " ".join(quote[:12]) in " ".join(w))
         want[k] = exact or every_run(quote, w)
     assert got == want and 20 < sum(got.values()) < 55
+
+
+def test_a_quote_in_its_place_needs_no_pass(monkeypatch):
+    """A quote with changed words is found where its other words stand, without a pass over the text."""
+    monkeypatch.setattr(fuzzy, "end_distances", lambda *_: (_ for _ in ()).throw(AssertionError("the whole text was passed")))
+    r = random.Random(3)
+    text = ["".join(r.choice("aeionrstldm") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    for at in (0, 1, 200, 384):
+        assert fuzzy.fuzzy_found([w + "s" if k % 5 == 4 else w for k, w in enumerate(text[at : at + 16])], text)
