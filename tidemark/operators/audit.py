@@ -97,25 +97,27 @@ def _listing(inline: DataFrame, front: DataFrame, raw: DataFrame) -> DataFrame:
     )
 
 
-def _quotes(files: DataFrame, inline: DataFrame, raw: DataFrame) -> DataFrame:
+def _quotes(files: DataFrame, inline: DataFrame, raw: DataFrame, literal: bool) -> DataFrame:
     """T-04 to T-06 with messages: quotes of six words or more that their file lacks, or whose file is missing."""
-    blocks = wiki.quote_blocks(files).where(F.size(F.split(wiki.normalised(F.col("quote")), " ")) >= LEAST_QUOTE)
+    normal = wiki.alnum if literal else wiki.normalised
+    blocks = wiki.quote_blocks(files).where(F.size(F.split(normal(F.col("quote")), " ")) >= LEAST_QUOTE)
     sourced = wiki.quote_sources(blocks, inline)
     place = F.struct(F.lit(6), F.lit(1).alias("kind"), F.col("start").alias("lineno"), F.lit(0).alias("ordinal")).alias("seq")
     gone = sourced.join(raw.select(F.col("path").alias("raw_path")), "raw_path", "left_anti").select("path", F.col("start").alias("lineno"), place, F.col("label").alias("named"), "raw_path", F.lit("missing_raw").alias("code"), F.lit(MISSING_RAW).alias("detail"))
-    lost = sourced.join(wiki.found_quotes(sourced, raw).where("not found").select("path", "start"), ["path", "start"])
+    lost = sourced.join(wiki.found_quotes(sourced, raw, literal=literal).where("not found").select("path", "start"), ["path", "start"])
     words = wiki.phrase(F.col("quote"))
-    lost = lost.where(words != "")  # a quote of figures only has no words to look for
+    if not literal:
+        lost = lost.where(words != "")  # a quote of figures only has no words to look for
     return gone.unionByName(lost.select("path", F.col("start").alias("lineno"), place, F.col("label").alias("named"), "raw_path", F.lit("quote_not_found").alias("code"), _said(NOT_FOUND, _quoted(words)).alias("detail")))
 
 
-def issues(files: DataFrame, raw: DataFrame) -> DataFrame:
+def issues(files: DataFrame, raw: DataFrame, literal: bool = False) -> DataFrame:
     """H-28, A-22: file, line, code, severity, citation, raw_path, detail of all checks, each kind of issue of a line once.
 
-    ``files`` and ``raw`` are tables of (path, text).
+    ``files`` and ``raw`` are tables of (path, text).  If ``literal``, quotes must stand in their file to the letter, those of figures too (see ``wiki.found_quotes``).
     """
     inline, front = citations(files)
-    all_ = _content(inline, front, raw).unionByName(_listing(inline, front, raw)).unionByName(_quotes(files, inline, raw))
+    all_ = _content(inline, front, raw).unionByName(_listing(inline, front, raw)).unionByName(_quotes(files, inline, raw, literal))
     first = W.Window.partitionBy("code", "path", "lineno", "raw_path", "detail").orderBy("seq")
     kept = all_.withColumn("rn", F.row_number().over(first)).where("rn = 1")
     return kept.select(F.col("path").alias("file"), F.col("lineno").alias("line"), "code", wiki.severity(F.col("code")).alias("severity"), F.col("named").alias("citation"), "raw_path", "detail", "seq")
