@@ -6,19 +6,21 @@ Lines with equal sets are one record.  Two records over the threshold share a wo
 their prefixes: one of a short prefix of the smaller set and one of a longer prefix of the
 larger.  A word whose cell was hit once is in one record only and pairs nothing.  Length
 and position filters, applied in part by the key (a prefix word goes to the size classes
-that its place still allows), and a parity bitmap filter the pairs that share a word, then
-their whole prefixes do, and pairs that pass are verified on their whole sets.
+that its place still allows), and parity bits, more of them for long lines, filter the pairs
+that share a word, and pairs that pass are verified on their whole sets.
 
 Only whether an earlier match exists is asked for.  So lines are first held against the
 earliest line of each bucket of their two rarest shared words, a number of pairs that is
-linear in the lines and settles groups of near copies; then only pairs whose later line is
-still open are formed.  Everything here is DataFrame functions.
+linear in the lines and settles groups of near copies; then open lines against a few of
+the earliest of their crowded buckets; then only pairs whose later line is still open are
+formed.  Everything here is DataFrame functions.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +32,16 @@ CELLS, BLOCK = 1 << 21, 1 << 11
 KEPT = (1 << 56) - 1
 #: Levels of rarity for each doubling of a cell's count; level 0 is a count of one.
 STEPS = 4
+#: Words of a set up to which 64 parity bits are kept, and the columns of the bits.
+FEW_WORDS, ODD = 96, ["odd0", "odd1", "odd2", "odd3"]
 #: Shared prefix words that the first pass looks at.
 LEADING = 2
+#: Logarithm (base 2) of a cell's count from which the buckets of its words are crowded, and records of such a bucket that others are held against.
+CROWD, SPREAD = 8, 8
 #: Ratio of neighbouring size classes.
 CLASS_RATIO = 1.25
 #: Parts of the buckets that are paired one after the other, so that the disk holds the entries of one part only.
-PARTS = 3
+PARTS = 2
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -49,10 +55,10 @@ def _split(text: Column) -> Column:
 
 
 def word_levels(docs: DataFrame, text: str) -> DataFrame:
-    """One row with ``levels``: for each cell the logarithm of how many words of all texts fall into it (none: 0)."""
+    """One row with ``levels``: for each cell the logarithm of how many words of all texts fall into it (none: 0), in the bits beside ``KEPT``."""
     words = docs.select(F.explode(_split(F.coalesce(F.col(text), F.lit("")))).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count("*").alias("n"))
-    level = F.floor(F.log2(F.coalesce(F.col("n"), F.lit(1)).cast("double")) * STEPS).cast("tinyint")
+    level = F.call_function("shiftleft", F.least(F.floor(F.log2(F.coalesce(F.col("n"), F.lit(1)).cast("double")) * STEPS), F.lit(127)), F.lit(56))
     cells = docs.sparkSession.range(CELLS).withColumnRenamed("id", "cell").join(counts, "cell", "left").select((F.col("cell") % BLOCK).cast("int").alias("at"), F.expr(f"cell div {BLOCK}").cast("int").alias("block"), level.alias("level"))
     in_order = lambda at, what: F.transform(F.sort_array(F.collect_list(F.struct(at, what))), lambda x: x[what])
     blocks = cells.groupBy("block").agg(in_order("at", "level").alias("levels"))
@@ -64,30 +70,40 @@ def word_sets(lines: DataFrame, levels: DataFrame) -> DataFrame:
     bare = lines.select("key", "line_no", F.trim("line", F.lit(WS_CHARS)).alias("bare")).where("bare <> ''")
     # the levels are a scalar that the lambda takes by reference: as a joined column they would be copied for every line
     given = F.array(F.struct(F.transform(F.array_remove(_split(F.col("bare")), ""), lambda w: F.xxhash64(w)).alias("h"), levels.scalar().alias("levels")))
-    level = lambda g, h: F.get(g["levels"], h.bitwiseAND(CELLS - 1).cast("int")).cast("bigint")
-    placed = F.transform("given", lambda g: F.transform(g["h"], lambda h: F.call_function("shiftleft", level(g, h), F.lit(56)).bitwiseOR(h.bitwiseAND(KEPT))))
+    placed = F.transform("given", lambda g: F.transform(g["h"], lambda h: g["levels"][h.bitwiseAND(CELLS - 1)].bitwiseOR(h.bitwiseAND(KEPT))))
     return bare.select("key", "line_no", given.alias("given")).select("key", "line_no", F.sort_array(F.array_distinct(F.get(placed, F.lit(0)))).alias("words"))
 
 
-def _parity(words: Column) -> Column:
-    """64 parity bits of a set, by the low six bits of each word's hash: two sets differ in as many words as bits at least."""
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))))
+def _parity(words: Column, n: Column) -> list[Column]:
+    """Parity bits of a set, by the low bits of each word's hash: two sets differ in as many words as bits at least.
+
+    Sets of up to ``FEW_WORDS`` have 64, larger ones 256 in four numbers, as 64 are all but random beyond.
+    The four numbers' exclusive or is the one of 64 bits.
+    """
+    none = F.lit(0).cast("bigint")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))
+    of = lambda k: F.aggregate(F.filter(words, lambda x: x.bitwiseAND(192) == 64 * k), none, lambda s, x: s.bitwiseXOR(bit(x)))
+    whole = F.aggregate(words, none, lambda s, x: s.bitwiseXOR(bit(x)))
+    return [F.when(n > FEW_WORDS, of(k)).otherwise(whole if k == 0 else none).alias(f"odd{k}") for k in range(4)]
 
 
 def first_records(sets: DataFrame, num: int, den: int) -> DataFrame:
     """A row for each distinct set: key and line_no of its first line, n, ``prefix`` (none if no other set can be near) and parity."""
     length = F.when(F.col("n") * den >= num * (F.col("n") + 1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1).otherwise(0)
     made = sets.select("key", "line_no", "words", F.size("words").alias("n"), F.xxhash64("words").alias("id1"), F.xxhash64(F.lit(7), "words").alias("id2"))
-    made = made.select("key", "line_no", "id1", "id2", "n", F.slice("words", F.lit(1), length).alias("prefix"), F.when(length > 0, _parity(F.col("words"))).alias("odd"))
-    grouped = made.groupBy("id1", "id2").agg(F.min(F.struct("key", "line_no")).alias("at"), F.first(F.struct("n", "prefix", "odd")).alias("own"))
+    made = made.select("key", "line_no", "id1", "id2", "n", F.slice("words", F.lit(1), length).alias("prefix"), *_parity(F.col("words"), F.col("n")))
+    grouped = made.groupBy("id1", "id2").agg(F.min(F.struct("key", "line_no")).alias("at"), F.first(F.struct("n", "prefix", *ODD)).alias("own"))
     return grouped.select("at.*", "own.*")
 
 
 def _entries(records: DataFrame, leading: int | None = None) -> DataFrame:
     """A row for each prefix word that another record may hold, or for the first ``leading`` of them."""
+    rest = [c for c in records.columns if c != "prefix"]
+    if not leading:
+        return records.select(*rest, F.posexplode("prefix").alias("pos", "token")).where(F.col("token") > KEPT)
     alone = F.size(F.filter("prefix", lambda t: t <= KEPT))
-    rows = records.select(*(c for c in records.columns if c != "prefix"), *([alone.alias("alone")] if leading else []), F.posexplode("prefix").alias("pos", "token")).where(F.col("token") > KEPT)
-    return rows.where(F.col("pos") < F.col("alone") + leading).drop("alone") if leading else rows
+    rows = records.select("*", alone.alias("alone")).select(*rest, "alone", F.posexplode(F.slice("prefix", F.col("alone") + 1, leading)).alias("at", "token"))
+    return rows.withColumn("pos", F.col("alone") + F.col("at")).drop("alone", "at")
 
 
 def _candidate(num: int, den: int) -> Column:
@@ -97,7 +113,9 @@ def _candidate(num: int, den: int) -> Column:
     # at most this many words are in one of the sets only; the rest after the shared word bounds the overlap
     apart = (den - num) * n
     place = (n - 2 * F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos"))) * (den + num) <= apart
-    return size & place & F.coalesce(F.bit_count(F.col("aodd").bitwiseXOR(F.col("bodd"))) * (den + num) <= apart, F.lit(True))
+    odd = [F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}")) for c in ODD]
+    differ = F.when(F.least("an", "bn") > FEW_WORDS, functools.reduce(operator.add, map(F.bit_count, odd))).otherwise(F.bit_count(functools.reduce(Column.bitwiseXOR, odd)))
+    return size & place & (differ * (den + num) <= apart)
 
 
 def _as(df: DataFrame, side: str, on: str = "token") -> DataFrame:
@@ -116,10 +134,22 @@ def _pair(later: str, earlier: str) -> list[Column]:
 def hub_pairs(records: DataFrame, num: int, den: int) -> DataFrame:
     """Each record with the first record of each bucket of its leading words."""
     lead = _entries(records, LEADING)
-    hubs = lead.groupBy("token").agg(F.min(F.struct("key", "line_no", "n", "pos", "odd")).alias("hub")).select("token", "hub.*")
+    hubs = lead.groupBy("token").agg(F.min(F.struct("key", "line_no", "n", "pos", *ODD)).alias("hub")).select("token", "hub.*")
     return _as(lead, "a").join(_as(hubs, "b"), "token").where(_before("b", "a") & _candidate(num, den)).select(*_pair("a", "b")).distinct()
 
 
+def crowd_pairs(records: DataFrame, num: int, den: int) -> DataFrame:
+    """Each record that is not ``gone`` with the first ``SPREAD`` records, told apart by a hash, of its crowded buckets.
+
+    In a large group of near copies the leading words may be those of edits and the first record may be too
+    far; most copies are settled here, by a number of pairs that is linear in the records.
+    """
+    rows = _entries(records).where(F.col("token") >= CROWD * STEPS << 56).withColumn("bucket", F.xxhash64("token", _size_class(F.col("n")))).drop("token")
+    share = F.pmod(F.xxhash64("key", "line_no"), F.lit(SPREAD)).alias("share")
+    hubs = rows.groupBy("bucket", share).agg(F.min(F.struct("key", "line_no", "n", "pos", *ODD)).alias("hub")).select("bucket", "hub.*")
+    return _as(rows.where("not gone").drop("gone"), "a", "bucket").join(_as(hubs, "b", "bucket"), "bucket").where(_before("b", "a") & _candidate(num, den)).select(*_pair("a", "b")).distinct()
+
+
 def _size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(CLASS_RATIO)).cast("int")
 
@@ -131,13 +161,13 @@ def open_pairs(records: DataFrame, num: int, den: int, part: int) -> DataFrame:
     place allows, the larger one each word of its prefix to its own class.  Two gone records never meet: all
     smaller ones meet the open larger ones, and the open smaller ones the gone larger ones, which are few.
     """
-    rows = _entries(records)
+    rows = _entries(records).where(F.pmod("token", F.lit(PARTS)) == part)
     n, pos = F.col("n"), F.col("pos")
     most = F.floor((n * den - pos * (den + num)) / F.lit(num))
     short = rows.where(pos * (den + num) <= n * (den - num)).withColumn("class", F.explode(F.sequence(_size_class(n), _size_class(F.greatest(most, n)))))
     # one number names word and class (should two share it, the filters and the check on whole sets part them), one the place: size, position, gone
     place = F.call_function("shiftleft", n.cast("bigint"), F.lit(32)).bitwiseOR(F.call_function("shiftleft", pos.cast("bigint"), F.lit(1))).bitwiseOR(F.col("gone").cast("bigint"))
-    keyed = lambda df, s: df.select(F.xxhash64("token", "class").alias("bucket"), *(c for c in df.columns if c != "token")).where(F.pmod("bucket", F.lit(PARTS)) == part).select("bucket", F.col("key").alias(f"{s}key"), F.col("line_no").alias(f"{s}line_no"), place.alias(f"{s}place"), F.col("odd").alias(f"{s}odd"))
+    keyed = lambda df, s: df.select(F.xxhash64("token", "class").alias("bucket"), *(c for c in df.columns if c != "token")).select("bucket", F.col("key").alias(f"{s}key"), F.col("line_no").alias(f"{s}line_no"), place.alias(f"{s}place"), *(F.col(c).alias(s + c) for c in ODD))
     large = rows.withColumn("class", _size_class(n))
     first = keyed(short, "a").join(keyed(large.where("not gone"), "b"), "bucket")
     second = keyed(short.where("not gone"), "a").join(sized_broadcast(keyed(large.where("gone"), "b")), "bucket")
@@ -155,17 +185,6 @@ def open_pairs(records: DataFrame, num: int, den: int, part: int) -> DataFrame:
     return passed(first).union(passed(second)).distinct()
 
 
-def close_prefixes(pairs: DataFrame, records: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that their prefixes allow: up to where the shorter-reaching one ends, both hold all their sets' words, and so all that differ.
-
-    This tells long sets apart, for which 64 parity bits are few, before whole sets are made.
-    """
-    side = lambda s: records.select(F.col("key").alias(f"_{s}key"), F.col("line_no").alias(f"_{s}line"), F.col("n").alias(f"{s}n"), F.col("prefix").alias(f"{s}p"))
-    both = pairs.join(side("l"), _same("l")).join(side("e"), _same("e")).withColumn("end", F.least(F.array_max("lp"), F.array_max("ep")))
-    differ = sum((F.size(F.filter(F.array_except(x, y), lambda t: t <= F.col("end"))) for x, y in (("lp", "ep"), ("ep", "lp"))), F.lit(0))
-    return both.where(differ * (den + num) <= (den - num) * (F.col("ln") + F.col("en"))).select("lkey", "lline", "ekey", "eline")
-
-
 def _same(s: str) -> Column:
     return F.col(f"{s}key").eqNullSafe(F.col(f"_{s}key")) & (F.col(f"{s}line") == F.col(f"_{s}line"))
 
@@ -174,8 +193,8 @@ def _matched(pairs: DataFrame, docs: DataFrame, levels: DataFrame, key: str, tex
     """at_key, at_line of the later lines of the pairs whose whole sets are near; sets are made again for these lines only."""
     at = pairs.select(F.col("lkey").alias("at_key"), F.col("lline").alias("line_no")).union(pairs.select("ekey", "eline"))
     wanted = at.groupBy("at_key").agg(F.collect_set("line_no").alias("wanted"))  # lines of one text
-    some = docs.select(F.col(key).alias("key"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines")).join(sized_broadcast(wanted), F.col("key").eqNullSafe(F.col("at_key")))
-    some = some.select("key", "lines", F.explode("wanted").alias("line_no")).select("key", "line_no", F.get("lines", F.col("line_no")).alias("line"))
+    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(sized_broadcast(wanted), F.col("key").eqNullSafe(F.col("at_key")))
+    some = some.select("key", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), "wanted").select("key", "lines", F.explode("wanted").alias("line_no")).select("key", "line_no", F.get("lines", F.col("line_no")).alias("line"))
     sets = word_sets(some, levels)
     named = lambda s: sets.select(F.col("key").alias(f"_{s}key"), F.col("line_no").alias(f"_{s}line"), F.col("words").alias(f"{s}w"))
     both = pairs.join(named("l"), _same("l")).join(named("e"), _same("e"))
@@ -206,18 +225,22 @@ def _repeats(docs: DataFrame, num: int, den: int, key: str, text: str, tables: T
     """key and line_no of the lines to go, where ``key`` names one row."""
     levels = tables.write("levels", word_levels(docs, text))
     one = tables.write("one", first_records(word_sets(exploded(docs, key, text), levels), num, den))
-    likely = tables.write("likely", close_prefixes(hub_pairs(one, num, den), one, num, den))
+    likely = tables.write("likely", hub_pairs(one, num, den))
     gone = tables.write("gone", _matched(likely, docs, levels, key, text, num, den))
-    marked = one.join(sized_broadcast(gone), _at(), "left").withColumn("gone", F.col("at_line").isNotNull()).drop("at_key", "at_line")
+    marking = lambda gone: one.join(sized_broadcast(gone), _at(), "left").withColumn("gone", F.col("at_line").isNotNull()).drop("at_key", "at_line")
+    crowded = tables.write("crowded", crowd_pairs(marking(gone), num, den))
+    if not crowded.isEmpty():
+        gone = tables.write("gone2", gone.union(_matched(crowded, docs, levels, key, text, num, den)))
+    marked = marking(gone)
     met = {f"met{k}": open_pairs(marked, num, den, k) for k in range(PARTS)}
     met = {name: tables.write(name, df) for name, df in met.items()}
-    pairs = tables.write("pairs", close_prefixes(functools.reduce(DataFrame.union, met.values()).distinct(), one, num, den))
+    pairs = tables.write("pairs", functools.reduce(DataFrame.union, met.values()).distinct())
     tables.drop(*met)
     more = tables.write("more", _matched(pairs, docs, levels, key, text, num, den))
     # every line of a record goes but its first, and that one too if the record matches an earlier one
     firsts = one.select("key", "line_no").join(sized_broadcast(gone.unionByName(more)), _at(), "left_anti")
     firsts = tables.write("firsts", firsts.select(F.col("key").alias("at_key"), F.col("line_no").alias("at_line")))
-    tables.drop("levels", "likely", "pairs", "one", "gone", "more")
+    tables.drop(*(name for name in tables.paths if name not in ("rows", "firsts")))
     worded = exploded(docs, key, text).where(F.trim("line", F.lit(WS_CHARS)) != "").select("key", "line_no")
     return worded.join(firsts, _at(), "left_anti")
 
@@ -242,12 +265,14 @@ def without_repeats(docs: DataFrame, num: int = 8, den: int = 10, key: str = "do
     tables = Tables(docs.sparkSession)
     rows = _rows(docs, key, text, tables)
     gone = _repeats(rows, num, den, "__tm_row", text, tables).groupBy(F.col("key").alias("__tm_key")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    lines = F.split(F.col(text), "\n")
+    n_lines = F.coalesce(F.char_length(text) - F.char_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))), F.lit(0)) + 1
     gone = tables.write("removed", gone)
     # sent to every task only if all its lists together are short
     small = (gone.agg(F.sum(F.size("removed") + 8)).first()[0] or 0) <= 4 * FEW_ROWS
     gone = F.broadcast(gone) if small else gone
     out = rows.join(gone, F.col("__tm_row").eqNullSafe(F.col("__tm_key")), "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("removed"), s["i"]))
-    kept = F.when(F.col(text).isNotNull(), F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
-    return out.select(key, F.size(lines).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", kept.alias(text))
+    # most texts lose nothing, and a null one has nothing to lose
+    kept = F.when(F.size("removed") == 0, F.col(text)).when(F.col(text).isNotNull(), F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
+    return out.select(key, n_lines.cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", kept.alias(text))
