@@ -9,10 +9,9 @@ and position filters, applied in part by the key (a prefix word goes to the size
 that its place still allows), and parity bits, more of them for long lines, filter the pairs
 that share a word, and pairs that pass are verified on their whole sets.
 
-Only whether an earlier match exists is asked for.  So lines are first held against the
-earliest line of each bucket of their two rarest shared words, a number of pairs that is
-linear in the lines and settles groups of near copies; then open lines against a few of
-the earliest of their crowded buckets; then only pairs whose later line is still open are
+Only whether an earlier match exists is asked for.  So lines are first held against a few
+of the earliest of their crowded buckets, a number of pairs that is linear in the lines and
+settles large groups of near copies; then only pairs whose later line is still open are
 formed.  Everything here is DataFrame functions.
 """
 
@@ -34,14 +33,14 @@ KEPT = (1 << 56) - 1
 STEPS = 4
 #: Words of a set up to which 64 parity bits are kept, and the columns of the bits.
 FEW_WORDS, ODD = 96, ["odd0", "odd1", "odd2", "odd3"]
-#: Shared prefix words that the first pass looks at.
-LEADING = 2
 #: Logarithm (base 2) of a cell's count from which the buckets of its words are crowded, and records of such a bucket that others are held against.
-CROWD, SPREAD = 8, 8
+CROWD, SPREAD = 7, 8
 #: Ratio of neighbouring size classes.
 CLASS_RATIO = 1.25
 #: Parts of the buckets that are paired one after the other, so that the disk holds the entries of one part only.
 PARTS = 2
+#: Rows, of entries or of the lines of a text, that are sent to every task; the driver holds them several times over meanwhile.
+FEW_SENT = FEW_ROWS // 8
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -55,10 +54,10 @@ def _split(text: Column) -> Column:
 
 
 def word_levels(docs: DataFrame, text: str) -> DataFrame:
-    """One row with ``levels``: for each cell the logarithm of how many words of all texts fall into it (none: 0), in the bits beside ``KEPT``."""
+    """One row with ``levels``: for each cell the logarithm of how many words of all texts fall into it (none: 0), a byte each, as the driver holds them."""
     words = docs.select(F.explode(_split(F.coalesce(F.col(text), F.lit("")))).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count("*").alias("n"))
-    level = F.call_function("shiftleft", F.least(F.floor(F.log2(F.coalesce(F.col("n"), F.lit(1)).cast("double")) * STEPS), F.lit(127)), F.lit(56))
+    level = F.least(F.floor(F.log2(F.coalesce(F.col("n"), F.lit(1)).cast("double")) * STEPS), F.lit(127)).cast("tinyint")
     cells = docs.sparkSession.range(CELLS).withColumnRenamed("id", "cell").join(counts, "cell", "left").select((F.col("cell") % BLOCK).cast("int").alias("at"), F.expr(f"cell div {BLOCK}").cast("int").alias("block"), level.alias("level"))
     in_order = lambda at, what: F.transform(F.sort_array(F.collect_list(F.struct(at, what))), lambda x: x[what])
     blocks = cells.groupBy("block").agg(in_order("at", "level").alias("levels"))
@@ -69,9 +68,12 @@ def word_sets(lines: DataFrame, levels: DataFrame) -> DataFrame:
     """key, line_no and ``words``, the set in the global order, of the lines that have words."""
     bare = lines.select("key", "line_no", F.trim("line", F.lit(WS_CHARS)).alias("bare")).where("bare <> ''")
     # the levels are a scalar that the lambda takes by reference: as a joined column they would be copied for every line
-    given = F.array(F.struct(F.transform(F.array_remove(_split(F.col("bare")), ""), lambda w: F.xxhash64(w)).alias("h"), levels.scalar().alias("levels")))
-    placed = F.transform("given", lambda g: F.transform(g["h"], lambda h: g["levels"][h.bitwiseAND(CELLS - 1)].bitwiseOR(h.bitwiseAND(KEPT))))
-    return bare.select("key", "line_no", given.alias("given")).select("key", "line_no", F.sort_array(F.array_distinct(F.get(placed, F.lit(0)))).alias("words"))
+    given = F.array(F.struct(F.array_distinct(F.transform(F.array_remove(_split(F.col("bare")), ""), lambda w: F.xxhash64(w))).alias("h"), levels.scalar().alias("levels")))
+    # never null, so that they are sorted as plain numbers
+    level = lambda g, h: F.call_function("shiftleft", F.coalesce(g["levels"][h.bitwiseAND(CELLS - 1).cast("int")], F.lit(0).cast("tinyint")).cast("bigint"), F.lit(56))
+    placed = F.transform("given", lambda g: F.transform(g["h"], lambda h: level(g, h).bitwiseOR(h.bitwiseAND(KEPT))))
+    placed = bare.select("key", "line_no", given.alias("given")).select("key", "line_no", F.get(placed, F.lit(0)).alias("placed"))
+    return placed.select("key", "line_no", F.sort_array("placed").alias("words"))
 
 
 def _parity(words: Column, n: Column) -> list[Column]:
@@ -96,14 +98,10 @@ def first_records(sets: DataFrame, num: int, den: int) -> DataFrame:
     return grouped.select("at.*", "own.*")
 
 
-def _entries(records: DataFrame, leading: int | None = None) -> DataFrame:
-    """A row for each prefix word that another record may hold, or for the first ``leading`` of them."""
+def _entries(records: DataFrame) -> DataFrame:
+    """A row for each prefix word that another record may hold."""
     rest = [c for c in records.columns if c != "prefix"]
-    if not leading:
-        return records.select(*rest, F.posexplode("prefix").alias("pos", "token")).where(F.col("token") > KEPT)
-    alone = F.size(F.filter("prefix", lambda t: t <= KEPT))
-    rows = records.select("*", alone.alias("alone")).select(*rest, "alone", F.posexplode(F.slice("prefix", F.col("alone") + 1, leading)).alias("at", "token"))
-    return rows.withColumn("pos", F.col("alone") + F.col("at")).drop("alone", "at")
+    return records.select(*rest, F.posexplode("prefix").alias("pos", "token")).where(F.col("token") > KEPT)
 
 
 def _candidate(num: int, den: int) -> Column:
@@ -131,23 +129,16 @@ def _pair(later: str, earlier: str) -> list[Column]:
     return [F.col(f"{later}key").alias("lkey"), F.col(f"{later}line_no").alias("lline"), F.col(f"{earlier}key").alias("ekey"), F.col(f"{earlier}line_no").alias("eline")]
 
 
-def hub_pairs(records: DataFrame, num: int, den: int) -> DataFrame:
-    """Each record with the first record of each bucket of its leading words."""
-    lead = _entries(records, LEADING)
-    hubs = lead.groupBy("token").agg(F.min(F.struct("key", "line_no", "n", "pos", *ODD)).alias("hub")).select("token", "hub.*")
-    return _as(lead, "a").join(_as(hubs, "b"), "token").where(_before("b", "a") & _candidate(num, den)).select(*_pair("a", "b")).distinct()
-
-
 def crowd_pairs(records: DataFrame, num: int, den: int) -> DataFrame:
-    """Each record that is not ``gone`` with the first ``SPREAD`` records, told apart by a hash, of its crowded buckets.
+    """Each record with the first ``SPREAD`` records, told apart by a hash, of its crowded buckets.
 
-    In a large group of near copies the leading words may be those of edits and the first record may be too
-    far; most copies are settled here, by a number of pairs that is linear in the records.
+    The words that a large group of near copies shares are crowded; most copies are settled here, by a number
+    of pairs that is linear in the records.
     """
     rows = _entries(records).where(F.col("token") >= CROWD * STEPS << 56).withColumn("bucket", F.xxhash64("token", _size_class(F.col("n")))).drop("token")
     share = F.pmod(F.xxhash64("key", "line_no"), F.lit(SPREAD)).alias("share")
     hubs = rows.groupBy("bucket", share).agg(F.min(F.struct("key", "line_no", "n", "pos", *ODD)).alias("hub")).select("bucket", "hub.*")
-    return _as(rows.where("not gone").drop("gone"), "a", "bucket").join(_as(hubs, "b", "bucket"), "bucket").where(_before("b", "a") & _candidate(num, den)).select(*_pair("a", "b")).distinct()
+    return _as(rows, "a", "bucket").join(_as(hubs, "b", "bucket"), "bucket").where(_before("b", "a") & _candidate(num, den)).select(*_pair("a", "b")).distinct()
 
 
 def _size_class(n: Column) -> Column:
@@ -161,16 +152,17 @@ def open_pairs(records: DataFrame, num: int, den: int, part: int) -> DataFrame:
     place allows, the larger one each word of its prefix to its own class.  Two gone records never meet: all
     smaller ones meet the open larger ones, and the open smaller ones the gone larger ones, which are few.
     """
-    rows = _entries(records).where(F.pmod("token", F.lit(PARTS)) == part)
+    every = _entries(records)
+    of_part = F.pmod("token", F.lit(PARTS)) == part
     n, pos = F.col("n"), F.col("pos")
     most = F.floor((n * den - pos * (den + num)) / F.lit(num))
-    short = rows.where(pos * (den + num) <= n * (den - num)).withColumn("class", F.explode(F.sequence(_size_class(n), _size_class(F.greatest(most, n)))))
+    classed = lambda rows: rows.where(pos * (den + num) <= n * (den - num)).withColumn("class", F.explode(F.sequence(_size_class(n), _size_class(F.greatest(most, n)))))
     # one number names word and class (should two share it, the filters and the check on whole sets part them), one the place: size, position, gone
     place = F.call_function("shiftleft", n.cast("bigint"), F.lit(32)).bitwiseOR(F.call_function("shiftleft", pos.cast("bigint"), F.lit(1))).bitwiseOR(F.col("gone").cast("bigint"))
     keyed = lambda df, s: df.select(F.xxhash64("token", "class").alias("bucket"), *(c for c in df.columns if c != "token")).select("bucket", F.col("key").alias(f"{s}key"), F.col("line_no").alias(f"{s}line_no"), place.alias(f"{s}place"), *(F.col(c).alias(s + c) for c in ODD))
-    large = rows.withColumn("class", _size_class(n))
-    first = keyed(short, "a").join(keyed(large.where("not gone"), "b"), "bucket")
-    second = keyed(short.where("not gone"), "a").join(sized_broadcast(keyed(large.where("gone"), "b")), "bucket")
+    large = lambda rows: rows.withColumn("class", _size_class(n))
+    # hashed, not sorted: a row is looked at once
+    first = keyed(classed(every.where(of_part)), "a").join(keyed(large(every.where(of_part & ~F.col("gone"))), "b").hint("shuffle_hash"), "bucket")
     ordered = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & _before("a", "b"))
     b_later = _before("a", "b")
     wanted = F.when(b_later, ~F.col("bgone")).otherwise(~F.col("agone"))
@@ -182,20 +174,23 @@ def open_pairs(records: DataFrame, num: int, den: int, part: int) -> DataFrame:
         met = met.where(_candidate(num, den) & ordered & wanted)
         return met.select(*(F.when(b_later, x).otherwise(y).alias(name) for x, y, name in zip(_pair("b", "a"), _pair("a", "b"), ("lkey", "lline", "ekey", "eline"), strict=True)))
 
-    return passed(first).union(passed(second)).distinct()
+    found = passed(first)
+    if part == 0:  # the gone ones are few: all parts at once
+        found = found.union(passed(keyed(classed(every.where("not gone")), "a").join(sized_broadcast(keyed(large(every.where("gone")), "b"), FEW_SENT), "bucket")))
+    return found.distinct()
 
 
 def _same(s: str) -> Column:
     return F.col(f"{s}key").eqNullSafe(F.col(f"_{s}key")) & (F.col(f"{s}line") == F.col(f"_{s}line"))
 
 
-def _matched(pairs: DataFrame, docs: DataFrame, levels: DataFrame, key: str, text: str, num: int, den: int) -> DataFrame:
-    """at_key, at_line of the later lines of the pairs whose whole sets are near; sets are made again for these lines only."""
+def _matched(pairs: DataFrame, docs: DataFrame, levels: DataFrame, key: str, text: str, num: int, den: int, tables: Tables) -> DataFrame:
+    """at_key, at_line of the later lines of the pairs whose whole sets are near; sets are made again, once, for these lines only."""
     at = pairs.select(F.col("lkey").alias("at_key"), F.col("lline").alias("line_no")).union(pairs.select("ekey", "eline"))
     wanted = at.groupBy("at_key").agg(F.collect_set("line_no").alias("wanted"))  # lines of one text
-    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(sized_broadcast(wanted), F.col("key").eqNullSafe(F.col("at_key")))
+    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(sized_broadcast(wanted, FEW_SENT), F.col("key").eqNullSafe(F.col("at_key")))
     some = some.select("key", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), "wanted").select("key", "lines", F.explode("wanted").alias("line_no")).select("key", "line_no", F.get("lines", F.col("line_no")).alias("line"))
-    sets = word_sets(some, levels)
+    sets = tables.write(f"sets{len(tables.paths)}", word_sets(some, levels))
     named = lambda s: sets.select(F.col("key").alias(f"_{s}key"), F.col("line_no").alias(f"_{s}line"), F.col("words").alias(f"{s}w"))
     both = pairs.join(named("l"), _same("l")).join(named("e"), _same("e"))
     shared = F.size(F.array_intersect("lw", "ew"))
@@ -225,20 +220,17 @@ def _repeats(docs: DataFrame, num: int, den: int, key: str, text: str, tables: T
     """key and line_no of the lines to go, where ``key`` names one row."""
     levels = tables.write("levels", word_levels(docs, text))
     one = tables.write("one", first_records(word_sets(exploded(docs, key, text), levels), num, den))
-    likely = tables.write("likely", hub_pairs(one, num, den))
-    gone = tables.write("gone", _matched(likely, docs, levels, key, text, num, den))
-    marking = lambda gone: one.join(sized_broadcast(gone), _at(), "left").withColumn("gone", F.col("at_line").isNotNull()).drop("at_key", "at_line")
-    crowded = tables.write("crowded", crowd_pairs(marking(gone), num, den))
+    marked = one.withColumn("gone", F.lit(False))
+    crowded = tables.write("crowded", crowd_pairs(one, num, den))
+    gone = None
     if not crowded.isEmpty():
-        gone = tables.write("gone2", gone.union(_matched(crowded, docs, levels, key, text, num, den)))
-    marked = marking(gone)
-    met = {f"met{k}": open_pairs(marked, num, den, k) for k in range(PARTS)}
-    met = {name: tables.write(name, df) for name, df in met.items()}
-    pairs = tables.write("pairs", functools.reduce(DataFrame.union, met.values()).distinct())
-    tables.drop(*met)
-    more = tables.write("more", _matched(pairs, docs, levels, key, text, num, den))
+        gone = tables.write("gone", _matched(crowded, docs, levels, key, text, num, den, tables))
+        marked = one.join(sized_broadcast(gone), _at(), "left").withColumn("gone", F.col("at_line").isNotNull()).drop("at_key", "at_line")
+    met = [tables.write(f"met{k}", open_pairs(marked, num, den, k)) for k in range(PARTS)]
+    pairs = functools.reduce(DataFrame.union, met)
+    more = tables.write("more", _matched(pairs, docs, levels, key, text, num, den, tables))
     # every line of a record goes but its first, and that one too if the record matches an earlier one
-    firsts = one.select("key", "line_no").join(sized_broadcast(gone.unionByName(more)), _at(), "left_anti")
+    firsts = one.select("key", "line_no").join(sized_broadcast(gone.unionByName(more) if gone else more), _at(), "left_anti")
     firsts = tables.write("firsts", firsts.select(F.col("key").alias("at_key"), F.col("line_no").alias("at_line")))
     tables.drop(*(name for name in tables.paths if name not in ("rows", "firsts")))
     worded = exploded(docs, key, text).where(F.trim("line", F.lit(WS_CHARS)) != "").select("key", "line_no")
