@@ -39,7 +39,7 @@ CROWD, SPREAD = 7, 8
 CLASS_RATIO = 1.25
 #: Parts of the buckets that are paired one after the other, so that the disk holds the entries of one part only.
 PARTS = 2
-#: Rows, of entries or of the lines of a text, that are sent to every task; the driver holds them several times over meanwhile.
+#: Rows with the lines of a text that are sent to every task; the driver holds them several times over meanwhile.
 FEW_SENT = FEW_ROWS // 8
 
 
@@ -152,17 +152,18 @@ def open_pairs(records: DataFrame, num: int, den: int, part: int) -> DataFrame:
     place allows, the larger one each word of its prefix to its own class.  Two gone records never meet: all
     smaller ones meet the open larger ones, and the open smaller ones the gone larger ones, which are few.
     """
-    every = _entries(records)
-    of_part = F.pmod("token", F.lit(PARTS)) == part
+    rows = _entries(records).where(F.pmod("token", F.lit(PARTS)) == part)
     n, pos = F.col("n"), F.col("pos")
     most = F.floor((n * den - pos * (den + num)) / F.lit(num))
-    classed = lambda rows: rows.where(pos * (den + num) <= n * (den - num)).withColumn("class", F.explode(F.sequence(_size_class(n), _size_class(F.greatest(most, n)))))
+    short = rows.where(pos * (den + num) <= n * (den - num)).withColumn("class", F.explode(F.sequence(_size_class(n), _size_class(F.greatest(most, n)))))
     # one number names word and class (should two share it, the filters and the check on whole sets part them), one the place: size, position, gone
     place = F.call_function("shiftleft", n.cast("bigint"), F.lit(32)).bitwiseOR(F.call_function("shiftleft", pos.cast("bigint"), F.lit(1))).bitwiseOR(F.col("gone").cast("bigint"))
     keyed = lambda df, s: df.select(F.xxhash64("token", "class").alias("bucket"), *(c for c in df.columns if c != "token")).select("bucket", F.col("key").alias(f"{s}key"), F.col("line_no").alias(f"{s}line_no"), place.alias(f"{s}place"), *(F.col(c).alias(s + c) for c in ODD))
-    large = lambda rows: rows.withColumn("class", _size_class(n))
+    large = rows.withColumn("class", _size_class(n))
     # hashed, not sorted: a row is looked at once
-    first = keyed(classed(every.where(of_part)), "a").join(keyed(large(every.where(of_part & ~F.col("gone"))), "b").hint("shuffle_hash"), "bucket")
+    first = keyed(short, "a").join(keyed(large.where("not gone"), "b").hint("shuffle_hash"), "bucket")
+    # a broadcast here spares a second shuffle of all open smaller ones
+    second = keyed(short.where("not gone"), "a").join(sized_broadcast(keyed(large.where("gone"), "b"), FEW_ROWS // 2), "bucket")
     ordered = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & _before("a", "b"))
     b_later = _before("a", "b")
     wanted = F.when(b_later, ~F.col("bgone")).otherwise(~F.col("agone"))
@@ -174,10 +175,7 @@ def open_pairs(records: DataFrame, num: int, den: int, part: int) -> DataFrame:
         met = met.where(_candidate(num, den) & ordered & wanted)
         return met.select(*(F.when(b_later, x).otherwise(y).alias(name) for x, y, name in zip(_pair("b", "a"), _pair("a", "b"), ("lkey", "lline", "ekey", "eline"), strict=True)))
 
-    found = passed(first)
-    if part == 0:  # the gone ones are few: all parts at once
-        found = found.union(passed(keyed(classed(every.where("not gone")), "a").join(sized_broadcast(keyed(large(every.where("gone")), "b"), FEW_SENT), "bucket")))
-    return found.distinct()
+    return passed(first).union(passed(second)).distinct()
 
 
 def _same(s: str) -> Column:
